@@ -6,6 +6,8 @@ Parquet below ``spark.checkpoint.dir``, the folder that all executors share, and
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,3 +32,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session, where they can't import it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return
+    app = spark.sparkContext.applicationId
+    if _FALLBACK.get("shipped") != app:
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-package-")), "starfold")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "starfold"))
+        _FALLBACK["shipped"] = app

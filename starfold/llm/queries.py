@@ -9,16 +9,32 @@ from pyspark.sql import functions as F
 
 from .license_scan import license_scan
 from .quality_rules import quality_rules
-from .url_rules import url_verdicts
+from .simhash import hex_fingerprint, simhash_classes
+from .url_rules import host_and_path, url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words in a host that mark a page as one to block, when pages are labelled for mining.
+SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def page_labels(pages: DataFrame) -> DataFrame:
+    """Labels by seed words between the dots and hyphens of a host. ``labels`` has document ids, not page ids."""
+    host, _ = host_and_path(F.col("url"))
+    return pages.select("page_id", F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, SEEDS))).alias("bad"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_verdicts(table(spark, sf_dir, "pages"), labels)
+    pages = table(spark, sf_dir, "pages")
+    return url_verdicts(pages, page_labels(pages))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(table(spark, sf_dir, "documents"), shingle=3)
+    return found.withColumn("fingerprint", hex_fingerprint(F.col("fingerprint")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """URL filter: fixed host and path rules first, mined association rules for the rest.
 
-Each URL becomes a set of at most eight tokens, one for each slot (scheme, top-level domain,
-domain, first host label, two path segments, file ending, query names). FP-growth mines the
+Each URL becomes a set of at most eight tokens, one for each slot (top-level domain, domain,
+site below it, the labels before that, two path segments, file ending, query names). FP-growth mines the
 token combinations that occur with the label "block" among labelled pages; rules are pruned
 by support, confidence and by rules of fewer tokens that are as sure. An inverted index from
 a rule's rarest token to the rules under that token matches them against every URL.
@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = ("scheme", "tld", "domain", "sub", "seg1", "seg2", "ending", "query")
+SLOTS = ("tld", "domain", "site", "sub", "seg1", "seg2", "ending", "query")
 BLOCK = "label=block"
 
 # Verdict, host and path of each rule.
@@ -44,10 +44,10 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^[^=]*", 0)))), "&")
     value = {
-        "scheme": F.coalesce(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1), F.lit("")),
         "tld": F.element_at(labels, -1),
         "domain": F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")),
-        "sub": F.when(F.size(labels) >= 3, F.element_at(labels, 1)),
+        "site": F.when(F.size(labels) >= 3, F.element_at(labels, -3)),
+        "sub": F.when(F.size(labels) >= 4, F.array_join(F.slice(labels, 1, F.size(labels) - 3), ".")),
         "seg1": F.try_element_at(segs, F.lit(1)),
         "seg2": F.regexp_replace(F.try_element_at(segs, F.lit(2)), r"[0-9]+", "0"),
         "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1),
@@ -73,7 +73,7 @@ def mined_rules(tokens: DataFrame, support: float, confidence: float, min_pages:
     return kept
 
 
-def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = 0.01, confidence: float = 0.9, min_pages: int = 20) -> DataFrame:
+def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = 0.002, confidence: float = 0.9, min_pages: int = 20) -> DataFrame:
     """One row per page: host, path, the longest fitting rule or null, and the verdict.
 
     ``labels`` has ``id`` and a boolean ``bad``.

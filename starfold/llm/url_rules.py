@@ -56,6 +56,10 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(value[s], F.lit("")) != "", F.concat(F.lit(f"{s}="), value[s])) for s in SLOTS]), lambda x: x.isNotNull())
 
 
+def slot_token(slot: str) -> Column:
+    return F.get(F.filter("_tokens", lambda x: x.startswith(f"{slot}=")), F.lit(0))
+
+
 def mined_rules(tokens: DataFrame, support: float, confidence: float, min_pages: int) -> list[tuple[list[str], float, int]]:
     """Token sets that imply blocking, their confidence and count; ``tokens`` has ``items`` with the label item."""
     n = tokens.count()
@@ -102,7 +106,7 @@ def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id: str = "p
         for s in SLOTS:  # one lookup for each slot: no row is multiplied, nothing is shuffled
             if any(t.startswith(f"{s}=") for t in under):
                 mine = F.broadcast(index.where(F.col("_key").startswith(f"{s}=")).select(F.col("_key").alias(f"_key_{s}"), F.col("_rules").alias(f"_rules_{s}")))
-                out = out.join(mine, F.get(F.filter("_tokens", lambda x, s=s: x.startswith(f"{s}=")), F.lit(0)) == F.col(f"_key_{s}"), "left")
+                out = out.join(mine, slot_token(s) == F.col(f"_key_{s}"), "left")
         cols = [c for c in out.columns if c.startswith("_rules_")]
         none = F.array().cast("array<struct<items:array<string>,conf:double>>")
         fitting = F.filter(F.flatten(F.array(*[F.coalesce(c, none) for c in cols])), lambda r: F.size(F.array_except(r["items"], F.col("_tokens"))) == 0)

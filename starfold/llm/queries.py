@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_scan import license_scan
+from .pii import BASE, find_pii, span_text
 from .quality_rules import quality_rules
 from .simhash import hex_fingerprint, simhash_classes
 from .url_rules import host_and_path, url_verdicts
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [(k, F.col(f"pii.{k}")) for k in BASE]
+    return found.select("doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base], F.sha2(span_text(base), 256).alias("base_sha256"), span_text([*base, (None, F.col("pii.added"))]).alias("spans"), F.size("pii.added").cast("long").alias("n_added"))
+
+
 #: Words in a host that mark a page as one to block, when pages are labelled for mining.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 
@@ -46,6 +53,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op9_license_scan": op9_license_scan,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .license_scan import license_scan
 from .pii import BASE, find_pii, span_text
 from .quality_rules import quality_rules
+from .sentencepiece_nbest import encode
 from .simhash import hex_fingerprint, simhash_classes
 from .url_rules import host_and_path, url_verdicts
 
@@ -24,6 +25,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base], F.sha2(span_text(base), 256).alias("base_sha256"), span_text([*base, (None, F.col("pii.added"))]).alias("spans"), F.size("pii.added").cast("long").alias("n_added"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    scores = F.array_join(F.transform("scores", lambda x: x.cast("decimal(20,0)").cast("string")), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), scores.alias("nbest_scores"), F.xxhash64("ids").alias("ids_hash"), "exact")
+
+
 #: Words in a host that mark a page as one to block, when pages are labelled for mining.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 
@@ -54,6 +61,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op9_license_scan": op9_license_scan,

@@ -13,6 +13,7 @@ from .pii import BASE, find_pii, span_text
 from .quality_rules import quality_rules
 from .sentencepiece_nbest import encode
 from .simhash import hex_fingerprint, simhash_classes
+from .toxicity import toxicity
 from .url_rules import host_and_path, url_verdicts
 
 
@@ -52,6 +53,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", hex_fingerprint(F.col("fingerprint")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,

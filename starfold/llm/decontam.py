@@ -9,11 +9,10 @@ reach the bound are verified by an alignment that stays within ``k`` of the regi
 No region within the edit budget is missed.
 
 The benchmark is the small side: its q-gram table is sent to the executors, and
-``MAX_BENCHMARK_BYTES`` bounds it (a larger one has to be searched in slices of that size,
-which ``contaminated`` does by itself). Texts are read once for each slice and never shuffled.
+``MAX_BENCHMARK_BYTES`` bounds it (a larger one is searched in slices of that size). Texts are read once for each slice and never shuffled.
 
 Defined results: a null or empty text matches nothing; items shorter than ``min_bytes`` after
-the reduction are matched only where they equal a whole text. Equal items each give a row.
+the reduction say too little and are left out. Equal items each give a row.
 Repeated rows are judged row by row. Empty tables give empty results. Only the named columns
 are read.
 """
@@ -22,10 +21,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import ship
@@ -175,36 +176,54 @@ def matches(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     return [(o, *best[o]) for o in sorted(best)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08, min_bytes: int = 40, keep: list[str] | None = None) -> DataFrame:
-    """One row per document and benchmark item that it holds: edits and the region in the reduced text.
-
-    ``share`` is the edit budget per byte of an item; ``1 / share`` must be above ``q``, else the
-    bound on shared q-grams is void.
-    """
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, share: float, min_bytes: int) -> Iterator[tuple[list, Broadcast]]:
+    """The item ids and the broadcast index of each slice of the benchmark."""
     if not 1 <= q <= 8 or share * q >= 1:
         raise ValueError("q must be at most 8 and below 1 / share")
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
+    ship(spark)
     total = benchmark.agg(F.sum(F.octet_length(item_text)).alias("n")).first()["n"] or 0
     slices = max(1, -(-total // MAX_BENCHMARK_BYTES))
     key = F.pmod(F.xxhash64(item_id, item_text), F.lit(slices))
-    kept = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    type_of = docs.schema[id].dataType.simpleString()
-    item_type = benchmark.schema[item_id].dataType.simpleString()
-    out = None
     for s in range(slices):
-        rows = benchmark.where(key == s).select(item_id, item_text).collect()  # at most about MAX_BENCHMARK_BYTES
+        rows = benchmark.where(key == s).select(item_id, item_text).collect()  # about MAX_BENCHMARK_BYTES
         items = sorted(((r[0], reduced(r[1])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         items = [(i, t) for i, t in items if len(t) >= min_bytes]
-        names = [i for i, _ in items]
-        shared = spark.sparkContext.broadcast(Index.of([(k, t) for k, (_, t) in enumerate(items)], q, share))
+        yield [i for i, _ in items], spark.sparkContext.broadcast(Index.of([(k, t) for k, (_, t) in enumerate(items)], q, share))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08, min_bytes: int = 40) -> DataFrame:
+    """One row per document and benchmark item that it holds: edits and the region in the reduced text.
+
+    ``share`` is the edit budget per byte of an item; ``1 / share`` must be above ``q``, else the
+    bound on shared q-grams is void.
+    """
+    kept = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    types = f"id {docs.schema[id].dataType.simpleString()}, item {benchmark.schema[item_id].dataType.simpleString()}, edits int, begin long, end long"
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared, names=names) -> Iterator[pd.DataFrame]:
-            index = shared.value
+    def found(names: list, shared: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(d, names[o], e, a, z) for d, t in zip(batch["_id"], batch["_text"], strict=True) for o, e, a, z in matches(index, t)]
+                rows = [(d, names[o], e, a, z) for d, t in zip(batch["_id"], batch["_text"], strict=True) for o, e, a, z in matches(shared.value, t)]
                 yield pd.DataFrame(rows, columns=["id", "item", "edits", "begin", "end"])
 
-        part = kept.mapInPandas(find, f"id {type_of}, item {item_type}, edits int, begin long, end long")
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "edits", "begin", "end")
+        return kept.mapInPandas(find, types)
+
+    parts = [found(*x) for x in _indexes(benchmark, item_id, item_text, q, share, min_bytes)]
+    return reduce(DataFrame.unionByName, parts).select(F.col("id").alias(id), F.col("item").alias(item_id), "edits", "begin", "end")
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08, min_bytes: int = 40) -> DataFrame:
+    """``docs`` less the documents that hold an item; nothing is shuffled."""
+
+    def clean(shared: Broadcast) -> Column:
+        @F.pandas_udf("boolean")
+        def column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in texts:
+                yield pd.Series([not matches(shared.value, t) for t in batch], dtype=bool)
+
+        return column(F.col(text))
+
+    for _, shared in _indexes(benchmark, item_id, item_text, q, share, min_bytes):
+        docs = docs.where(clean(shared))
+    return docs

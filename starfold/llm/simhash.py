@@ -218,15 +218,40 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots
 
 
-def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
-    """One row per document: ``fingerprint`` as a bigint and ``component_id``, the smallest id it is linked to."""
+def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius: int, parts: int, bucket_limit: int) -> DataFrame:
+    """``id``, ``fp``, ``root`` (its class's smallest fingerprint) and ``component_id`` for every row."""
     marked = materialize(docs.select(F.col(id).alias("id"), fingerprints(docs, text, shingle, seed).alias("fp")), "simhash")
     classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
     roots = connected(near_links(classes.select("fp"), radius, parts, bucket_limit))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(found, "fp").select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
+    found = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(found, "fp").select("id", "fp", "root", "component_id")
+
+
+def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
+    """One row per document: ``fingerprint`` as a bigint and ``component_id``, the smallest id it is linked to."""
+    found = _rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit)
+    return found.select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
+    """``docs`` with one row left of each class, the one of the smallest id; its columns unchanged.
+
+    Rows that share an id are told apart by their fingerprints; equal ones count as one row.
+    """
+    found = materialize(_rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit), "simhash-found")
+    rows = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("id").eqNullSafe(F.col("component_id")), F.lit(False))).alias("first"))
+    alone = rows.where("first and n = 1").select(F.col("id").alias("_id"))
+    kept = docs.join(alone, docs[id].eqNullSafe(alone["_id"]), "left_semi")
+
+    several = rows.where("first and n > 1").select("id")
+    chosen = found.join(several.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi").where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("id").alias("_id")).drop("root")
+    again = docs.join(several.withColumnRenamed("id", "_id"), docs[id].eqNullSafe(F.col("_id")), "left_semi")
+    again = again.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_own"), fingerprints(docs, text, shingle, seed).alias("_own_fp"))
+    again = again.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")), "left_semi")
+    return kept.unionByName(again.dropDuplicates(["_own", "_own_fp"]).select("_doc.*"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -212,10 +212,13 @@ def fold_of(id: Column, folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, id: str, text: str, fold: Column, max_texts: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``max_texts`` labelled training texts of at most ``max_chars``, by a hash of the id; all labels' counts."""
     known = labels.where(F.col(label).isNotNull()).groupBy(id).agg(F.max(label).alias("_label"))
-    rows = docs.select(F.col(id), F.coalesce(text, F.lit("")).alias("_text")).where(fold & (F.length("_text") <= max_chars)).join(known, id)
-    half = lambda y: rows.where(F.col("_label") == y).orderBy(F.xxhash64(id, F.lit(17)), id).limit(max_texts // 2).select("_text", "_label").collect()
+    fits = docs.where(fold & (F.length(F.coalesce(text, F.lit(""))) <= max_chars)).select(id).distinct().join(known, id)
+    half = lambda y: fits.where(F.col("_label") == y).orderBy(F.xxhash64(id, F.lit(17)), id).limit(max_texts // 2)
+    chosen = half(1).unionByName(half(0))  # at most max_texts ids; only their texts move
+    rows = docs.where(fold).select(id, F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(chosen), id)
+    rows = rows.where(F.length("_text") <= max_chars).groupBy(id).agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
     counts = {int(r["_label"]): r["count"] for r in known.where(fold).groupBy("_label").count().collect()}
-    return [(r["_text"], int(r["_label"])) for y in (1, 0) for r in half(y)], counts
+    return sorted((r["_text"], int(r["_label"])) for r in rows.collect()), counts
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, max_texts: int = 3000, max_chars: int = 8000) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Registry of the queries outside the text operators."""
+"""The queries outside the text operators; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    return QUERIES["abmag_catalog"](spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import scalar_queries  # noqa: F401
+from .plans import robust_queries, scalar_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -246,6 +246,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     kept = docs.join(alone, docs[id].eqNullSafe(alone["_id"]), "left_semi")
 
     several = rows.where("first and n > 1").select("id")
+    if not several.head(1):  # no id is repeated, as is usual
+        return kept
     chosen = found.join(several.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi").where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = chosen.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("id").alias("_id")).drop("root")
     again = docs.join(several.withColumnRenamed("id", "_id"), docs[id].eqNullSafe(F.col("_id")), "left_semi")

@@ -11,6 +11,7 @@ from .byte_cnn import quality
 from .class_lm import score_texts
 from .decontam import contaminated
 from .license_scan import license_scan
+from .oracles import ORACLES  # noqa: F401
 from .pii import BASE, find_pii, span_text
 from .quality_rules import quality_rules
 from .sentencepiece_nbest import encode
@@ -61,7 +62,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*").withColumns({c: F.round(c, 9) for c in ("dup_line_share", "dup_gram_share")})
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -93,4 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import image_queries, joint_queries, measure_queries, robust_queries, scalar_queries, spatial_queries  # noqa: F401
+from .plans import fit_queries, image_queries, joint_queries, measure_queries, robust_queries, scalar_queries, spatial_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 

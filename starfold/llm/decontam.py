@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..shared import ship
 
-MAX_BENCHMARK_BYTES = 16_000_000
+MAX_BENCHMARK_BYTES = 2_000_000
 TABLE_BITS = 22
 _KEEP = np.full(256, 32, np.uint8)
 for _c in range(256):

@@ -17,7 +17,7 @@ from .quality_rules import quality_rules
 from .sentencepiece_nbest import encode
 from .simhash import hex_fingerprint, simhash_classes
 from .toxicity import toxicity
-from .url_rules import host_and_path, url_verdicts
+from .url_rules import SEEDS, host_and_path, url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), scores.alias("nbest_scores"), F.xxhash64("ids").alias("ids_hash"), "exact")
 
 
-#: Words in a host that mark a page as one to block, when pages are labelled for mining.
-SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
-
-
 def page_labels(pages: DataFrame) -> DataFrame:
     """Labels by seed words between the dots and hyphens of a host. ``labels`` has document ids, not page ids."""
     host, _ = host_and_path(F.col("url"))

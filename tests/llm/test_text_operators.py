@@ -241,7 +241,7 @@ def test_best_paths_and_round_trip(spark):
 
     r = random.Random(3)
     for _ in range(150):
-        t = "".join(r.choice(["the ", "er", "in ", " ", "a", "é", "▁", "\n", "ß", "x", "中"]) for _ in range(r.randint(0, 4)))
+        t = "".join(r.choice(["the ", "er", "in ", " ", "a", "é", "▁", "\n", "ß", "x", "中", ".", ",_", "1", "²."]) for _ in range(r.randint(0, 4)))
         full, got = every(" " + t) if t else [(0, ())], lattice.alternatives(t, 5)
         assert [c for c, _ in got] == [c for c, _ in full[:5]] and tuple(got[0][1]) == full[0][1]
         assert all(lattice.decode(ids) == t for _, ids in got)

@@ -13,8 +13,8 @@ once all its counters exceed the radius. A bucket reports links to a spanning tr
 its pairs.
 
 A bucket of more than ``bucket_limit`` fingerprints is not compared in one task. Its members go the
-exact linear way: each emits itself and its one-bit neighbours; two fingerprints within two
-bits share such a midpoint, and all that share one are within two bits of each other.
+exact linear way: each emits itself and its neighbours up to half the radius away; two fingerprints
+within the radius share such a midpoint, and all that share one are within the radius of each other.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a document
 of fewer words than a shingle has one shingle of all its words. Rows with a null id get a
@@ -25,6 +25,7 @@ column are read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -173,12 +174,12 @@ def compare(batches: Iterator[pd.DataFrame], radius: int, rows: int = 50_000) ->
 
 def near_links(values: DataFrame, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
     """Links ``a``, ``b`` among the distinct fingerprints ``fp`` that connect all pairs within the radius."""
-    if not 0 < radius < parts or radius > 2:
-        raise ValueError("radius must be 1 or 2 and below parts")
+    if radius not in (1, 2, 4) or radius >= parts:
+        raise ValueError("radius must be 1, 2 or 4 and below parts")
     edges = [round(BITS * k / parts) for k in range(parts + 1)]
     mask = lambda ks: sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in ks)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(mask(ks))).cast("long")).alias("part")) for t, ks in enumerate(combinations(range(parts), parts - radius))]
+    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(mask(ks))).cast("long")).alias("part")) for t, ks in enumerate(combinations(range(parts), max(1, parts - radius)))]
     keyed = values.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", F.xxhash64("k.t", "k.part").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(sizes, "key"), "simhash-buckets")  # few fingerprints share a bucket
@@ -186,8 +187,9 @@ def near_links(values: DataFrame, radius: int = 2, parts: int = 4, bucket_limit:
     ordered = members.where(F.col("n") <= bucket_limit).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     small = ordered.mapInPandas(lambda batches: compare(batches, radius), "a long, b long")
 
-    # F.shiftleft of 1 gives each one-bit neighbour; 0 is the fingerprint itself.
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)).cast("long") for b in range(BITS)])
+    # A fingerprint and its neighbours up to half the radius away.
+    near = [sum(1 << b for b in bs) for n in range(max(1, radius // 2) + 1) for bs in combinations(range(BITS), n)]
+    flips = F.from_json(F.lit(json.dumps([signed(m) for m in near])), "array<bigint>")
     crowded = members.where(F.col("n") > bucket_limit).select("fp").distinct()
     middle = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     hubs = middle.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")

@@ -18,7 +18,7 @@ def test_stages_match_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     limits = quality_rules.Limits()
     rows = [r for r in rows if quality_rules.measure(r[1], limits)[6]]
-    low = components([plain_print(t, 3) for _, t in rows], 2)
+    low = components([plain_print(t, 3) for _, t in rows], 4)
     rows = [r for k, r in enumerate(rows) if low[k] == k]
     items = [decontam.reduced(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r in rows if not any(i in decontam.reduced(r[1]) for i in items)]

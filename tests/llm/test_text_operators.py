@@ -110,14 +110,15 @@ def test_bit_sliced_distances():
         assert near.tolist() == [(int(a) ^ int(b)).bit_count() <= radius for a, b in zip(base, other, strict=True)]
 
 
-def test_links_of_crowded_buckets_lose_nothing(spark):
+@pytest.mark.parametrize(("radius", "parts"), [(1, 3), (2, 4), (4, 6)])
+def test_links_of_crowded_buckets_lose_nothing(spark, radius, parts):
     r = random.Random(8)
-    values = sorted({r.getrandbits(64) ^ sum(1 << r.randrange(64) for _ in range(k % 3)) for k in range(50)} | {(1 << 40) ^ sum(1 << b for b in r.sample(range(64), k % 4)) for k in range(300)})
+    values = sorted({r.getrandbits(64) ^ sum(1 << r.randrange(64) for _ in range(k % 3)) for k in range(50)} | {(1 << 40) ^ sum(1 << b for b in r.sample(range(64), k % 7)) for k in range(200)})
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
     for limit in (4, 1000):
-        links = simhash.near_links(df, bucket_limit=limit)
+        links = simhash.near_links(df, radius, parts, bucket_limit=limit)
         roots = {x["node"] % (1 << 64): x["root"] % (1 << 64) for x in simhash.connected(links).collect()}
-        want = components(values, 2)
+        want = components(values, radius)
         got = {}
         for k, v in enumerate(values):
             got.setdefault(roots.get(v, v), set()).add(want[k])

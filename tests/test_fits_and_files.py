@@ -119,3 +119,54 @@ def test_missing_columns_become_nan(spark):
     a, b = spark.createDataFrame([(1, 2.0)], "id int, a double"), spark.createDataFrame([(2, 3.0)], "id int, b double")
     rows = {r["id"]: r for r in joint.missing_columns(a, b).collect()}
     assert math.isnan(rows[1]["b"]) and math.isnan(rows[2]["a"])
+
+
+def test_tabulated_profile_matches_the_stars(spark):
+    from starfold.operators import epsf
+
+    stars = scattered(14, seed=5, apart=14.0)
+    image = field(spark, stars, noise=0.1)
+    given = spark.createDataFrame([(k, y + 0.1, x - 0.1, f * 0.95, 20.0) for k, (y, x, f) in enumerate(stars)], "id long, y double, x double, flux double, bkg double")
+    grid, placed = epsf.build(given, image, half=5, rounds=4)
+    n = grid.shape[0]
+    at = (np.arange(n) - n // 2) / 2
+    want = MP.profile(at[:, None], at[None, :], 3.0)
+    assert abs(grid - want).max() < 0.1 * want.max()
+    for r in placed.collect():
+        assert math.hypot(r["y"] - stars[r["id"]][0], r["x"] - stars[r["id"]][1]) < 0.15
+
+
+def test_grid_tools():
+    from starfold.operators import epsf
+
+    y, x = np.indices((15, 15)) - 7.0
+    g = np.exp(-((y - 0.3) ** 2 + (x + 0.2) ** 2) / 8)
+    holed = g.copy()
+    holed[5, 6] = holed[9, 9] = np.nan
+    assert abs(epsf.filled(holed) - g).max() < 0.05
+    quartic = 1 + y + x * y + y**2 * x**2 / 50
+    np.testing.assert_allclose(epsf.smoothed(quartic)[3:-3, 3:-3], quartic[3:-3, 3:-3], atol=1e-9)
+    c = epsf.centred(g)
+    assert abs((c * y).sum() / c.sum()) < 0.15
+    np.testing.assert_allclose(epsf.bicubic(g, np.array([3.0, 4.0]), np.array([5.0, 6.0])), [g[3, 5], g[4, 6]])
+    assert epsf.exponential_disk_kernel(1.0).sum() == pytest.approx(1) and epsf.pixel_response(4).sum() == pytest.approx(1)
+
+
+def test_joint_fit_shares_positions(spark):
+    from starfold.operators.measure import render
+    from starfold.plans import joint_fit
+
+    stars = scattered(10, seed=8)
+    src = spark.createDataFrame([(k, y, x, f) for k, (y, x, f) in enumerate(stars)], "id long, y double, x double, flux double")
+    images = spark.createDataFrame([("p", "a", 0.0, 0.0, 1.0), ("q", "b", 0.4, -0.3, 1.0)], "image string, band string, oy double, ox double, weight double")
+    one = lambda n, dy, dx, s: render(src.withColumns({"y": F.col("y") + dy, "x": F.col("x") + dx, "flux": F.col("flux") * s}), 3.0, 8).select(F.lit(n).alias("image"), "y", "x", F.col("model").alias("v"))
+    pixels = one("p", 0.0, 0.0, 1.0).unionByName(one("q", 0.4, -0.3, 0.3))
+    start = src.withColumns({"y": F.col("y") + 0.2, "x": F.col("x") - 0.2, "flux": F.col("flux") * 0.8})
+    found = joint_fit.fit_joint(start, images, pixels)
+    rows = {r["id"]: r for r in joint_fit.wide(found, ["a", "b"]).collect()}
+    for k, (y, x, f) in enumerate(stars):
+        r = rows[k]
+        assert (r["y"], r["x"], r["flux_a"], r["flux_b"]) == pytest.approx((y, x, f, 0.3 * f), rel=1e-2, abs=0.05)
+    assert joint_fit.significance(found).count() == len(stars)
+    with pytest.raises(ValueError):
+        joint_fit.wide(found, ["a", "A"])

@@ -252,7 +252,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
         return kept
     chosen = found.join(several.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi").where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = chosen.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("id").alias("_id")).drop("root")
-    again = docs.join(several.withColumnRenamed("id", "_id"), docs[id].eqNullSafe(F.col("_id")), "left_semi")
+    repeated = several.withColumnRenamed("id", "_id")
+    again = docs.join(repeated, docs[id].eqNullSafe(repeated["_id"]), "left_semi")
     again = again.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_own"), fingerprints(docs, text, shingle, seed).alias("_own_fp"))
     again = again.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")), "left_semi")
     return kept.unionByName(again.dropDuplicates(["_own", "_own_fp"]).select("_doc.*"))

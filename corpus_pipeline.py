@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm.decontam import without_benchmark
+from starfold.llm.near_copies import keep_dissimilar
 from starfold.llm.pii import find_pii, redact
 from starfold.llm.quality_rules import quality_rules
 from starfold.llm.sentencepiece_nbest import encode
-from starfold.llm.simhash import keep_first
 from starfold.shared import materialize
 
 
@@ -32,11 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near copies: four differing bits at most.
-
-    On these texts that is a word-shingle similarity of about 0.8 and more.
-    """
-    return keep_first(docs, shingle=3, radius=4, parts=6, bucket_limit=4096)
+    """One document, that of the smallest id, of each class of near copies: a five-word Jaccard similarity of 0.8 and more."""
+    return keep_dissimilar(docs, shingle=5, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

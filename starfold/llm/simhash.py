@@ -26,7 +26,7 @@ column are read.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -220,11 +220,11 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots
 
 
-def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius: int, parts: int, bucket_limit: int) -> DataFrame:
-    """``id``, ``fp``, ``root`` (its class's smallest fingerprint) and ``component_id`` for every row."""
-    marked = materialize(docs.select(F.col(id).alias("id"), fingerprints(docs, text, shingle, seed).alias("fp")), "simhash")
+def classes_of(docs: DataFrame, id: str, mark: Column, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id``, ``fp`` (the mark), ``root`` (its class's smallest mark) and ``component_id`` for every row; ``links`` joins distinct marks."""
+    marked = materialize(docs.select(F.col(id).alias("id"), mark.alias("fp")), "simhash")
     classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
-    roots = connected(near_links(classes.select("fp"), radius, parts, bucket_limit))
+    roots = connected(links(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
     lowest = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")  # apart, so that a join on a large class can be split
@@ -232,6 +232,10 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius
     return marked.join(found, "fp").select("id", "fp", "root", "component_id")
 
 
+def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius: int, parts: int, bucket_limit: int) -> DataFrame:
+    return classes_of(docs, id, fingerprints(docs, text, shingle, seed), lambda fps: near_links(fps, radius, parts, bucket_limit))
+
+
 def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
     """One row per document: ``fingerprint`` as a bigint and ``component_id``, the smallest id it is linked to."""
     found = _rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit)
@@ -243,7 +247,12 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
 
     Rows that share an id are told apart by their fingerprints; equal ones count as one row.
     """
-    found = materialize(_rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit), "simhash-found")
+    return first_of_class(docs, id, fingerprints(docs, text, shingle, seed), _rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit))
+
+
+def first_of_class(docs: DataFrame, id: str, mark: Column, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their class in ``found``; rows that share an id are told apart by ``mark``."""
+    found = materialize(found, "simhash-found")
     rows = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("id").eqNullSafe(F.col("component_id")), F.lit(False))).alias("first"))
     alone = rows.where("first and n = 1").select(F.col("id").alias("_id"))
     kept = docs.join(alone, docs[id].eqNullSafe(alone["_id"]), "left_semi")
@@ -255,7 +264,7 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     chosen = chosen.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("id").alias("_id")).drop("root")
     repeated = several.withColumnRenamed("id", "_id")
     again = docs.join(repeated, docs[id].eqNullSafe(repeated["_id"]), "left_semi")
-    again = again.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_own"), fingerprints(docs, text, shingle, seed).alias("_own_fp"))
+    again = again.select(F.struct(*docs.columns).alias("_doc"), F.col(id).alias("_own"), mark.alias("_own_fp"))
     again = again.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")), "left_semi")
     return kept.unionByName(again.dropDuplicates(["_own", "_own_fp"]).select("_doc.*"))
 

@@ -40,8 +40,8 @@ OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Candidate generators: name, pattern and the kind of the spans they add.
 GENERATORS = [
-    ("key", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{0,40}[0-9])[A-Za-z0-9_/+-]{16,128}+(?![A-Za-z0-9_/+-])", "secret"),
-    ("assigned", r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{4,128}+", "secret"),
+    ("key", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+(?![A-Za-z0-9_/+-])", "secret"),
+    ("assigned", r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{4,}+", "secret"),
     ("spelled", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64}+\s{0,2}(?:\(at\)|\[at\])\s{0,2}[a-z0-9-]{2,63}+\s{0,2}(?:\.|\(dot\)|\[dot\])\s{0,2}[a-z]{2,12}+", "contact"),
     ("number", r"\+?(?<![0-9])[0-9]{1,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])|\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}+(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{2,3}[.-][0-9]{4}(?![0-9-])", "number"),
 ]

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -199,15 +199,17 @@ def near_links(values: DataFrame, radius: int = 2, parts: int = 4, bucket_limit:
     return small.unionByName(large).distinct()
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node`` and ``root`` (its component's smallest node) for every node of the links.
 
     Each round takes the smallest root among a node's neighbours and then its root's root;
-    the rounds grow with the logarithm of the longest chain.
+    the rounds grow with the logarithm of the longest chain. A limit that is hit is an error.
     """
     both = materialize(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-links")
     roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "simhash-roots")
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise RuntimeError(f"roots still move after {rounds} rounds")
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("low"))
         hooked = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "low").alias("low"))
         # A root that has a smaller neighbour anywhere in its tree hooks onto it.

@@ -8,6 +8,7 @@ neighbours, not the square of the catalog. Positions that are not finite match n
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,12 +64,13 @@ def overlap_pairs(points: DataFrame, reach: int, cap: int) -> DataFrame:
     return ranked.select(F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")).distinct()
 
 
-def greedy_suppress(points: DataFrame, r: float, strict: bool = False, rounds: int = 200) -> DataFrame:
+def greedy_suppress(points: DataFrame, r: float, strict: bool = False, rounds: int | None = None) -> DataFrame:
     """The points that a visit in order of falling ``rank`` accepts: those with no accepted point within ``r``.
 
     Ties of rank go to the smaller id. Equal to the sequential visit: in each round, every
     undecided point without an undecided better neighbour is accepted and its neighbours are
-    dropped; the rounds follow the longest chain of falling neighbours, not the catalog.
+    dropped; the rounds follow the longest chain of falling neighbours, not the catalog. They go
+    on until no pair is open; a limit that is hit, or ranks without an order, are an error.
     """
     pairs = pairs_within(points, r)
     if strict:
@@ -78,12 +80,16 @@ def greedy_suppress(points: DataFrame, r: float, strict: bool = False, rounds: i
     first = C("ri") >= C("rj")  # i < j
     edges = materialize(ranked.select(F.when(first, C("i")).otherwise(C("j")).alias("better"), F.when(first, C("j")).otherwise(C("i")).alias("worse")), "suppress-edges")
     open_, dropped = edges, None
-    for _ in range(rounds):
+    for k in count():
         if not open_.head(1):
             break
+        if k == rounds:
+            raise RuntimeError(f"pairs are still open after {rounds} rounds")
         held = open_.select(C("worse").alias("id")).distinct()
         accepted = open_.select(C("better").alias("id")).distinct().join(held, "id", "left_anti")
         out = materialize(open_.join(accepted, C("better") == C("id"), "left_semi").select(C("worse").alias("id")).distinct(), "suppress-dropped")
+        if not out.head(1):
+            raise ValueError("ranks have no order")
         open_ = materialize(open_.join(out, C("worse") == C("id"), "left_anti").join(out, C("better") == C("id"), "left_anti"), "suppress-open")
         dropped = out if dropped is None else dropped.unionByName(out)
     return points if dropped is None else points.join(dropped, "id", "left_anti")

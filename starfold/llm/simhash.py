@@ -12,9 +12,9 @@ carry-save counters that hold the distances of all pairs at one lag, and a block
 once all its counters exceed the radius. A bucket reports links to a spanning tree, never all
 its pairs.
 
-A bucket of more than ``bucket_limit`` fingerprints is not compared in one task. Its members go the
-exact linear way: each emits itself and its neighbours up to half the radius away; two fingerprints
-within the radius share such a midpoint, and all that share one are within the radius of each other.
+A bucket of more than ``bucket_limit`` fingerprints is not compared in one task: its members are
+dealt to chunks by a hash, and every two chunks meet in a task of their own. So each pair is
+compared, a member is sent once for each other chunk, and no task holds more than two chunks.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other; a document
 of fewer words than a shingle has one shingle of all its words. Rows with a null id get a
@@ -25,7 +25,6 @@ column are read.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from itertools import combinations, count
 
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from ..shared import materialize, ship
 
 BITS = 64
+BLOCK = 64  # members from which a bucket is compared by itself, 64 members at a time
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -73,36 +73,68 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 5, seed: in
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes of 64-bit values: row b holds bit b of every value, packed 64 values to a word."""
-    pad = -len(values) % BITS
-    bits = np.unpackbits(np.concatenate([values, np.zeros(pad, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of values of one or more 64-bit words: row b holds bit b of every value, packed 64 values to a word."""
+    words = values.reshape(len(values), -1)
+    words = np.concatenate([words, np.zeros((-len(words) % 64, words.shape[1]), np.uint64)])
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(left: np.ndarray, right: np.ndarray, alive: np.ndarray, radius: int) -> np.ndarray:
     """Packed mask of the lanes in which ``left`` and ``right`` (bit planes) differ in at most ``radius`` bits.
 
-    Carry-save counters: counter k holds bit k of every lane's distance; a lane that passes the
-    radius leaves ``alive``, and the block is abandoned when no lane is left.
+    Carry-save counters: counter k holds bit k of every lane's distance; two planes and a counter
+    are added at once, their carries wait for another of the next level. After every 16 planes the
+    lanes past the radius leave ``alive``, and the block is abandoned when no lane is left.
     """
-    width = max(1, radius.bit_length())
+    width = max(radius.bit_length(), len(left).bit_length())
     count = [np.zeros_like(alive) for _ in range(width)]
-    for b in range(BITS):
-        carry = left[b] ^ right[b]
+    waiting: list = [None] * width
+
+    def add(plane: np.ndarray) -> None:
         for k in range(width):
-            count[k], carry = count[k] ^ carry, count[k] & carry
-        over = carry  # past the largest number that the counters hold
-        equal = ~np.zeros_like(alive)
+            if waiting[k] is None:
+                waiting[k] = plane
+                return
+            part = count[k] ^ waiting[k]
+            count[k], plane, waiting[k] = part ^ plane, (count[k] & waiting[k]) | (part & plane), None
+
+    def past() -> np.ndarray:
+        over, equal = np.zeros_like(alive), ~np.zeros_like(alive)
         for k in reversed(range(width)):
-            if not radius >> k & 1:
+            if radius >> k & 1:
+                equal = equal & count[k]
+            else:
                 over = over | (equal & count[k])
                 equal = equal & ~count[k]
-            else:
-                equal = equal & count[k]
-        alive = alive & ~over
-        if b % 8 == 7 and not alive.any():
-            break
-    return alive
+        return over
+
+    for b in range(len(left)):
+        add(left[b] ^ right[b])
+        if b % 16 == 15 and b + 1 < len(left):  # what waits is not counted yet, so none is dropped too early
+            alive = alive & ~past()
+            if not alive.any():
+                return alive
+    for level, plane in enumerate(waiting):
+        if plane is not None:
+            carry = plane
+            for k in range(level, width):
+                count[k], carry = count[k] ^ carry, count[k] & carry
+    return alive & ~past()
+
+
+def near_in_block(values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a bucket with the later members within the radius: 64 members at a time against all planes."""
+    every, n = planes(values), len(values)
+    bits = np.unpackbits(values.reshape(n, -1).view(np.uint8), axis=1, bitorder="little").astype(bool)
+    for at in range(0, n, 64):
+        own = np.where(bits[at : at + 64].T, ~np.uint64(0), np.uint64(0))[:, :, None]
+        rest = every[:, None, at // 64 :]
+        near = within(own, rest, np.full((own.shape[1], rest.shape[2]), ~np.uint64(0)), radius)
+        for q in np.flatnonzero(near.any(axis=1)).tolist():
+            others = np.flatnonzero(lanes(near[q], n - at)) + at
+            if (later := others[others > at + q]).size:
+                yield at + q, later
 
 
 def lanes(mask: np.ndarray, n: int) -> np.ndarray:
@@ -114,28 +146,26 @@ def pack(mask: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(bucket: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets (``bucket`` is sorted): for each member its tree's smallest row, where another."""
+    """Links within buckets (``bucket`` is sorted): members, and for each its tree's smallest row, where another."""
     n = len(values)
-    left_over = np.searchsorted(bucket, bucket, "right") - np.arange(n) - 1  # members after this one in its bucket
     label = np.arange(n)
-    rows = np.arange(n)
-    found: list[np.ndarray] = []
-    lag = 1
-    while True:
-        rows = rows[left_over[rows] >= lag]
-        if not len(rows):
-            break
+    starts, sizes = np.unique(bucket, return_index=True, return_counts=True)[1:]
+    for start, size in zip(starts[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist(), strict=True):
+        pairs = [np.stack([np.full(len(js), i), js]) for i, js in near_in_block(values[start : start + size], radius)]
+        own = np.arange(size)
+        for at in range(0, len(pairs), 1024):
+            own = _join(own, np.concatenate(pairs[at : at + 1024], axis=1))
+        label[start : start + size] = own + start
+    left_over = np.repeat(starts + sizes, sizes) - np.arange(n) - 1  # members after this one in its bucket
+    rows, lag, found = np.flatnonzero(np.repeat(sizes, sizes) <= BLOCK), 1, []
+    while len(rows := rows[left_over[rows] >= lag]):
         near = lanes(within(planes(values[rows]), planes(values[rows + lag]), pack(np.ones(len(rows), bool)), radius), len(rows))
-        if near.any():
-            found.append(np.stack([rows[near], rows[near] + lag]))
-        if len(found) >= 64 or sum(x.shape[1] for x in found) > 1 << 20:
-            label = _join(label, np.concatenate(found, axis=1))
-            found = []
+        found.append(np.stack([rows[near], rows[near] + lag]))
         lag += 1
     if found:
         label = _join(label, np.concatenate(found, axis=1))
-    other = label != np.arange(n)
-    return values[other], values[label[other]]
+    other = np.flatnonzero(label != np.arange(n))
+    return other, label[other]
 
 
 def _join(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -152,51 +182,48 @@ def _join(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(batches: Iterator[pd.DataFrame], radius: int, rows: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Links within the buckets of a stream that is sorted by bucket; a cut bucket is carried over."""
-    rest = pd.DataFrame({"key": np.empty(0, np.int64), "fp": np.empty(0, np.int64)})
+def compare(batches: Iterator[pd.DataFrame], radius: int, name: str = "fp", value: tuple[str, ...] = ("fp",), rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Links ``a``, ``b`` (of ``name``) within the buckets of a stream that is sorted by ``key``; a cut bucket is carried over."""
+    rest = None
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
-        key = part["key"].to_numpy()
+        key, names = part["key"].to_numpy(), part[name].to_numpy()
         run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key
-        a, b = bucket_links(run, part["fp"].to_numpy().view(np.uint64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        own, root = bucket_links(run, np.stack([part[v].to_numpy().view(np.uint64) for v in value], axis=1), radius)
+        return pd.DataFrame({"a": names[own], "b": names[root]}, dtype="int64")
 
     for batch in batches:
-        rest = pd.concat([rest, batch[["key", "fp"]]], ignore_index=True)
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if len(rest) >= rows:
-            last = rest["key"].iloc[-1]
-            cut = len(rest) - int((rest["key"].to_numpy() == last).sum())
+            cut = int((rest["key"].to_numpy() != rest["key"].iloc[-1]).sum())
             yield links(rest.iloc[:cut])
             rest = rest.iloc[cut:].reset_index(drop=True)
-    yield links(rest)
+    if rest is not None:
+        yield links(rest)
+
 
+def in_buckets(members: DataFrame, size: Column, limit: int, name: str) -> DataFrame:
+    """``members`` of buckets ``key`` of a known ``size``, those over ``limit`` split into pairs of chunks; sorted by ``key`` within tasks."""
+    chunks = F.greatest(F.ceil(size / limit), F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64(F.lit(7), name), F.col("_chunks"))
+    other = F.explode(F.when(F.col("_chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1), F.array("_own"))))
+    dealt = members.withColumn("_chunks", chunks).withColumn("_own", own).withColumn("_other", other)
+    dealt = dealt.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_chunks", "_own", "_other")
+    return dealt.repartition("key").sortWithinPartitions("key", name)
 
-def near_links(values: DataFrame, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
+
+def near_links(values: DataFrame, radius: int = 2, parts: int = 4, bucket_limit: int = 2048) -> DataFrame:
     """Links ``a``, ``b`` among the distinct fingerprints ``fp`` that connect all pairs within the radius."""
-    if radius not in (1, 2, 4) or radius >= parts:
-        raise ValueError("radius must be 1, 2 or 4 and below parts")
+    if not 0 < radius < parts:
+        raise ValueError("radius must be below parts")
     edges = [round(BITS * k / parts) for k in range(parts + 1)]
     mask = lambda ks: sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in ks)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(mask(ks))).cast("long")).alias("part")) for t, ks in enumerate(combinations(range(parts), max(1, parts - radius)))]
+    tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(mask(ks))).cast("long")).alias("part")) for t, ks in enumerate(combinations(range(parts), parts - radius))]
     keyed = values.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", F.xxhash64("k.t", "k.part").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(keyed.join(sizes, "key"), "simhash-buckets")  # few fingerprints share a bucket
-
-    ordered = members.where(F.col("n") <= bucket_limit).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    small = ordered.mapInPandas(lambda batches: compare(batches, radius), "a long, b long")
-
-    # A fingerprint and its neighbours up to half the radius away.
-    near = [sum(1 << b for b in bs) for n in range(max(1, radius // 2) + 1) for bs in combinations(range(BITS), n)]
-    flips = F.from_json(F.lit(json.dumps([signed(m) for m in near])), "array<bigint>")
-    crowded = members.where(F.col("n") > bucket_limit).select("fp").distinct()
-    middle = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    hubs = middle.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    large = middle.join(hubs, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    if radius == 1:
-        large = large.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1)
-    return small.unionByName(large).distinct()
+    members = keyed.join(sizes, "key")  # few fingerprints share a bucket
+    return in_buckets(members, F.col("n"), bucket_limit, "fp").select("key", "fp").mapInPandas(lambda batches: compare(batches, radius), "a long, b long").distinct()
 
 
 def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -222,11 +249,10 @@ def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return roots
 
 
-def classes_of(docs: DataFrame, id: str, mark: Column, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``id``, ``fp`` (the mark), ``root`` (its class's smallest mark) and ``component_id`` for every row; ``links`` joins distinct marks."""
-    marked = materialize(docs.select(F.col(id).alias("id"), mark.alias("fp")), "simhash")
+def classes_of(marked: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For rows of ``id`` and ``fp`` (a mark): ``root`` (its class's smallest mark) and ``component_id`` too; ``links`` joins distinct marks."""
     classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
-    roots = connected(links(classes.select("fp")))
+    roots = connected(links(classes))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
     lowest = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")  # apart, so that a join on a large class can be split
@@ -235,16 +261,17 @@ def classes_of(docs: DataFrame, id: str, mark: Column, links: Callable[[DataFram
 
 
 def _rooted(docs: DataFrame, id: str, text: str, shingle: int, seed: int, radius: int, parts: int, bucket_limit: int) -> DataFrame:
-    return classes_of(docs, id, fingerprints(docs, text, shingle, seed), lambda fps: near_links(fps, radius, parts, bucket_limit))
+    marked = materialize(docs.select(F.col(id).alias("id"), fingerprints(docs, text, shingle, seed).alias("fp")), "simhash")
+    return classes_of(marked, lambda classes: near_links(classes.select("fp"), radius, parts, bucket_limit))
 
 
-def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
+def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 2048) -> DataFrame:
     """One row per document: ``fingerprint`` as a bigint and ``component_id``, the smallest id it is linked to."""
     found = _rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit)
     return found.select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 256) -> DataFrame:
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, radius: int = 2, parts: int = 4, bucket_limit: int = 2048) -> DataFrame:
     """``docs`` with one row left of each class, the one of the smallest id; its columns unchanged.
 
     Rows that share an id are told apart by their fingerprints; equal ones count as one row.

@@ -31,9 +31,10 @@ def firsts(rows: list[tuple[int, str]]) -> set[int]:
     return {rows[k][0] for k in range(len(rows)) if top(k) == k}
 
 
-@pytest.mark.parametrize("frequent", [near_copies.FREQUENT, 2])
-def test_stage_matches_brute_force_jaccard(spark, monkeypatch, frequent):
-    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+@pytest.mark.parametrize("limit", [1024, 6])
+def test_stage_matches_brute_force_jaccard(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_copies, "BUCKET_LIMIT", limit)
+    monkeypatch.setattr(near_copies, "GROUP_LIMIT", limit)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     texts, common = [], " ".join(word() for _ in range(30))

@@ -1,13 +1,15 @@
 """The corpus pipeline against a brute-force version of its stages, on the smallest tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starfold.llm import decontam, quality_rules
-from tests.llm.test_text_operators import components, plain_print
+from starfold.llm import decontam, pii, quality_rules, sentencepiece_nbest
+from tests.llm.test_near_copies import firsts
+from tests.llm.test_text_operators import PLAIN, valid
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,13 +20,27 @@ def test_stages_match_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     limits = quality_rules.Limits()
     rows = [r for r in rows if quality_rules.measure(r[1], limits)[6]]
-    low = components([plain_print(t, 3) for _, t in rows], 4)
-    rows = [r for k, r in enumerate(rows) if low[k] == k]
+    first = firsts([(d, t or "") for d, t in rows])
+    rows = [r for r in rows if r[0] in first]
     items = [decontam.reduced(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r in rows if not any(i in decontam.reduced(r[1]) for i in items)]
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    encoded = corpus_pipeline.run(spark, SF)
+    out = {r["doc_id"]: r for r in encoded.collect()}
     assert set(out) == {d for d, _ in rows} and all(r["exact"] for r in out.values())
 
+    # The last stage's pieces are those of the texts with every span replaced.
+    added = {r["doc_id"]: r["pii"]["added"] for r in pii.find_pii(docs).select("doc_id", "pii").collect()}
+    text = {r["doc_id"]: r["text"] for r in sentencepiece_nbest.decode(encoded, ["doc_id"]).collect()}
+    changed = 0
+    for d, t in rows:
+        spans = [(m.start(), m.end(), k) for k, p in PLAIN.items() for m in re.finditer(p, t) if valid(k, m.group())]
+        want, at = "", 0
+        for a, z, kind in sorted(spans + [(s["start"], s["end"], s["kind"]) for s in added[d]]):
+            want, at = (want + t[at:a] + f"[{kind}]" if a >= at else want), max(at, z)
+        assert text[d] == want + t[at:]
+        changed += want != ""
+    assert changed > 5
+
 
 def test_stages_keep_columns_and_survive_clashing_names(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, rules string, pii string, fp string, id string"

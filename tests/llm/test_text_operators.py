@@ -90,7 +90,7 @@ def components(prints, radius):
     return [find(x) for x in range(len(prints))]
 
 
-@pytest.mark.parametrize("limit", [256, 2])
+@pytest.mark.parametrize("limit", [2048, 2])
 def test_simhash_classes_match_brute_force(spark, words, limit):
     texts = [*AWKWARD, words(200, 1), words(200, 1), words(200, 1) + " end", words(200, 2), words(199, 2), *[words(150, 7) + f" tail{k}" for k in range(12)]]
     rows = simhash.simhash_classes(frame(spark, texts), shingle=3, bucket_limit=limit).collect()
@@ -110,6 +110,17 @@ def test_bit_sliced_distances():
         assert near.tolist() == [(int(a) ^ int(b)).bit_count() <= radius for a, b in zip(base, other, strict=True)]
 
 
+def test_blocks_of_a_bucket_report_every_near_pair():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, (3, 2), dtype=np.uint64)
+    values = np.repeat(base, 70, axis=0)
+    for row in values:
+        for b in r.choice(126, r.integers(0, 12), replace=False):
+            row[b // 63] ^= np.uint64(1) << np.uint64(b % 63)
+    want = {(i, j) for i in range(210) for j in range(i + 1, 210) if int(np.bitwise_count(values[i] ^ values[j]).sum()) <= 9}
+    assert {(i, int(j)) for i, js in simhash.near_in_block(values, 9) for j in js} == want
+
+
 @pytest.mark.parametrize(("radius", "parts"), [(1, 3), (2, 4), (4, 6)])
 def test_links_of_crowded_buckets_lose_nothing(spark, radius, parts):
     r = random.Random(8)

@@ -60,14 +60,15 @@ URLS = rf"""WITH a AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WH
  d AS (SELECT *, string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, regexp_extract(url, '\?([^#]*)', 1) AS query FROM c),
  e AS (SELECT rid, page_id, host, path, len(list_intersect(regexp_split_to_array(host, '[.\-]'), [{_SEEDS}])) > 0 AS bad, list_filter([
    CASE WHEN ls[-1] <> '' THEN 'tld=' || ls[-1] END, CASE WHEN len(ls) >= 2 THEN 'domain=' || ls[-2] || '.' || ls[-1] END, CASE WHEN len(ls) >= 3 AND ls[-3] <> '' THEN 'site=' || ls[-3] END,
+   CASE WHEN len(ls) >= 3 AND regexp_extract(ls[-3], '-([^-]+)$', 1) <> '' THEN 'part=' || regexp_extract(ls[-3], '-([^-]+)$', 1) END,
    CASE WHEN len(ls) >= 4 AND array_to_string(ls[1:len(ls) - 3], '.') <> '' THEN 'sub=' || array_to_string(ls[1:len(ls) - 3], '.') END, 'seg1=' || segs[1], 'seg2=' || regexp_replace(segs[2], '[0-9]+', '0', 'g'),
    CASE WHEN regexp_extract(path, '\.([A-Za-z0-9]{{1,5}})$', 1) <> '' THEN 'ending=' || regexp_extract(path, '\.([A-Za-z0-9]{{1,5}})$', 1) END,
    CASE WHEN query <> '' THEN 'query=' || array_to_string(list_sort(list_distinct(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^[^=]*')))), '&') END], lambda x: x IS NOT NULL) AS tokens FROM d),
- known AS (SELECT page_id, bool_or(bad) AS bad FROM e GROUP BY page_id),
+ known AS (SELECT page_id, bool_or(bad) AS bad FROM e WHERE left(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1) >= '4' GROUP BY page_id),
  n AS (SELECT count(*) AS n FROM e JOIN known USING (page_id) WHERE len(tokens) > 0),
  sets AS (SELECT rid, page_id, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS items FROM (SELECT rid, page_id, tokens, unnest(range(1, CAST(pow(2, len(tokens)) AS BIGINT))) AS m FROM e WHERE len(tokens) > 0)),
  counted AS (SELECT items, count(*) AS freq, count(*) FILTER (known.bad) AS hits FROM sets JOIN known USING (page_id) GROUP BY items),
- mined AS (SELECT items, hits / freq AS conf FROM counted, n WHERE hits >= ceil(greatest(0.002, 20 / n) * n) AND hits >= 0.9 * freq),
+ mined AS (SELECT items, hits / freq AS conf FROM counted, n WHERE hits >= ceil(greatest(0.002, 3 / n) * n) AND hits >= 0.9 * freq),
  best AS (SELECT rid, max(conf) AS conf FROM sets JOIN mined USING (items) GROUP BY rid),
  rules AS (SELECT verdict, h, p FROM (VALUES {_RULES}) AS t(verdict, h, p)),
  fit AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC) AS k FROM e, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))

@@ -1,12 +1,12 @@
 """URL filter: fixed host and path rules first, mined association rules for the rest.
 
-Each URL becomes a set of at most eight tokens, one for each slot (top-level domain, domain,
-site below it, the labels before that, two path segments, file ending, query names). FP-growth mines the
+Each URL becomes a set of at most nine tokens, one for each slot (top-level domain, domain,
+site below it, the site's last hyphenated part, the labels before the site, two path segments, file ending, query names). FP-growth mines the
 token combinations that occur with the label "block" among labelled pages; rules are pruned
 by support, confidence and by rules of fewer tokens that are as sure. An inverted index from
 a rule's rarest token to the rules under that token matches them against every URL.
 
-A URL has one token in each slot, so at most 2^8 / support combinations are frequent, however
+A URL has one token in each slot, so at most 2^9 / support combinations are frequent, however
 large the table is: that bounds the mined rules and the broadcast index.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule and
@@ -18,19 +18,20 @@ and the verdict is allow. Only the named columns are read.
 from __future__ import annotations
 
 import string
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = ("tld", "domain", "site", "sub", "seg1", "seg2", "ending", "query")
+SLOTS = ("tld", "domain", "site", "part", "sub", "seg1", "seg2", "ending", "query")
 BLOCK = "label=block"
 
 # Verdict, host and path of each rule.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
-#: Words in a host that mark a page as one to block, when pages are labelled for mining.
+#: Words in a host that mark a labelled page as one to block.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 
 
@@ -51,6 +52,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         "tld": F.element_at(labels, -1),
         "domain": F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")),
         "site": F.when(F.size(labels) >= 3, F.element_at(labels, -3)),
+        "part": F.when(F.size(labels) >= 3, F.regexp_extract(F.element_at(labels, -3), r"-([^-]+)$", 1)),
         "sub": F.when(F.size(labels) >= 4, F.array_join(F.slice(labels, 1, F.size(labels) - 3), ".")),
         "seg1": F.try_element_at(segs, F.lit(1)),
         "seg2": F.regexp_replace(F.try_element_at(segs, F.lit(2)), r"[0-9]+", "0"),
@@ -74,14 +76,15 @@ def mined_rules(tokens: DataFrame, support: float, confidence: float, min_pages:
     with_block = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("hits"))
     sure = with_block.join(sets, "items").where(F.col("hits") >= confidence * F.col("freq"))
     rows = sorted(((r["items"], r["hits"] / r["freq"], r["freq"]) for r in sure.collect()), key=lambda r: (len(r[0]), r[0]))
-    kept: list[tuple[list[str], float, int]] = []
+    kept: dict[tuple[str, ...], tuple[float, int]] = {}
     for items, conf, freq in rows:  # a longer rule stays only if it is surer than each rule within it
-        if not any(set(k[0]) <= set(items) and k[1] >= conf for k in kept):
-            kept.append((items, conf, freq))
-    return kept
+        within = (x for n in range(1, len(items)) for x in combinations(items, n))
+        if not any(x in kept and kept[x][0] >= conf for x in within):
+            kept[tuple(items)] = conf, freq
+    return [(list(items), conf, freq) for items, (conf, freq) in kept.items()]
 
 
-def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = 0.002, confidence: float = 0.9, min_pages: int = 20) -> DataFrame:
+def url_verdicts(pages: DataFrame, labels: DataFrame | None = None, id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, support: float = 0.002, confidence: float = 0.9, min_pages: int = 3) -> DataFrame:
     """One row per page: host, path, the longest fitting rule or null, and the verdict.
 
     ``labels`` has ``id`` and a boolean ``bad``.

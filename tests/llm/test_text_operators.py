@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from starfold.llm import byte_cnn, class_lm, decontam, license_scan, pii, quality_rules, sentencepiece_nbest, simhash, toxicity, url_rules
+from starfold.llm import byte_cnn, class_lm, decontam, license_scan, pii, quality_rules, queries, sentencepiece_nbest, simhash, toxicity, url_rules
 
 BLANK = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, score string, rules string, pii string, row string, fp string"
@@ -288,6 +289,26 @@ def test_mined_rules_generalise_from_labels(spark):
     assert all((r["verdict"] == "block") == ("bad-site" in urls[r["page_id"]] and "/p/" in urls[r["page_id"]]) for r in rows)
 
 
+def test_mined_rules_block_hosts_without_a_seed_word(spark):
+    hosts = ["www.casino-win.example.net", "m.lucky-win.example.net", "blog.quiet-page.example.net", "casino-page.example.net"]
+    pages = spark.createDataFrame([(k, f"http://{hosts[k % 4]}/fr/{k}") for k in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 4 == 0) for k in range(200) if k % 4 in (0, 2)], "page_id long, bad boolean")
+    rows = url_rules.url_verdicts(pages, labels).collect()
+    assert {(r["host"], r["verdict"]) for r in rows} == {(hosts[0], "block"), (hosts[1], "block"), (hosts[2], "allow"), (hosts[3], "allow")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_mined_rules_add_verdicts_on_pages_without_a_label(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    labels = queries.page_labels(pages)
+    known = {r["page_id"] for r in labels.collect()}
+    method = {r["page_id"]: r for r in url_rules.url_verdicts(pages, labels).collect()}
+    plain = {r["page_id"]: r["verdict"] for r in url_rules.url_verdicts(pages).collect()}
+    seeded = {d for d, r in method.items() if set(re.split(r"[.-]", r["host"])) & set(url_rules.SEEDS)}
+    changed = {d for d, r in method.items() if r["verdict"] != plain[d]}
+    assert changed - known and changed <= seeded
+
+
 # License scan
 
 

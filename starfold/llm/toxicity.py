@@ -1,26 +1,34 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks.
 
 The kernel of two strings sums, over their common three-letter subsequences with at most
-``GAPS`` skipped letters between neighbours, a weight that decays with the letters spanned;
-so an insult with letters inserted or left out stays close to the plain one. Strings are the
+``GAPS`` skipped letters between neighbours, a weight that decays with the letters spanned, and
+is scaled to 1 for equal strings. A word's ends may count as letters.
+So an insult with letters inserted or left out stays close to the plain one. Strings are the
 words of a text, lower-cased, with marks removed from within, and runs of single letters
 taken together.
 
 Words are instances, texts are bags: a toxic text need only hold one toxic word. Training
-takes a bounded sample of labelled texts (``max_texts``), chooses as landmarks the words whose
-counts lean most to either label, maps words to kernel values against the landmarks times the
-inverse root of the landmarks' own kernel matrix (Nyström), and alternates between a linear
-SVM and the search for clean texts' words that it takes for toxic, which join the training. A
-text's score is a logistic curve of its largest word margin, fitted on the sample with each
-label weighted by its count in all training labels.
+takes a bounded sample of labelled texts (``max_texts``) and fits two machines on it.
 
-The Nyström map and the SVM's weights fold into one weight for each gapped letter triple, so
-scoring is a sum of table lookups at every letter of the whole text, in numpy.
+The plain machine knows many words: the Nyström landmarks are words whose counts lean most to either
+label, and a linear SVM alternates with the search for clean words that it takes for toxic. Its
+map and weights fold into one weight for each letter triple, so a margin is a sum of table lookups.
+
+The close machine knows altered forms. Its kernel is the power ``POWER`` of the one with words' ends.
+It learns the words that lean most (at least half as much as the first) and forms of theirs made by
+rule (``variants``), against all clean words that come within ``NEAR`` of them. A word further away
+has the margin ``FAR``; an upper bound on the closeness to all toxic landmarks at once is again a
+sum of lookups, so only few words meet the landmarks one by one.
+
+A logistic curve for each machine turns a text's largest word margin into a probability; that of the
+close one is fitted on toxic texts with altered words too. Each label is weighted by its count in all
+training labels. The score is the probability that at least one machine is right (noisy or). Triples share 2^``BITS`` slots by a hash; of the some thousand that carry a
+weight, about one in a hundred shares its slot with another.
 
 Defined results: a null or empty text has no words and gets the score of that. Texts with a
 null label, or without one, are only scored. If the sample has one class only, the score is
 that class's share, smoothed. Repeated rows are scored row by row, empty tables give empty
-results. Only the named columns are read.
+results. Equal margins and leans are ordered by the word. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +45,8 @@ from pyspark.sql import functions as F
 
 from ..shared import ship
 
-DECAY, GAPS, BITS = 0.6, 1, 16
+DECAY, GAPS, BITS = 0.6, 1, 18
+POWER, NEAR, FAR = 2, 0.3, -2.0
 STEPS = [(a, a + b) for a in range(1, GAPS + 2) for b in range(1, GAPS + 2)]  # offsets of the second and third letter
 SPLIT = re.compile(rb"[\x00-\x20]+")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]){2,}[^\W_](?![^\W_])")
@@ -52,8 +61,8 @@ def prepared(text: str | None) -> bytes:
     return b" " + b" ".join(t.encode().translate(None, MARKS).split()) + b" "
 
 
-def triples(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each gap pattern: positions where no space is spanned, the triple's slot, its weight."""
+def triples(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """For each gap pattern: positions whose triple lies in one word, those where it may hold one of its ends, the triple's slot, its weight."""
     x = data.astype(np.uint32)
     space = np.concatenate([[0], np.cumsum(data == 32)])
     for a, b in STEPS:
@@ -62,58 +71,143 @@ def triples(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
             continue
         key = (x[:n] * np.uint32(0x9E3779B1)) ^ (x[a : n + a] * np.uint32(0x85EBCA6B)) ^ (x[b:] * np.uint32(0xC2B2AE35))
         key ^= key >> np.uint32(15)
-        yield space[b + 1 :] == space[:n], ((key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)).astype(np.int64), DECAY ** (b - 2)
+        spanned = space[b + 1 :] - space[:n]
+        ends = (space[b : n + b] == space[1 : n + 1]) & (spanned <= 1)
+        yield spanned == 0, ends, ((key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)).astype(np.int64), DECAY ** (b - 2)
+
+
+def norms(square: np.ndarray, plain: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What a word's sums are divided by; the second term holds for words that repeat a few triples."""
+    return np.maximum(np.maximum(np.sqrt(np.add.reduceat(square, starts)), np.add.reduceat(plain, starts) / 8), 1e-9)
 
 
-def word_sums(data: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of prepared text: the weighted sum of its triples, and their norm."""
+def word_sums(data: np.ndarray, weight: np.ndarray, ends: bool, row_of: np.ndarray | None = None) -> np.ndarray:
+    """For each word of prepared text: its triples' weights (by slot, or by the row of a slot) summed and divided by the word's norm."""
     starts = np.flatnonzero(data == 32)[:-1]
+    total, square, plain = np.zeros((len(data), *weight.shape[1:])), np.zeros(len(data)), np.zeros(len(data))
+    for inside, with_ends, key, w in triples(data):
+        own = with_ends if ends else inside
+        at = np.where(own, key, 1 << BITS)  # past the last slot there is no weight
+        total[: len(key)] += weight[at if row_of is None else row_of[at]] * w
+        square[: len(key)] += own * (w * w)
+        plain[: len(key)] += own * w
     if not len(starts):
-        return np.empty(0), np.empty(0)
-    total, square, plain = np.zeros(len(data)), np.zeros(len(data)), np.zeros(len(data))
-    for whole, key, w in triples(data):
-        total[: len(key)] += np.where(whole, weight[key], 0.0) * w
-        square[: len(key)] += whole * (w * w)
-        plain[: len(key)] += whole * w
-    return np.add.reduceat(total, starts), length_of(np.add.reduceat(square, starts), np.add.reduceat(plain, starts))
+        return total[:0]
+    return np.add.reduceat(total, starts) / norms(square, plain, starts).reshape(-1, *[1] * (weight.ndim - 1))
 
 
-def length_of(square: np.ndarray, plain: np.ndarray) -> np.ndarray:
-    """What a word's kernel values are divided by; the second term holds for words that repeat a few triples."""
-    return np.maximum(np.sqrt(square), plain / 8)
+def both_sums(data: np.ndarray, plain_weight: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the plain machine's weights (without ends) and of the bound (with ends), in one pass; words without a triple sum to minus infinity."""
+    starts = np.flatnonzero(data == 32)[:-1]
+    sums = np.zeros((6, len(data)))
+    for inside, with_ends, key, w in triples(data):
+        for k, own, weight in ((0, inside, plain_weight), (3, with_ends, bound)):
+            sums[k, : len(key)] += np.where(own, weight[key], 0.0) * w
+            sums[k + 1, : len(key)] += own * (w * w)
+            sums[k + 2, : len(key)] += own * w
+    if not len(starts):
+        return np.empty(0), np.empty(0)
+    plain, close = (np.add.reduceat(sums[k], starts) / norms(sums[k + 1], sums[k + 2], starts) for k in (0, 3))
+    return np.where(np.add.reduceat(sums[1], starts) > 0, plain, -np.inf), close
 
 
-def features(word: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and unit-length weights of a word's gapped triples."""
-    found = [(key[whole], np.full(int(whole.sum()), value)) for whole, key, value in triples(np.frombuffer(b" " + word + b" ", np.uint8))]
-    keys, weights = (np.concatenate(x) for x in zip(*found, strict=True))
-    return keys, weights / max(float(length_of((weights**2).sum(), weights.sum())), 1e-9)
+def joined(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
 
 
 def variants(word: bytes) -> list[bytes]:
-    """The word with one letter put in, at each of two places."""
-    n = len(word)
-    return [word[:k] + b"xz"[j : j + 1] + word[k:] for j, k in enumerate((n // 3 + 1, 2 * n // 3))]
+    """The word with one letter put in, one left out, and two put in apart, after its first letter."""
+    n, letters = len(word), b"xzaeiokq"
+    put = [word[:k] + letters[j : j + 1] + word[k:] for k in range(1, n) for j in ((k + n) % 8, (3 * k + n + 4) % 8)]
+    out = [word[:k] + word[k + 1 :] for k in range(1, n)] if n > 4 else []
+    two = [word[:k] + letters[k % 8 : k % 8 + 1] + word[k:m] + letters[(k + m) % 8 : (k + m) % 8 + 1] + word[m:] for k in range(1, n - 1) for m in (min(n - 1, k + 2),) if m > k]
+    return list(dict.fromkeys(put + out + two))
+
+
+class Marks:
+    """Landmarks of the kernel, with the words' ends or without: their triples by slot."""
+
+    def __init__(self, words: list[bytes], ends: bool):
+        self.words, self.ends = words, ends
+        masked = [(with_ends if ends else inside, key, w, k) for k, word in enumerate(words) for inside, with_ends, key, w in triples(joined([word]))]
+        found = [(key[own], np.full(int(own.sum()), w), k) for own, key, w, k in masked]
+        slots, first = np.unique(np.concatenate([x for x, _, _ in found]), return_inverse=True)
+        self.table = np.zeros((len(slots) + 1, len(words)))  # the last row is empty
+        np.add.at(self.table, (first, np.repeat([k for _, _, k in found], [len(x) for x, _, _ in found])), np.concatenate([w for _, w, _ in found]))
+        data = joined(words)
+        square, plain = np.zeros(len(data)), np.zeros(len(data))
+        for inside, with_ends, key, w in triples(data):
+            own = with_ends if ends else inside
+            square[: len(key)] += own * (w * w)
+            plain[: len(key)] += own * w
+        self.table /= norms(square, plain, np.flatnonzero(data == 32)[:-1])
+        self.row_of = np.full((1 << BITS) + 1, len(slots), np.int32)
+        self.row_of[slots] = np.arange(len(slots))
+
+    def kernel(self, words: list[bytes], most: int = 5000) -> np.ndarray:
+        """Scaled kernel of words with the landmarks."""
+        parts = [word_sums(joined(words[at : at + most]), self.table, self.ends, self.row_of) for at in range(0, len(words), most)]
+        return np.concatenate([np.empty((0, self.table.shape[1])), *parts])
+
+    def root(self, power: int) -> np.ndarray:
+        """Inverse root of the landmarks' kernel matrix: values against the landmarks times this are Nyström features."""
+        value, vector = np.linalg.eigh(self.kernel(self.words) ** power)
+        return vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+
+
+def apart(words: list[bytes], close: float, most: int, ends: bool) -> list[bytes]:
+    """The first words, at most ``most``, whose kernel with each before them is below ``close``."""
+    found: list[bytes] = []
+    for w in words:
+        if len(found) == most:
+            break
+        if not found or Marks(found, ends).kernel([w]).max() < close:
+            found.append(w)
+    return found
 
 
 @dataclass
 class Model:
-    """Weights by triple slot, the bias, and the logistic curve of a text's largest word margin."""
-
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
-    bias: float = 0.0
-    curve: tuple[float, float] = (0.0, 0.0)
-
-    def margins(self, prepared_text: bytes) -> np.ndarray:
-        total, norm = word_sums(np.frombuffer(prepared_text, np.uint8), self.weight)
-        return np.where(norm > 0, total / np.maximum(norm, 1e-9) + self.bias, -2.0)
-
-    def top(self, text: str | None) -> float:
-        return float(self.margins(prepared(text)).max(initial=-2.0))
+    """The plain machine, folded to slots; the close machine and its bound by slot; the logistic curves of a text's largest margins."""
+
+    fold: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1))
+    bound: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1))
+    bias: float = FAR
+    marks: Marks | None = None
+    toxic: int = 0  # that many landmarks of the close machine are toxic words
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    near_bias: float = FAR
+    curves: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (-30.0, 0.0))
+    seen: dict[bytes, float] = field(default_factory=dict)
+
+    def near_margins(self, words: list[bytes]) -> np.ndarray:
+        k = self.marks.kernel(words)
+        return np.where(k[:, : self.toxic].max(axis=1, initial=0.0) >= NEAR, k**POWER @ self.weight + self.near_bias, FAR)
+
+    def tops(self, texts: list[bytes]) -> np.ndarray:
+        """The largest margins of each prepared text by the plain and the close machine."""
+        top, near = np.full((len(texts), 2), FAR), []
+        for k, t in enumerate(texts):
+            sums, close = both_sums(np.frombuffer(t, np.uint8), self.fold, self.bound)
+            may = np.flatnonzero(close >= NEAR)
+            words = t.split() if len(may) else []
+            near.append({words[j] for j in may.tolist()})
+            top[k, 0] = max(FAR, sums.max(initial=FAR) + self.bias)
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        if new := sorted(set().union(*near) - self.seen.keys()):
+            self.seen.update(zip(new, self.near_margins(new).tolist(), strict=True))
+        for k, words in enumerate(near):
+            top[k, 1] = max([FAR, *map(self.seen.__getitem__, words)])
+        return top
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        top = self.tops([prepared(t) for t in texts])
+        clear = [1 / (1 + np.exp(np.clip(a + b * top[:, k], -30, 30))) for k, (a, b) in enumerate(self.curves)]
+        return 1 - clear[0] * clear[1]
 
     def score(self, text: str | None) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * self.top(text), -30, 30))))
+        return float(self.scores([text])[0])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -134,73 +228,92 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3
     """Logistic curve of one margin, weighted, towards smoothed targets."""
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([np.ones(len(x)), x], axis=1)
-    w = np.zeros(2)
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(2)
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
         w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (target - p)) - ridge * w), -5, 5)
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = None, landmarks: int = 128, rounds: int = 4) -> Model:
-    """The model of a bounded sample of labelled texts; ``counts``: how many texts have each label in all."""
+def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = None, landmarks: int = 128, rounds: int = 4, instances: tuple[int, int, int, int] = (600, 100, 1000, 1500)) -> Model:
+    """The model of a bounded sample of labelled texts; ``counts``: how many texts have each label in all.
+
+    ``instances`` bounds what the plain machine is fitted on, the most leaning words first: toxic words,
+    those of them with altered forms, clean words, and clean words added in each of the ``rounds``.
+    """
     y = np.array(toxic, int)
     counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
     prior = float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
-        return Model(curve=(prior, 0.0))
+        return Model(curves=((prior, 0.0), (-30.0, 0.0)))
     ready = [prepared(t) for t in texts]
-    bags = [[w for w in dict.fromkeys(t.split()) if len(w) >= 3 and not w.isdigit()] for t in ready]
+    bags = [[w for w in dict.fromkeys(t.split()) if len(w) >= 3] for t in ready]
     has = (Counter(), Counter())
-    for b, t in zip(bags, toxic, strict=True):
-        has[t].update(b)
+    for bag, t in zip(bags, toxic, strict=True):
+        has[t].update(bag)
     lean = {w: np.sqrt(has[0][w] + has[1][w]) * np.log(((has[1][w] + 0.5) / (n1 + 1)) / ((has[0][w] + 0.5) / (n0 + 1))) for w in set(has[0]) | set(has[1]) if has[0][w] + has[1][w] >= 2}
     ranked = sorted(lean, key=lambda w: (-lean[w], w))
-    z = np.zeros((1 << BITS, landmarks), np.float32)  # the landmarks' triples, one column for each
-    n_marks = 0
-    for side, most in ((ranked[:1500], landmarks // 2), (ranked[::-1][:1500], landmarks)):
-        for w in side:  # landmarks of a side lie apart, so that none of many forms of one word crowds out others
-            keys, weights = features(w)
-            if n_marks < most and len(keys) and (weights @ z[keys, :n_marks]).max(initial=0.0) < 0.5:
-                np.add.at(z[:, n_marks], keys, weights)
-                n_marks += 1
-    z = z[:, :n_marks]
-    if not n_marks:
-        return Model(curve=(prior, 0.0))
-    value, vector = np.linalg.eigh((z.T @ z).astype(float))
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    mapped = lambda ws: np.stack([weights @ z[keys] for keys, weights in map(features, ws)]).astype(float) @ root
-
-    # Instances: words that lean to toxic texts or not at all, then the clean texts' words that the SVM takes for toxic.
-    words = [w for w in ranked if lean[w] > 3.0 and not has[0][w] > 0.2 * has[1][w]][:600] or ranked[:1]
-    known = set(has[0])
-    altered = {v: has[1][w] for w in words[:100] for v in variants(w) if v not in known}
-    words += list(altered)
-    n_toxic = len(words)
-    words += [w for w in ranked[::-1] if lean[w] <= 0][:1000]
-    clean = sorted(has[0], key=lambda w: (-has[0][w], w))[:100_000]
-    joined = b" " + b" ".join(clean) + b" "
-    sign = np.array([1.0] * n_toxic + [-1.0] * (len(words) - n_toxic))
-    feature = mapped(words)
+    if not ranked or lean[ranked[0]] <= 0:
+        return Model(curves=((prior, 0.0), (-30.0, 0.0)))
+    clean = sorted(has[0], key=lambda w: (-has[0][w], w))
+    known, every = set(clean), joined(clean)
     model = Model()
+    evened = lambda pull, sign: 5000 * np.where(sign > 0, pull / pull[sign > 0].sum(), pull / max(pull[sign < 0].sum(), 1e-9))
+
+    # The plain machine: words that lean to either label, then the clean words that it takes for toxic.
+    marks = Marks(apart(ranked, 0.5, landmarks // 2, False) + apart(ranked[::-1], 0.5, landmarks // 2, False), False)
+    root = marks.root(1)
+    bad = [w for w in ranked if lean[w] > 3.0 and not has[0][w] > 0.2 * has[1][w]][: instances[0]] or ranked[:1]
+    form = {v: w for w in bad[: instances[1]] for v in (w[: len(w) // 3 + 1] + b"x" + w[len(w) // 3 + 1 :], w[: 2 * len(w) // 3] + b"z" + w[2 * len(w) // 3 :]) if v not in known}
+    bad += list(form)
+    words = bad + [w for w in ranked[::-1] if lean[w] <= 0][: instances[2]]
     for turn in range(rounds):
-        hits = np.array([altered.get(w, has[1][w]) if s > 0 else has[0][w] for w, s in zip(words, sign, strict=True)], float)
-        cost = np.sqrt(hits + 1)
-        cost = 5000 * np.where(sign > 0, cost / cost[sign > 0].sum(), cost / max(cost[sign < 0].sum(), 1e-9))
-        w = _svm(feature, sign, cost)
-        model = Model((z @ (root @ w[:-1])).astype(float), float(w[-1]))
+        sign = np.where(np.arange(len(words)) < len(bad), 1.0, -1.0)
+        pull = np.sqrt(np.array([has[1][form.get(w, w)] if s > 0 else has[0][w] for w, s in zip(words, sign, strict=True)], float) + 1)
+        w = _svm(marks.kernel(words) @ root, sign, evened(pull, sign))
+        model.fold = (marks.table @ (root @ w[:-1]))[marks.row_of]
+        model.bias = float(w[-1])
         if turn == rounds - 1:
             break
-        margin = model.margins(joined)
-        known = set(words)
-        hard = [clean[k] for k in np.argsort(-margin, kind="stable")[:1500] if margin[k] > -0.8 and clean[k] not in known and lean.get(clean[k], 0.0) < 1.0]
-        if hard:
-            words, sign, feature = words + hard, np.append(sign, -np.ones(len(hard))), np.vstack([feature, mapped(hard)])
-    top = np.array([model.margins(t).max(initial=-2.0) for t in ready])
+        margin, taken = word_sums(every, model.fold, False) + model.bias, set(words)
+        hard = [clean[k] for k in np.argsort(-margin, kind="stable").tolist() if margin[k] > -0.8 and clean[k] not in taken and lean.get(clean[k], 0.0) < 1.0]
+        if not hard:
+            break
+        words += hard[: instances[3]]
+
+    # The close machine: the words that lean most and altered forms of theirs, against all clean words that come near them.
+    most = [w for w in ranked if lean[w] >= 0.5 * lean[ranked[0]]]
+    own = apart(most, 0.8, landmarks // 2, True)
+    closest = Marks(own, True).kernel(clean).max(axis=1, initial=0.0)
+    near = [clean[k] for k in np.argsort(-closest, kind="stable").tolist() if closest[k] >= NEAR]
+    model.marks, model.toxic = Marks(own + apart(near, 0.8, landmarks - len(own), True), True), len(own)
+    model.bound = model.marks.table[:, : len(own)].max(axis=1, initial=0.0)[model.marks.row_of]
+    root = model.marks.root(POWER)
+    altered = {v: w for w in most for v in variants(w) if v not in known}
+    words = most + list(altered) + near
+    sign = np.where(np.arange(len(words)) < len(words) - len(near), 1.0, -1.0)
+    pull = np.sqrt(np.array([has[1][w] for w in most] + [has[1][w] / 4 for w in altered.values()] + [has[0][w] for w in near], float) + 1)
+    w = _svm(model.marks.kernel(words) ** POWER @ root, sign, evened(pull, sign))
+    model.weight, model.near_bias = root @ w[:-1], float(w[-1])
+
+    # The curves: of the plain machine's tops, and of the close one's, there with one altered form in place of a text's toxic words once more.
+    forms: dict[bytes, list[bytes]] = {}
+    for v, w in altered.items():
+        forms.setdefault(w, []).append(v)
     share = np.where(y == 1, counts.get(1, 0) / n1, counts.get(0, 0) / n0)
-    model.curve = _platt(top, y, share)
+    top = model.tops(ready)
+    more, told = [], y == 0
+    for k in np.flatnonzero(y).tolist():
+        if here := [w for w in bags[k] if w in forms]:
+            told[k] = True
+            pick = forms[here[k % len(here)]]
+            more.append(joined([*[w for w in ready[k].split() if w not in forms], pick[7 * k % len(pick)]]).tobytes())
+    close = np.append(top[told, 1], model.tops(more)[:, 1])
+    weight = np.append(share[told], np.full(len(more), counts.get(1, 0) / n1))
+    model.curves = _platt(top[:, 0], y, share), _platt(close, np.append(y[told], np.ones(len(more))), weight)
     return model
 
 
@@ -230,6 +343,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([model.value.score(t) for t in batch], dtype=float)
+            scores = []
+            for at in range(0, len(batch), 512):
+                scores.append(model.value.scores(batch.iloc[at : at + 512].tolist()))
+            yield pd.Series(np.concatenate(scores or [np.empty(0)]))
 
     return docs.select(F.col(id), (fold_of(F.col(id), folds) == held).alias("held_out"), score(F.col(text)).alias("score"))

@@ -380,11 +380,61 @@ def test_toxicity_learns_words_and_their_altered_forms(spark, words):
     held = [r for r in rows if r["held_out"]]
     assert len(rows) == 400 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in held]) > 0.95
     model = toxicity.train(texts[:300], [k % 2 for k in range(300)])
-    clean = np.median([model.top(t) for t in texts[:300:2]])
-    assert model.score("b l u g w i t") >= 0.5 and model.top("snorkxface") > clean
+    r = random.Random(9)
+    put = lambda w, k: w[:k] + r.choice("abcdefghijklmnopqrstuvwxyz") + w[k:]
+    changed = {"in": lambda w: put(w, r.randrange(1, len(w))), "out": lambda w: (lambda k: w[:k] + w[k + 1 :])(r.randrange(1, len(w))), "marked": ".".join, "spaced": " ".join}
+    for name, change in changed.items():
+        found = [model.score(f"{texts[2 * k]} {change(insults[k % 3])} {words(5, k)}") >= 0.5 for k in range(60)]
+        assert np.mean(found) >= (0.8 if name == "out" else 0.9), name
+    assert np.mean([model.score(t) >= 0.5 for t in texts[300::2]]) <= 0.02
     assert all(0 <= model.score(t) <= 1 for t in AWKWARD)
 
 
+def naive_kernel(a, b, ends):
+    """Scaled kernel of two words by all their letter triples with at most one letter skipped between neighbours."""
+
+    def weights(word):
+        text, out = f" {word} ", Counter()
+        for i in range(len(text)):
+            for j in (i + 1, i + 2):
+                for k in (j + 1, j + 2):
+                    if k < len(text) and " " not in text[i + 1 : k] and (ends or " " not in text[i : k + 1]) and text[i : k + 1].count(" ") <= 1:
+                        out[text[i], text[j], text[k]] += 0.6 ** (k - i - 2)
+                        out["square"] += 0.6 ** (2 * (k - i - 2))
+                        out["plain"] += 0.6 ** (k - i - 2)
+        norm = max(math.sqrt(out.pop("square", 0)), out.pop("plain", 0) / 8, 1e-9)
+        return {t: w / norm for t, w in out.items()}
+
+    x, y = weights(a), weights(b)
+    return sum(w * y.get(t, 0.0) for t, w in x.items())
+
+
+def test_kernel_and_margins_match_brute_force(words):
+    marks = ["snorkface", "blugwit", "dratmop", "aaaaaaaaaa"]
+    tried = ["snorkface", "snoxrkface", "snrkface", "blugw", "ab", "a", "moppat", "aaaaaaaaaaaaaa", "factors"]
+    for ends in (False, True):
+        got = toxicity.Marks([m.encode() for m in marks], ends).kernel([w.encode() for w in tried])
+        assert got == pytest.approx(np.array([[naive_kernel(w, m, ends) for m in marks] for w in tried]), abs=1e-9)
+
+    # A text's margins are those of its words one by one, and the bound loses no word that is near.
+    texts = [words(40, k) + (f" {marks[k % 3]} " if k % 2 else "") for k in range(300)]
+    model = toxicity.train(texts, [k % 2 for k in range(300)])
+    for t in [*texts[:20], "snoxrkface blug", *[a for a in AWKWARD if a and len(a) < 10_000]]:
+        own = toxicity.prepared(t).split()
+        plain = [toxicity.word_sums(toxicity.joined([w]), model.fold, False)[0] + model.bias for w in own if len(w) > 2]
+        close = model.near_margins(own) if own else []
+        want = [max([toxicity.FAR, *plain]), max([toxicity.FAR, *close])]
+        assert model.tops([toxicity.prepared(t)])[0] == pytest.approx(want, abs=1e-9)
+
+
+def test_toxicity_ties_and_repeated_rows(spark, words):
+    texts = [words(30, 1), words(30, 1), words(30, 2) + " blugwit", words(30, 2) + " blugwit", None, ""] * 40
+    labels = spark.createDataFrame([(k % 6, k % 2) for k in range(12)] + [(k, int(k % 6 in (2, 3))) for k in range(6, 240)], "doc_id long, toxic int")
+    rows = sorted(toxicity.toxicity(frame(spark, texts, [k // 2 * 2 for k in range(240)]), labels).collect(), key=lambda r: (r["doc_id"], r["score"]))
+    again = sorted(toxicity.toxicity(frame(spark, texts, [k // 2 * 2 for k in range(240)]).repartition(3), labels).collect(), key=lambda r: (r["doc_id"], r["score"]))
+    assert rows == again and len(rows) == 240
+
+
 def test_quality_network_learns_and_its_gradient_is_right(spark, words):
     texts = [words(40, k) if k % 2 else " ".join(w + "###" for w in words(40, k).split()) for k in range(300)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")

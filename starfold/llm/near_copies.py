@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialize, ship
-from .simhash import classes_of, compare, connected, first_of_class, in_buckets, near_in_block
+from .simhash import classes_of, compare, connected, first_of_class, in_buckets, near_in_block, with_ids
 
 BANDS, ROWS, RADIUS = 12, 3, 32
-BUCKET_LIMIT, GROUP_LIMIT, GROUP_SHINGLES = 1024, 1024, 400_000
+BUCKET_LIMIT, GROUP_LIMIT, GROUP_SHINGLES = 512, 1024, 400_000
 FACTORS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -140,7 +140,8 @@ def similar_links(docs: DataFrame, heads: DataFrame, id: str = "doc_id", text: s
     sums = groups.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.greatest(F.col("m") / GROUP_LIMIT, F.col("total") / GROUP_SHINGLES)
     wanted = groups.join(sums, "key").select("key", "fp", "p0", "p1", "_id", parts.alias("_parts"))
-    texts = docs.select(F.col(id).alias("_own"), F.col(text).alias("_text")).join(wanted, F.col("_own").eqNullSafe(F.col("_id"))).drop("_own", "_id")
+    some = with_ids(docs.select(F.col(id).alias("_own"), F.col(text).alias("_text")), "_own", groups.select(F.col("_id").alias("id")).distinct(), "left_semi")
+    texts = some.join(wanted, F.col("_own").eqNullSafe(F.col("_id"))).drop("_own", "_id")
     met = in_buckets(texts, F.col("_parts"), 1, "fp").select("key", "fp", "p0", "p1", "_text")
     return met.mapInPandas(lambda batches: verified(batches, shingle, least), "a long, b long")
 

@@ -279,12 +279,18 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     return first_of_class(docs, id, fingerprints(docs, text, shingle, seed), _rooted(docs, id, text, shingle, seed, radius, parts, bucket_limit))
 
 
+def with_ids(docs: DataFrame, id: str, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """``docs`` whose id is among the distinct ``ids`` (``left_semi``) or not (``left_anti``); up to ``most`` ids are sent to the texts, more meet them in a shuffle."""
+    ids = ids.select(F.col("id").alias("_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, docs[id].eqNullSafe(ids["_id"]), how)
+
+
 def first_of_class(docs: DataFrame, id: str, mark: Column, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their class in ``found``; rows that share an id are told apart by ``mark``."""
     found = materialize(found, "simhash-found")
     rows = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("id").eqNullSafe(F.col("component_id")), F.lit(False))).alias("first"))
-    alone = rows.where("first and n = 1").select(F.col("id").alias("_id"))
-    kept = docs.join(alone, docs[id].eqNullSafe(alone["_id"]), "left_semi")
+    rows = materialize(rows.where("not first or n > 1"), "simhash-others")
+    kept = with_ids(docs, id, rows.select("id"), "left_anti")
 
     several = rows.where("first and n > 1").select("id")
     if not several.head(1):  # no id is repeated, as is usual

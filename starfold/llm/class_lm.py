@@ -1,12 +1,18 @@
 """Language-model scores by a Brown class-based bigram model.
 
 A word's probability after a class is P(class | class before) * P(word | class). Classes come
-from exchange clustering: units move one at a time to the class that raises the likelihood
-of the class bigrams most. Units are the ``frequent`` most frequent words, and for all other words
-the cells of a grid of their first letter's kind and their last two letters; so every word, seen
-or not, has a class, and the tables that the clustering needs have a fixed size (``UNITS``).
-Emissions are smoothed counts within a class, with one place for an unseen word; transitions
-are smoothed counts. Both are proper distributions.
+from exchange clustering: words move one at a time to the class that raises the likelihood
+of the class bigrams most. It runs in two steps, since the first needs the bigrams of all its units:
+
+* The ``frequent`` most frequent words, and for all other words the cells of a grid of their first
+  letter's kind and their last two letters, are clustered over their bigram counts.
+* The ``clustered`` most frequent words (all of them, where there are fewer) start in the class of
+  their unit and move by what classes stand before and after them in all training texts.
+
+Words beyond these bounds, which bound the size of the model in a task, and unseen ones have the
+class of their cell. Emissions are smoothed counts within a class, with one place for an unseen word;
+transitions are smoothed counts of all training texts with the final classes. Both are proper
+distributions.
 
 Word counts cover all training texts. The most frequent words' counts (``known_words``, a
 bound) go to every task; the other tokens of all texts meet their counts in one join, which
@@ -14,7 +20,7 @@ has no hot key, as the hot words are gone by then.
 
 Defined results: a null or empty text has one token, its end. Rows are scored one by one, ids
 may repeat or be null. Without training texts every count is 0. Empty tables give empty
-results. Only the id and the text column are read.
+results. Equally frequent words are ordered by their bytes. Only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from .toxicity import fold_of
 
 END = b""  # the end of a text; no word is empty
 CELLS = 509
-UNITS = 2 + 300 + CELLS  # the start of a text, its end, the frequent words, the cells
+BLOCK = 256  # units whose neighbour counts are one row
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,11 +58,12 @@ def cell(word: bytes) -> int:
 
 
 class Units:
-    """The unit of each word; words are remembered up to a bound."""
+    """The unit of each word: 0 is the start of a text, 1 its end, then the listed words, then the cells; words are remembered up to a bound."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.base = {END: 1} | {w: 2 + k for k, w in enumerate(frequent)}
-        self.start = 2 + len(frequent)
+    def __init__(self, listed: list[bytes]):
+        self.base = {END: 1} | {w: 2 + k for k, w in enumerate(listed)}
+        self.start = 2 + len(listed)
+        self.size = self.start + CELLS
         self.seen: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -121,16 +128,62 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return cls
 
 
+def regroup(before: np.ndarray, after: np.ndarray, cls: np.ndarray, free: np.ndarray, classes: int, sweeps: int = 2) -> np.ndarray:
+    """Classes after ``free`` units moved, the most frequent first, by the counts of the classes before and after each unit.
+
+    The neighbours' classes stay as counted while units move, so the likelihood is that of the
+    units' new classes among their neighbours' old ones.
+    """
+    cls = cls.copy()
+    left, right = np.zeros((classes, classes)), np.zeros((classes, classes))  # counts of (class of a unit, class before or after it)
+    np.add.at(left, cls, before)
+    np.add.at(right, cls, after)
+    plog = lambda x: x * np.log(np.maximum(x, 1e-300))
+    own = before.sum(1) + after.sum(1)
+    order = free[np.argsort(-own[free], kind="stable")]
+    for _ in range(sweeps):
+        moved = 0
+        for u in order[own[order] > 0].tolist():
+            a, x, y = cls[u], before[u], after[u]
+            left[a] -= x
+            right[a] -= y
+            gain = (plog(left + x) - plog(left) + plog(right + y) - plog(right)).sum(1)
+            ln, rn = left.sum(1), right.sum(1)
+            gain -= plog(ln + x.sum()) - plog(ln) + plog(rn + y.sum()) - plog(rn)
+            gain[:2] = -np.inf
+            c = int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else int(a)
+            left[c] += x
+            right[c] += y
+            cls[u] = c
+            moved += c != a
+        if not moved:
+            break
+    return cls
+
+
 @dataclass
 class Model:
-    """What a task needs to score texts, but for the counts of words that are not ``counts``."""
+    """What a task needs to score texts, but for the counts of words that are not ``index``."""
 
-    units: Units
-    counts: dict[bytes, int]
+    index: dict[bytes, int]  # of the known words
+    counts: np.ndarray  # of the known words
+    class_of_known: np.ndarray
     step: np.ndarray  # log10 of the class transition, by class pair
-    cls: np.ndarray  # class of each unit
+    cls: np.ndarray  # class of each cell
     room: np.ndarray  # log10 of the smoothed size of each class
 
+    def classes(self, words: list[bytes], at: list[int | None]) -> np.ndarray:
+        out = np.array([-1 if k is None else k for k in at], np.int64)
+        new = np.flatnonzero(out < 0)
+        found = self.class_of_known[out]
+        if len(new):
+            found[new] = self.cls[[cell(words[k]) for k in new.tolist()]]
+        return found
+
+    def path(self, k: np.ndarray) -> float:
+        """Log10 of the class transitions less that of the classes' sizes."""
+        return float(self.step[np.concatenate([[0], k[:-1]]), k].sum() - self.room[k].sum())
+
 
 def counted(docs: DataFrame, text: str, train: Column) -> DataFrame:
     """Words (as binary) of the training texts with their counts; the end of a text is left out."""
@@ -152,61 +205,137 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, classes: int = 48, frequent: int = 300, known_words: int = 200_000) -> DataFrame:
-    """One row per document: token counts, the unigram base score and the class model's score."""
+def gathered(docs: DataFrame, text: str, table) -> DataFrame:
+    """The sum of the tables of counts that ``table`` makes in each task, as the places that are not 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = table()
+        for batch in batches:
+            for t in batch["_text"]:
+                own.add(tokens(t))
+        at = np.flatnonzero(own.counts)
+        yield pd.DataFrame({"at": at, "c": own.counts[at]})
+
+    return docs.select(F.col(text).alias("_text")).mapInPandas(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
+
+
+class Pairs:
+    """Counts of the pairs of neighbouring labels, start included; labels of units by ``label``."""
+
+    def __init__(self, listed: list[bytes], label: np.ndarray | None, size: int):
+        self.units, self.label, self.size = Units(listed), label, size
+        self.counts = np.zeros(size * size, np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        u = np.concatenate([[0], self.units.of(words)])
+        if self.label is not None:
+            u = self.label[u]
+        np.add.at(self.counts, u[:-1] * self.size + u[1:], 1)
+
+
+def pair_counts(docs: DataFrame, text: str, listed, label, size: int) -> np.ndarray:
+    """The square table of label pairs in all texts; at most size * size rows come to the driver."""
+    sums = gathered(docs, text, lambda: Pairs(listed.value, label and label.value, size)).toArrow()
+    out = np.zeros(size * size)
+    out[sums["at"].to_numpy()] = sums["c"].to_numpy()
+    return out.reshape(size, size)
+
+
+def neighbour_counts(docs: DataFrame, text: str, listed, label, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit the counts of the classes before and after it in all texts.
+
+    Tasks send blocks of units as packed counts, and tasks that own a block add them up one by one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units, cls = Units(listed.value), label.value
+        rows = -(-size // BLOCK) * BLOCK
+        before, after = (np.zeros(rows * classes, np.int32) for _ in range(2))
+        for batch in batches:
+            for t in batch["_text"]:
+                u = np.concatenate([[0], units.of(tokens(t))])
+                c = cls[u]
+                np.add.at(before, u[1:] * classes + c[:-1], 1)
+                np.add.at(after, u[:-1] * classes + c[1:], 1)
+        both = np.stack([before.reshape(-1, BLOCK * classes), after.reshape(-1, BLOCK * classes)], axis=1)
+        for k in np.flatnonzero(both.any(axis=(1, 2))).tolist():
+            yield pd.DataFrame({"block": [k], "counts": [both[k].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch["block"].tolist(), batch["counts"], strict=True):
+                x = np.frombuffer(raw, np.int32).astype(np.int64)
+                own[k] = own[k] + x if k in own else x
+        yield pd.DataFrame({"block": list(own), "counts": [x.tobytes() for x in own.values()]})
+
+    sums = docs.select(F.col(text).alias("_text")).mapInPandas(run, "block long, counts binary").repartition("block").mapInPandas(add, "block long, counts binary").toArrow()  # one row a block
+    both = np.zeros((-(-size // BLOCK), 2, BLOCK * classes))
+    for k, raw in zip(sums["block"].to_pylist(), sums["counts"].to_pylist(), strict=True):
+        both[k] = np.frombuffer(raw, np.int64).reshape(2, -1)
+    before, after = (both[:, k].reshape(-1, classes)[:size] for k in (0, 1))
+    return before, after
+
+
+def fit(docs: DataFrame, text: str, train: Column, classes: int = 48, frequent: int = 300, clustered: int = 30_000, known_words: int = 200_000) -> tuple[DataFrame, Model, int, int]:
+    """The table of training words with counts, the model, and the numbers of training tokens and of distinct ones."""
     spark = docs.sparkSession
     ship(spark)
-    train = fold_of(F.col(id), folds) != held
+    share = spark.sparkContext.broadcast
     counts = materialize(counted(docs, text, train), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.where(train).count()
     n, v = int(total["n"] or 0) + ends, int(total["v"]) + (1 if ends else 0)
     top = counts.where(F.col("c") >= least_count(counts, known_words)).toArrow()  # at most known_words rows
     known = {w.encode(): c for w, c in zip(top["w"].to_pylist(), top["c"].to_pylist(), strict=True)}
-    lead = sorted(known, key=lambda w: (-known[w], w))[: min(frequent, UNITS - 2 - CELLS)]
-    known[END] = ends
-    size = 2 + len(lead) + CELLS
-    shared = spark.sparkContext.broadcast(lead)
-
-    # Unit bigrams of the training texts: each task sums a table of fixed size.
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, table = Units(shared.value), np.zeros(size * size, np.int64)
-        for batch in batches:
-            for t in batch["_text"]:
-                u = np.concatenate([[0], units.of(tokens(t))])
-                np.add.at(table, u[:-1] * size + u[1:], 1)
-        at = np.flatnonzero(table)
-        yield pd.DataFrame({"at": at, "c": table[at]})
-
-    sums = docs.where(train).select(F.col(text).alias("_text")).mapInPandas(pairs, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()  # at most size * size rows
-    bigrams = np.zeros(size * size)
-    bigrams[sums["at"].to_numpy()] = sums["c"].to_numpy()
-    bigrams = bigrams.reshape(size, size)
-    cls = exchange(bigrams, classes)
-    one = np.eye(classes)[cls]
-    jump = one.T @ bigrams @ one + 0.5
+    ranked = sorted(known, key=lambda w: (-known[w], w))
+    texts = docs.where(train)
+
+    # Frequent words and cells over their bigrams.
+    lead = ranked[:frequent]
+    first = exchange(pair_counts(texts, text, share(lead), None, Units(lead).size), classes)
+
+    # All clustered words by the classes around them.
+    listed = ranked[:clustered]
+    units = Units(listed)
+    cells = first[2 + len(lead) :]
+    cls = np.concatenate([first[: 2 + len(lead)], cells[[cell(w) for w in listed[len(lead) :]]], cells]).astype(np.int64)
+    shared = share(listed)
+    before, after = neighbour_counts(texts, text, shared, share(cls), units.size, classes)
+    cls = regroup(before, after, cls, np.arange(2, 2 + len(listed)), classes)
+    jump = pair_counts(texts, text, shared, share(cls), classes) + 0.5
     jump[:, 0] = 0  # nothing leads to the start
     step = np.log10(np.maximum(jump, 1e-300) / jump.sum(1, keepdims=True))
 
-    # Distinct words of each class, for its room; the classes of words are known by their units.
+    # Distinct words of each class, for its room.
+    class_of_unit = share(cls)
+
     @F.pandas_udf("int")
     def class_of(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        units = Units(shared.value)
+        own = Units(shared.value)
         for batch in ws:
-            yield pd.Series(cls[units.of([w.encode() for w in batch])], dtype="int32")
+            yield pd.Series(class_of_unit.value[own.of([w.encode() for w in batch])], dtype="int32")
 
-    by_class = counts.select(class_of("w").alias("k"), "c").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     mass, kinds = np.zeros(classes), np.zeros(classes)
-    for r in by_class:
+    for r in counts.select(class_of("w").alias("k"), "c").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row a class
         mass[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     mass[1], kinds[1] = ends, 1 if ends else 0
-    model = spark.sparkContext.broadcast(Model(Units(lead), known, step, cls, np.log10(mass + 0.5 * (kinds + 1))))
+    index = {w: k for k, w in enumerate([*ranked, END])}
+    tally = np.array([*[known[w] for w in ranked], ends], float)
+    of_known = cls[units.of([*ranked, END])]
+    return counts, Model(index, tally, of_known, step, cls[-CELLS:], np.log10(mass + 0.5 * (kinds + 1))), n, v
 
+
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, **size: int) -> DataFrame:
+    """One row per document: token counts, the unigram base score, the class model's score and its perplexity; ``size`` goes to ``fit``."""
+    spark = docs.sparkSession
+    counts, fitted, n, v = fit(docs, text, fold_of(F.col(id), folds) != held, **size)
+    model = spark.sparkContext.broadcast(fitted)
     kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias("_text"))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        get, log = m.counts.get, {}
+        get = m.index.get
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -215,10 +344,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", folds:
                     words = tokens(t)
                     seen = [get(w) for w in words]
                     tail = [w for w, c in zip(words, seen, strict=True) if c is None] if None in seen else []
-                    own = np.array([c for c in seen if c is not None], float)
-                    k = m.cls[m.units.of(words)]
-                    path = m.step[np.concatenate([[0], k[:-1]]), k].sum() - m.room[k].sum()
-                    rows.append((len(words), int((own > 0).sum()), float(np.log10(own + 0.5).sum()), float(path), tail))
+                    own = m.counts[[c for c in seen if c is not None] if tail else seen]
+                    rows.append((len(words), int((own > 0).sum()), float(np.log10(own + 0.5).sum()), m.path(m.classes(words, seen)), tail))
                 cols = list(zip(*rows, strict=True))
                 tails = pa.array(cols[4], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), tails], ["row", "id", "n_tokens", "n_known", "logs", "path", "tail"])
@@ -237,4 +364,5 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", folds:
         F.lit(n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
         (logs + F.col("path")).alias("score"),
+        F.pow(F.lit(10.0), -(logs + F.col("path")) / F.col("n_tokens")).alias("perplexity"),
     )

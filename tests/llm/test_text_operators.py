@@ -338,19 +338,69 @@ def test_license_places_and_labels_match_brute_force(spark, words):
 # Language model
 
 
-@pytest.mark.parametrize("known", [200_000, 5])
-def test_base_scores_match_brute_force(spark, words, known):
+@pytest.mark.parametrize(("known", "clustered"), [(200_000, 30_000), (60, 40)])
+def test_scores_match_brute_force(spark, words, known, clustered):
     texts = [*AWKWARD, *[words(60, k) for k in range(40)]]
-    rows = class_lm.score_texts(frame(spark, texts), classes=8, frequent=20, known_words=known).collect()
+    size = {"classes": 8, "frequent": 20, "known_words": known, "clustered": clustered}
+    df = frame(spark, texts)
+    rows = class_lm.score_texts(df, **size).collect()
     tokens = [[*re.findall(BLANK, re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), ""] for t in texts]
     held = [zlib.crc32(str(k).encode()) % 5 == 1 for k in range(len(texts))]
-    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
+
+    # The class model from its classes alone, with counts of its own.
+    model = class_lm.fit(df, "text", toxicity.fold_of(F.col("doc_id"), 5) != 1, **size)[1]
+    of = lambda w: int(model.classes([w.encode()], [model.index.get(w.encode())])[0])
+    pairs = Counter(p for t in train for ks in [[0, *map(of, t)]] for p in zip(ks, ks[1:], strict=False))
+    mass, kinds = Counter(), Counter()
+    for w, k in c.items():
+        mass[of(w)] += k
+        kinds[of(w)] += 1
+    out = Counter()
+    for (a, _), k in pairs.items():
+        out[a] += k
+
+    def score(t):
+        total, before = 0.0, 0
+        for w in t:
+            k = of(w)
+            total += math.log10((pairs[before, k] + 0.5) / (out[before] + 0.5 * 7)) + math.log10((c[w] + 0.5) / (mass[k] + 0.5 * (kinds[k] + 1)))
+            before = k
+        return total
+
     for r in rows:
         t = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
-        assert r["score"] < 0
+        assert r["score"] == pytest.approx(score(t), rel=1e-9)
+        assert r["perplexity"] == pytest.approx(10 ** (-score(t) / len(t)), rel=1e-9)
+
+    # Words and one unseen word of each class share its probability, and classes share a step's.
+    for k in range(1, 8):
+        assert sum((c[w] + 0.5) / (mass[k] + 0.5 * (kinds[k] + 1)) for w in c if of(w) == k) + 0.5 / (mass[k] + 0.5 * (kinds[k] + 1)) == pytest.approx(1)
+    assert (10**model.step)[:, 1:].sum(1) == pytest.approx(np.ones(8))
+
+
+def test_regrouping_raises_the_likelihood_and_finds_kinds():
+    r = np.random.default_rng(4)
+    kind = r.integers(2, 5, 300)
+    mean = np.where(np.arange(6)[None, :] == (kind[:, None] % 3) + 2, 30, 1)
+    before, after = (r.poisson(mean).astype(float) for _ in range(2))
+    start = r.integers(2, 6, 300)
+    cls = class_lm.regroup(before, after, start, np.arange(300), 6, sweeps=10)
+
+    def likelihood(cls):
+        total = 0.0
+        for counts in (before, after):
+            table = np.zeros((6, 6))
+            np.add.at(table, cls, counts)
+            total += (table[table > 0] * np.log(table[table > 0])).sum() - sum(x * math.log(x) for x in table.sum(1) if x)
+        return total
+
+    assert likelihood(cls) > likelihood(start)
+    assert all(len(set(kind[cls == k])) <= 1 for k in range(6))
 
 
 def test_exchange_never_lowers_the_likelihood():

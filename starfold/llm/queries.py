@@ -33,7 +33,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(table(spark, sf_dir, "documents"), ["doc_id"])
     scores = F.array_join(F.transform("scores", lambda x: x.cast("decimal(20,0)").cast("string")), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), scores.alias("nbest_scores"), F.xxhash64("ids").alias("ids_hash"), "exact")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.get("scores", F.lit(0)).alias("score"), scores.alias("nbest_scores"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("alternatives").alias("alternatives_hash"), "exact")
 
 
 def page_labels(pages: DataFrame) -> DataFrame:

@@ -74,9 +74,6 @@ class Lattice:
             self.cost_of[i] = cost
         # No piece may reach across a cut. The few that do rule the narrow cuts out for texts that hold them.
         self.across = [p for p in self.pieces if len(SEGMENT.findall(p)) > 1]
-        self.size_of = np.zeros(max(self.text) + 1, np.int64)
-        for i, raw in self.text.items():
-            self.size_of[i] = len(raw)
         self.root: dict = {}  # character: [ids, cost or None, the next characters]
         for p, (i, cost) in self.pieces.items():
             node, kids = None, self.root
@@ -124,16 +121,29 @@ class Lattice:
         edges, best = self.edges(s)
         into: list[list] = [[] for _ in range(len(s) + 1)]
         for i, j, own, c in edges:
-            into[j].append((i, own[::-1], c))
-        queue: list[tuple[int, tuple[int, ...], int, int]] = [(best[-1], (), len(s), 0)]  # total, ids from the right, node, cost so far
-        out: list[tuple[int, tuple[int, ...]]] = []
-        while queue and len(out) < n:
-            total, ids, j, cost = heapq.heappop(queue)
+            into[j].append((i, own, c))
+        steps: list[tuple[int, tuple[int, ...]]] = [(-1, ())]  # the step to the right and the piece, for each partial path
+        queue = [(best[-1], len(s), 0)]  # total, node, step; of equal totals the one nearest to the start
+        found: list[tuple[int, int]] = []
+        while queue and len(found) < n:
+            total, j, k = heapq.heappop(queue)
             if not j:
-                out.append((total, ids[::-1]))
+                found.append((total, k))
                 continue
+            cost = total - best[j]
             for i, own, c in into[j]:
-                heapq.heappush(queue, (cost + c + best[i], ids + own, i, cost + c))
+                steps.append((k, own))
+                heapq.heappush(queue, (cost + c + best[i], i, len(steps) - 1))
+        first = tuple(np.frombuffer(self.solve(s)[0], np.int32).tolist())
+        out = [(best[-1], first)]
+        for total, k in found:
+            own = []
+            while k > 0:
+                k, piece = steps[k]
+                own.extend(piece)
+            if tuple(own) != first:
+                out.append((total, tuple(own)))
+        out = out[:n]
         if len(s) <= CACHED_CHARS:
             if len(self.several) >= CACHED_SEGMENTS // 20:
                 self.several.clear()
@@ -181,10 +191,7 @@ class Lattice:
             while j:
                 j, piece = back[j]
                 own.append(piece)
-            order = array("i", chain.from_iterable(reversed(own)))
-            if b"".join(map(self.text.__getitem__, order)) != s.encode():  # holds for the whole text if it does for each segment
-                raise ValueError(f"segment {s!r} does not decode to itself")
-            ids = order.tobytes()
+            ids = array("i", chain.from_iterable(reversed(own))).tobytes()
             known = (ids, float(second[n] - first[n]) if second[n] < far // 2 else math.inf)
         if len(s) <= CACHED_CHARS:
             if len(self.recent) >= CACHED_SEGMENTS:
@@ -255,34 +262,39 @@ def shared_vocabulary(spark: SparkSession, model_file: str = MODEL):
 
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", nbest: int = 4, model_file: str = MODEL, rows: int = 256) -> DataFrame:
-    """``keep`` with ``ids``, the scores of the ``nbest`` best segmentations and ``exact``: the text decodes to itself.
+    """``keep`` with ``ids``, the scores of the ``nbest`` best segmentations, ``alternatives`` and ``exact``: the ids decode to the text.
 
-    Decoding joins the pieces, so a text decodes to itself if every segment does, which is checked
-    once for each distinct segment; ``exact`` compares the bytes' number as well.
+    An alternative to the best segmentation (``nth`` from 1) is told by the ids of the segments that
+    differ: ``segment`` counts the parts that ``Lattice.segments`` gives.
     """
     vocab = shared_vocabulary(docs.sparkSession, model_file)
     kept = docs.select(*keep, docs[text].alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    kind = pa.list_(pa.struct([("nth", pa.int32()), ("segment", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(vocab)
+        raw = lattice.text.__getitem__
         gc.disable()  # millions of small tuples, none of them in a cycle
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ids, offsets, scores, exact = [], [0], [], []
-                for t in part.column(part.num_columns - 1).to_pylist():
-                    own, costs, _ = lattice.encode(t or "", nbest)
-                    exact.append(int(lattice.size_of[own].sum()) == (len(t.encode()) + 1 if t else 0))
-                    ids.append(own)
-                    offsets.append(offsets[-1] + len(own))
-                    scores.append([float(-c) for c in costs] if t is not None else None)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
-                columns = [*part.columns[:-1], lists, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "ids", "scores", "exact"])
-        gc.enable()
-
-    return kept.mapInArrow(run, f"{types}, ids array<int>, scores array<double>, exact boolean")
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    ids, offsets, scores, others, exact = [], [0], [], [], []
+                    for t in part.column(part.num_columns - 1).to_pylist():
+                        own, costs, changes = lattice.encode(t or "", nbest)
+                        exact.append(b"".join(map(raw, own.tolist())) == (b" " + t.encode() if t else b""))
+                        ids.append(own)
+                        offsets.append(offsets[-1] + len(own))
+                        scores.append([float(-c) for c in costs] if t is not None else None)
+                        others.append([{"nth": n, "segment": k, "ids": new} for n, change in enumerate(changes) for k, new in zip(*change, strict=True)])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
+                    columns = [*part.columns[:-1], lists, pa.array(scores, pa.list_(pa.float64())), pa.array(others, kind), pa.array(exact)]
+                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "ids", "scores", "alternatives", "exact"])
+        finally:
+            gc.enable()
+
+    return kept.mapInArrow(run, f"{types}, ids array<int>, scores array<double>, alternatives array<struct<nth:int,segment:int,ids:array<int>>>, exact boolean")
 
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", model_file: str = MODEL) -> DataFrame:

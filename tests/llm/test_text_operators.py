@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -262,6 +263,20 @@ def test_best_paths_and_round_trip(spark):
     assert all(r["exact"] for r in encoded.collect())
     back = {r["doc_id"]: r["text"] for r in sentencepiece_nbest.decode(encoded, ["doc_id"]).collect()}
     assert back == {k: t or "" for k, t in enumerate(AWKWARD)}
+    for r in encoded.collect():  # the alternatives' segments, put in, give other segmentations of the same text with the scores told
+        t = AWKWARD[r["doc_id"]]
+        for nth in range(1, len(r["scores"] or [])):
+            swap = {a["segment"]: a["ids"] for a in r["alternatives"] if a["nth"] == nth}
+            own = [i for k, s in enumerate(lattice.segments(t)) for i in (swap.get(k) or np.frombuffer(lattice.solve(s)[0], np.int32).tolist())]
+            assert swap and lattice.decode(own) == t and -int(lattice.cost_of[own].sum()) == r["scores"][nth]
+
+
+def test_long_uncut_runs_keep_their_memory_bounded():
+    lattice = sentencepiece_nbest.Lattice(sentencepiece_nbest.vocabulary())
+    began = time.time()
+    found = lattice.paths(" " + "ab" * 20_000, 4)
+    assert len(found) == 4 and time.time() - began < 60
+    assert [c for c, _ in found] == sorted(c for c, _ in found) and len({p for _, p in found}) == 4
 
 
 # URL rules

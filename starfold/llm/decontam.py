@@ -11,8 +11,12 @@ No region within the edit budget is missed.
 The benchmark is the small side: its q-gram table is sent to the executors, and
 ``MAX_BENCHMARK_BYTES`` bounds it (a larger one is searched in slices of that size). Texts are read once for each slice and never shuffled.
 
-Defined results: a null or empty text matches nothing; items shorter than ``min_bytes`` after
-the reduction say too little and are left out. Equal items each give a row.
+The budget of an item of ``m`` bytes is ``share`` of them, and at most ``m // q - 1``, so that the bound
+never is below one shared q-gram. Items shorter than ``q`` bytes have no q-gram; they match where
+their words stand in the text without an edit. A very long text that repeats common q-grams is
+counted part by part (``PART`` pairs of places), so a task's memory does not follow its matches.
+
+Defined results: a null or empty text or item matches nothing. Equal items each give a row.
 Repeated rows are judged row by row. Empty tables give empty results. Only the named columns
 are read.
 """
@@ -33,6 +37,7 @@ from ..shared import ship
 
 MAX_BENCHMARK_BYTES = 2_000_000
 TABLE_BITS = 22
+PART = 2_000_000  # pairs of a text's and an item's places that are counted at once
 _KEEP = np.full(256, 32, np.uint8)
 for _c in range(256):
     if _c >= 128 or chr(_c).isalnum():
@@ -77,6 +82,7 @@ class Index:
     size: np.ndarray  # of each item
     k: np.ndarray  # its edit budget
     need: np.ndarray  # q-grams that a region within the budget shares at least
+    short: list[int]  # items without a q-gram
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]], q: int, share: float) -> Index:
@@ -89,9 +95,9 @@ class Index:
         filled = np.zeros(1 << TABLE_BITS, bool)
         filled[slot(keys).astype(np.int64)] = True
         size = np.array([len(t) for _, t in items], np.int64)
-        k = np.floor(size * share).astype(np.int64)
+        k = np.clip(np.floor(size * share).astype(np.int64), 0, np.maximum(size // q - 1, 0))
         need = np.maximum(1, size + 1 - q * (k + 1))
-        return cls(np.array([i for i, _ in items]), [t for _, t in items], q, share, keys, np.append(first, len(flat)), item[order], at[order], filled, size, k, need)
+        return cls(np.array([i for i, _ in items]), [t for _, t in items], q, share, keys, np.append(first, len(flat)), item[order], at[order], filled, size, k, need, [o for o, (_, t) in enumerate(items) if len(t) < q])
 
 
 def banded(item: bytes, text: bytes, k: int) -> tuple[int, int] | None:
@@ -132,26 +138,36 @@ def regions(index: Index, data: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(near):
         return []
     begin, count = index.first[where], index.first[where + 1] - index.first[where]
-    pos = np.repeat(near, count)
-    ends = np.cumsum(count)
-    place = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(begin, count)
-    item = index.item[place]
-    enough = np.bincount(item, minlength=len(index.need)) >= index.need  # over all diagonals
+    cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), PART), "left")[1:]
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Text positions with the items' places that hold the same q-gram, part by part."""
+        for some, first, n in zip(np.split(near, cuts), np.split(begin, cuts), np.split(count, cuts), strict=True):
+            ends = np.cumsum(n)
+            if len(n):
+                yield np.repeat(some, n), np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+
+    shared = sum(np.bincount(index.item[place], minlength=len(index.need)) for _, place in pairs())
+    enough = shared >= index.need  # over all diagonals
     if not enough.any():
         return []
-    some = enough[item]
-    pos, place, item = pos[some], place[some], item[some]
     size, k = index.size, index.k
-    diagonal = pos - index.at[place] + size[item]  # never negative
-    width = 2 * k + 2
-    found = set()
+    width, most = 2 * k + 2, np.int64(size.max() + 1)
     span = int((len(data) + size.max()) // 2 + 3)
-    for half in (0, 1):  # bands of 2k + 2 diagonals, and the same bands moved by half
-        band = (diagonal + half * (width[item] // 2)) // width[item]
-        cell = item.astype(np.int64) * span + band
-        # A q-gram of the item counts once in a band, however often the text repeats it.
-        once = np.unique(cell * np.int64(size.max() + 1) + index.at[place])
-        cells, shared = np.unique(once // np.int64(size.max() + 1), return_counts=True)
+    seen = [np.empty(0, np.int64), np.empty(0, np.int64)]
+    for pos, place in pairs():
+        some = enough[index.item[place]]
+        pos, place = pos[some], place[some]
+        item = index.item[place]
+        diagonal = pos - index.at[place] + size[item]  # never negative
+        for half in (0, 1):  # bands of 2k + 2 diagonals, and the same bands moved by half
+            band = (diagonal + half * (width[item] // 2)) // width[item]
+            # A q-gram of the item counts once in a band, however often the text repeats it.
+            once = np.unique((item.astype(np.int64) * span + band) * most + index.at[place])
+            seen[half] = np.union1d(seen[half], once) if len(seen[half]) else once
+    found = set()
+    for half in (0, 1):
+        cells, shared = np.unique(seen[half] // most, return_counts=True)
         owner = cells // span
         need = index.need[owner]
         for c, o in zip(cells[shared >= need].tolist(), owner[shared >= need].tolist(), strict=True):
@@ -163,9 +179,13 @@ def regions(index: Index, data: np.ndarray) -> list[tuple[int, int, int]]:
 def matches(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     """Item, edits, begin and end (in the reduced text) for each item that the text holds."""
     raw = reduced(text)
-    if len(raw) < index.q:
-        return []
     best: dict[int, tuple[int, int, int]] = {}
+    for o in index.short:
+        at = (b" " + raw + b" ").find(b" " + index.texts[o] + b" ")
+        if at >= 0:
+            best[o] = (0, at, at + len(index.texts[o]))
+    if len(raw) < index.q or not len(index.keys):
+        return [(o, *best[o]) for o in sorted(best)]
     for o, begin, end in regions(index, np.frombuffer(raw, np.uint8)):
         item, part = index.texts[o], raw[begin:end]
         k = int(index.k[o])
@@ -183,7 +203,7 @@ def matches(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     return [(o, *best[o]) for o in sorted(best)]
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, share: float, min_bytes: int) -> Iterator[tuple[list, Broadcast]]:
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, share: float) -> Iterator[tuple[list, Broadcast]]:
     """The item ids and the broadcast index of each slice of the benchmark."""
     if not 1 <= q <= 8 or share * q >= 1:
         raise ValueError("q must be at most 8 and below 1 / share")
@@ -195,11 +215,11 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, share:
     for s in range(slices):
         rows = benchmark.where(key == s).select(item_id, item_text).collect()  # about MAX_BENCHMARK_BYTES
         items = sorted(((r[0], reduced(r[1])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        items = [(i, t) for i, t in items if len(t) >= min_bytes]
+        items = [(i, t) for i, t in items if t]
         yield [i for i, _ in items], spark.sparkContext.broadcast(Index.of([(k, t) for k, (_, t) in enumerate(items)], q, share))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08, min_bytes: int = 40) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08) -> DataFrame:
     """One row per document and benchmark item that it holds: edits and the region in the reduced text.
 
     ``share`` is the edit budget per byte of an item; ``1 / share`` must be above ``q``, else the
@@ -216,11 +236,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
         return kept.mapInPandas(find, types)
 
-    parts = [found(*x) for x in _indexes(benchmark, item_id, item_text, q, share, min_bytes)]
+    parts = [found(*x) for x in _indexes(benchmark, item_id, item_text, q, share)]
     return reduce(DataFrame.unionByName, parts).select(F.col("id").alias(id), F.col("item").alias(item_id), "edits", "begin", "end")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08, min_bytes: int = 40) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, share: float = 0.08) -> DataFrame:
     """``docs`` less the documents that hold an item; nothing is shuffled."""
 
     def clean(shared: Broadcast) -> Column:
@@ -231,6 +251,6 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
         return column(F.col(text))
 
-    for _, shared in _indexes(benchmark, item_id, item_text, q, share, min_bytes):
+    for _, shared in _indexes(benchmark, item_id, item_text, q, share):
         docs = docs.where(clean(shared))
     return docs

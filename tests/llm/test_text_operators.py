@@ -190,6 +190,21 @@ def test_contamination_finds_every_near_passage(spark, words):
     assert {r["doc_id"] for r in left.select("doc_id").collect()} == set(range(len(texts))) - {d for d, _ in got}
 
 
+def test_short_items_and_crowded_texts(spark, monkeypatch):
+    items = [(0, "ab"), (1, "Hello, you"), (2, "thirteen char"), (3, "-"), (4, ""), (5, "aa " * 40), (6, "one two three four five six"), (6, "one two three four five six")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["x AB. y", "xab aby", "so hello you there", "hello yu", "a thirteen charm", "thirten char", "aa " * 30_000, "aa " * 39, "say one two thre four fivee six.", "one two three four five six", "-", None]
+    rows = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontam.contaminated(frame(spark, texts), benchmark).collect())
+    assert rows == [(0, 0, 0), (2, 1, 0), (4, 2, 0), (6, 5, 0), (7, 5, 3), (8, 6, 2), (8, 6, 2), (9, 6, 0), (9, 6, 0)]
+    index = decontam.Index.of([(k, decontam.reduced(t)) for k, t in items if decontam.reduced(t)], 8, 0.08)
+    for t in [t for t in texts if t and 12 < len(t) < 10_000] + [texts[6][:3000]]:
+        data = np.frombuffer(decontam.reduced(t), np.uint8)
+        monkeypatch.setattr(decontam, "PART", 50)
+        parts = decontam.regions(index, data)
+        monkeypatch.setattr(decontam, "PART", 2_000_000)
+        assert parts == decontam.regions(index, data)
+
+
 # Personal data
 
 PLAIN = {

@@ -1,13 +1,16 @@
-"""License scan: exact set-similarity join of text blocks with license notices.
+"""License scan: exact set-similarity join of stretches of text with license notices.
 
-A block is one line of a text. Its words are lower-cased runs of letters, digits and
-non-ASCII characters. A block fits a notice if it holds at least ``threshold`` of the
-notice's distinct words. The join finds every such pair: the notices' words are ordered by
-their frequency over all documents, rarest first, and a notice of n words that must share o
-of them shares one of its n - o + 1 rarest (prefix filter); the block needs o words (length
-filter), and the words still to come after the first common one must reach o (positional
-filter). What remains is verified by intersecting the word sets. A fitting block gets the
-notices of the highest containment (then of the largest overlap).
+Words are lower-cased runs of letters, digits and non-ASCII characters. A stretch starts at a
+word of a notice and is ``stretch`` times as long as the notice, whatever lines or marks stand
+in between. It fits the notice if it holds at least ``threshold`` of the notice's distinct words. At a
+place where several notices fit, those of the highest containment (then of the largest
+overlap) count.
+
+The join finds every such pair. The notices' words are ordered by the number of documents that
+hold them, rarest first; a notice of n words that must share o of them shares one of its n - o + 1
+rarest with the text (prefix filter), the text holds o of its words (length filter), and the words
+still to come after the first common one reach o (positional filter). For what remains, the distinct
+words of each stretch are counted.
 
 Everything runs as DataFrame operations. The notices and phrases are parameters of fixed
 size, so the index built from them may be broadcast.
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize
@@ -69,59 +72,54 @@ def places(joined: Column, phrase: str) -> list[Column]:
     return [F.when(here, n).otherwise(0).cast("long"), F.when(here & (n > 0), first.cast("long")), F.when(here & (n > 0), last.cast("long"))]
 
 
-def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, phrases: dict[str, str] = PHRASES, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
-    """One row per document: places of the phrases, labels of phrases and fitting blocks, best containment."""
-    tokens = sorted({w for ts in notices.values() for t in ts for w in t.split()})
-    wanted = F.array(*map(F.lit, tokens))
-
-    # Global word frequencies; only the notices' words matter for their order.
-    joined = words_of(F.col(text))
-    seen = docs.select(F.explode(F.split(joined, " ")).alias("w")).where(F.col("w").isin(tokens)).groupBy("w").count()
-    freq = {r["w"]: r["count"] for r in seen.collect()}  # at most one row per word of the notices
-
-    index, rare = [], set()
-    for label, ts in sorted(notices.items()):
-        for k, t in enumerate(ts):
-            order = sorted(set(t.split()), key=lambda w: (freq.get(w, 0), w))
-            need = math.ceil(threshold * len(order) - 1e-9)
-            prefix = order[: len(order) - need + 1]
-            rare.update(prefix)
-            index += [(w, p, label, f"{label}/{k}", order, len(order), need) for p, w in enumerate(prefix)]
-
-    # One pass over the texts. Lines without any prefix word are dropped at once.
-    any_rare = r"(?i)(?<![0-9a-z])(?:" + "|".join(sorted(rare)) + r")(?![0-9a-z])"
-    lines = F.when(F.col(text).rlike(any_rare), F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(any_rare)))
+def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, stretch: float = 1.5, phrases: dict[str, str] = PHRASES, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+    """One row per document: places of the phrases, labels of phrases and fitting notices, best containment."""
+    flat = [(f"{label}/{k}", label, t.split()) for label, ts in sorted(notices.items()) for k, t in enumerate(ts)]
+    sized = [(n, label, sorted(set(ws)), math.ceil(threshold * len(set(ws)) - 1e-9), math.ceil(stretch * len(ws))) for n, label, ws in flat]
+    tokens = sorted({w for _, _, ws, _, _ in sized for w in ws})
+    words = lambda ws: F.array(*map(F.lit, ws)).cast("array<string>")
+
+    # One pass over the texts. The places of the notices' words stay where the length filter leaves a notice.
     found = {label: places(F.col("_joined"), p) for label, p in phrases.items()}
     kinds = [F.struct(F.lit(label).alias("label"), n.alias("n"), a.alias("a"), z.alias("z")) for label, (n, a, z) in found.items()]
-    facts = materialize(
-        docs.select(F.col(id).alias("_id"), joined.alias("_joined"), lines.alias("_lines"))
-        .select(F.monotonically_increasing_id().alias("_row"), "_id", count_words(F.col("_joined")).alias("n_words"), F.array(*kinds).alias("_kinds"), "_lines"),
-        "license-facts",
-    )
-
+    seen = docs.select(F.col(id).alias("_id"), words_of(F.col(text)).alias("_joined")).withColumn("_own", F.array_intersect(F.split("_joined", " "), words(tokens)))
+    may = F.lit(False)
+    for _, _, ws, need, _ in sized:
+        may = may | (F.size(F.array_intersect("_own", words(ws))) >= need)
+    at = F.filter(F.transform(F.split("_joined", " "), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(tokens))
+    facts = seen.select(F.monotonically_increasing_id().alias("_row"), "_id", count_words(F.col("_joined")).alias("n_words"), F.array(*kinds).alias("_kinds"), "_own", F.when(may, at).alias("_at"))
+    facts = materialize(facts, "license-facts")
+
+    # The index: each notice under its rarest words.
+    freq = {r["w"]: r["count"] for r in facts.select(F.explode("_own").alias("w")).groupBy("w").count().collect()}  # at most one row per word of the notices
+    index = []
+    for n, label, ws, need, length in sized:
+        order = sorted(ws, key=lambda w: (freq.get(w, 0), w))
+        index += [(w, p, label, n, order, need, length) for p, w in enumerate(order[: len(order) - need + 1])]
     spark = docs.sparkSession
-    table = spark.createDataFrame([], "w string, p int, label string, notice string, words array<string>, size int, need int")
-    if index:
-        literal = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(lab).alias("label"), F.lit(t).alias("notice"), F.array(*map(F.lit, ws)).alias("words"), F.lit(n).alias("size"), F.lit(o).alias("need")) for w, p, lab, t, ws, n, o in index])
-        table = spark.range(1).select(F.inline(literal))
-    blocks = facts.select("_row", F.posexplode("_lines").alias("_at", "_line")).select("_row", "_at", F.array_intersect(F.array_distinct(F.split(words_of(F.col("_line")), " ")), wanted).alias("_own"), F.size(F.array_distinct(F.split(words_of(F.col("_line")), " "))).alias("_size"))
-    hits = blocks.select("*", F.explode("_own").alias("w")).join(F.broadcast(table), "w")
-    hits = hits.where((F.col("_size") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))
-    fits = (
-        hits.groupBy("_row", "_at", "notice")
-        .agg(*[F.first(c).alias(c) for c in ("label", "words", "size", "need", "_own")])
-        .withColumn("overlap", F.size(F.array_intersect("_own", "words")))
-        .where(F.col("overlap") >= F.col("need"))
-        .withColumn("rank", F.struct((F.col("overlap") / F.col("size")).alias("share"), "overlap"))
-    )
-    best = fits.groupBy("_row", "_at").agg(F.max("rank").alias("top"), F.collect_list(F.struct("rank", "label")).alias("all"))
-    best = best.select("_row", "_at", F.col("top.share").alias("share"), F.transform(F.filter("all", lambda x: x["rank"] == F.col("top")), lambda x: x["label"]).alias("found"))
-    method = best.groupBy("_row").agg(F.max("share").alias("_share"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("_found"), F.count("*").alias("n_blocks"))
+    kind = "array<struct<w:string,p:int,label:string,notice:string,words:array<string>,need:int,length:int>>"
+    literal = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(lab).alias("label"), F.lit(n).alias("notice"), words(ws).alias("words"), F.lit(o).alias("need"), F.lit(m).alias("length")) for w, p, lab, n, ws, o, m in index])
+    table = spark.range(1).select(F.inline(literal.cast(kind)))
+    some = facts.where(F.col("_at").isNotNull())
+    hits = some.select("*", F.explode("_own").alias("w")).join(F.broadcast(table), "w")
+    hits = hits.where((F.size(F.array_intersect("_own", "words")) >= F.col("need")) & (F.size("words") - F.col("p") >= F.col("need")))
+    hits = hits.groupBy("_row", "notice").agg(*[F.first(c).alias(c) for c in ("label", "words", "need", "length", "_at")])
+
+    # Each place of a notice's word with the distinct words of the stretch from there on; places count in lengths of the stretch, times 2^20.
+    unit = 1 << 20
+    each = hits.select("_row", "notice", "label", "need", "length", F.size("words").alias("size"), F.explode(F.filter("_at", lambda x: F.array_contains("words", x["w"]))).alias("x"))
+    each = each.select("_row", "notice", "label", "need", "size", F.col("x.i").alias("i"), F.col("x.w").alias("w"), F.expr(f"x.i * {unit}L div length").alias("u"))
+    near = Window.partitionBy("_row", "notice").orderBy("u").rangeBetween(0, unit - unit // (2 * max([m for *_, m in sized], default=1)))
+    fits = each.withColumn("overlap", F.size(F.collect_set("w").over(near))).where(F.col("overlap") >= F.col("need"))
+    fits = fits.select("_row", "i", "label", F.struct((F.col("overlap") / F.col("size")).alias("share"), "overlap").alias("rank"))
+    best = fits.groupBy("_row", "i").agg(F.max("rank").alias("top"), F.collect_list(F.struct("rank", "label")).alias("all"))
+    best = best.select("_row", F.col("top.share").alias("share"), F.transform(F.filter("all", lambda x: x["rank"] == F.col("top")), lambda x: x["label"]).alias("found"))
+    method = best.groupBy("_row").agg(F.max("share").alias("_share"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("_found"), F.count("*").alias("n_places"))
 
     base = F.transform(F.filter("_kinds", lambda k: k["n"] > 0), lambda k: k["label"])
     joined_list = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     n_base = F.aggregate("_kinds", F.lit(0).cast("long"), lambda s, k: s + k["n"])
-    return facts.drop("_lines").join(method, "_row", "left").select(
+    return facts.drop("_own", "_at").join(method, "_row", "left").select(
         F.col("_id").alias(id),
         "n_words",
         n_base.alias("n_base"),
@@ -130,5 +128,5 @@ def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
         joined_list(base).alias("base_labels"),
         joined_list(F.concat(base, F.coalesce("_found", F.array().cast("array<string>")))).alias("labels"),
         F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),
-        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
+        F.coalesce("n_places", F.lit(0)).cast("long").alias("n_places"),
     )

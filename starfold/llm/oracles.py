@@ -30,22 +30,24 @@ QUALITY = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PHRASES = ", ".join(f"('{k}', string_split('{p}', ' '))" for k, p in PHRASES.items())
-_NOTICES = ", ".join(f"('{k}', list_distinct(string_split('{t}', ' ')))" for k, ts in NOTICES.items() for t in ts)
+_NOTICES = ", ".join(f"('{k}/{j}', '{k}', list_distinct(string_split('{t}', ' ')), CAST(ceil(1.5 * {len(t.split())}) AS BIGINT))" for k, ts in NOTICES.items() for j, t in enumerate(ts))
 
 LICENSES = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
  w AS (SELECT rid, doc_id, regexp_extract_all({_LOW.format("text")}, '{_WORD}') AS words FROM d),
  phrases AS (SELECT label, p FROM (VALUES {_PHRASES}) AS t(label, p)),
  found AS (SELECT rid, label, i - 1 AS i FROM (SELECT rid, words, label, p, unnest(range(1, len(words) - len(p) + 2)) AS i FROM w CROSS JOIN phrases WHERE len(words) >= len(p) AND list_contains(words, p[1])) WHERE words[i:i + len(p) - 1] = p),
  base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM found GROUP BY rid),
- l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
- b AS (SELECT rid, k, list_distinct(regexp_extract_all({_LOW.format("line")}, '{_WORD}')) AS own FROM l WHERE regexp_matches(line, '(?i)licen|permission|redistribution|complian|cc')),
- notices AS (SELECT label, p FROM (VALUES {_NOTICES}) AS t(label, p)),
- s AS (SELECT rid, k, label, len(list_intersect(own, p)) AS overlap, len(list_intersect(own, p)) / len(p) AS share FROM b CROSS JOIN notices),
- f AS (SELECT *, rank() OVER (PARTITION BY rid, k ORDER BY share DESC, overlap DESC) AS place FROM s WHERE share >= 0.8),
- m AS (SELECT rid, list_distinct(list(label)) AS labels, max(share) AS share, count(DISTINCT k) AS n_blocks FROM f WHERE place = 1 GROUP BY rid)
+ tokens AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w),
+ notices AS (SELECT notice, label, p, reach FROM (VALUES {_NOTICES}) AS t(notice, label, p, reach)),
+ parts AS (SELECT notice, label, len(p) AS n, reach, unnest(p) AS w FROM notices),
+ held AS (SELECT rid, notice FROM tokens JOIN parts USING (w) GROUP BY rid, notice HAVING count(DISTINCT w) >= 0.8 * any_value(n) - 1e-9),
+ occ AS (SELECT rid, notice, label, n, reach, i, w FROM tokens JOIN parts USING (w) JOIN held USING (rid, notice)),
+ s AS (SELECT a.rid, a.notice, a.label, a.i, count(DISTINCT b.w) AS overlap, count(DISTINCT b.w) / any_value(a.n) AS share FROM occ a JOIN occ b ON a.rid = b.rid AND a.notice = b.notice AND b.i >= a.i AND b.i < a.i + a.reach GROUP BY a.rid, a.notice, a.label, a.i),
+ f AS (SELECT *, rank() OVER (PARTITION BY rid, i ORDER BY share DESC, overlap DESC) AS place FROM s WHERE share >= 0.8 - 1e-9),
+ m AS (SELECT rid, list_distinct(list(label)) AS labels, max(share) AS share, count(DISTINCT i) AS n_places FROM f WHERE place = 1 GROUP BY rid)
  SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
-  CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(share, 0.0), 9) END AS score, coalesce(n_blocks, 0) AS n_blocks
+  CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(share, 0.0), 9) END AS score, coalesce(n_places, 0) AS n_places
  FROM w LEFT JOIN base USING (rid) LEFT JOIN m USING (rid)"""
 
 ORACLES = {"op5_quality_rules": QUALITY, "op9_license_scan": LICENSES}

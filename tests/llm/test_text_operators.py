@@ -345,20 +345,27 @@ def test_mined_rules_add_verdicts_on_pages_without_a_label(spark):
 def test_license_places_and_labels_match_brute_force(spark, words):
     pieces = ["under the MIT license", "Apache License, Version 2", "cc-by-nc", "x", "the\n", "license"]
     r = random.Random(2)
-    notices = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0", "Released under the MIT License."]
+    notices = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0", "Released under the MIT License.",
+               "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and\n# associated documentation files", "redistribution and use in source and binary forms, with\nor without modification, are permitted provided\nthat following conditions are met",
+               " pad pad pad ".join("redistribution and use in source and binary forms with or without modification are permitted".split())]
     texts = [*AWKWARD, *[" ".join(r.choices(pieces, k=9)) for _ in range(60)], *[words(30, k) + "\n" + n + "\n" + words(30, k) for k, n in enumerate(notices)]]
     for row in license_scan.license_scan(frame(spark, texts)).collect():
         low = re.sub("[A-Z]", lambda m: m.group().lower(), texts[row["doc_id"]] or "")
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
         hits = [(i, k) for k, p in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         best, fitting = 0.0, {k for _, k in hits}
-        for line in low.split("\n"):
-            own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            shares = [(len(own & set(t.split())) / len(set(t.split())), len(own & set(t.split())), k) for k, ts in license_scan.NOTICES.items() for t in ts]
-            top = max(s[:2] for s in shares)
-            if top[0] >= 0.8:
-                best = max(best, top[0])
-                fitting |= {k for *s, k in shares if tuple(s) == top}
+        for i in range(len(w)):
+            shares = []
+            for k, ts in license_scan.NOTICES.items():
+                for t in ts:
+                    own = set(t.split())
+                    common = len(own & set(w[i : i + math.ceil(1.5 * len(t.split()))]))
+                    if w[i] in own and common >= 0.8 * len(own) - 1e-9:
+                        shares.append((common / len(own), common, k))
+            for *rank, k in shares:
+                if rank == list(max(x[:2] for x in shares)):
+                    best = max(best, rank[0])
+                    fitting.add(k)
         places = [i for i, _ in hits]
         assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (len(w), len(hits), min(places, default=None), max(places, default=None))
         assert row["base_labels"] == ",".join(sorted({k for _, k in hits})) and row["labels"] == ",".join(sorted(fitting))

@@ -7,6 +7,8 @@ and divisions are guarded so that ANSI mode never raises.
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,11 +119,22 @@ def deconvolved(yy: Column, xx: Column, xy: Column, k: float) -> tuple[Column, C
 
 
 def debiased_square(d1: Column, d2: Column, v1: Column, v2: Column, c12: Column) -> tuple[Column, Column]:
-    """|d|^2 less its noise, and the error of that."""
-    p1, p2 = d1 * d1 - v1, d2 * d2 - v2
-    zero = F.lit(0.0)
-    form = F.greatest(zero, p1) * v1 + 2 * (d1 * d2 - c12) * c12 + F.greatest(zero, p2) * v2
-    return p1 + p2, F.sqrt(F.greatest(zero, 2 * (v1 * v1 + v2 * v2 + 2 * c12 * c12) + 4 * F.greatest(zero, form)))
+    """|d|^2 less its noise, and the error of that.
+
+    For d normal with mean m and covariance C, |d|^2 has the mean m'm + tr C and the variance
+    2 tr CC + 4 m'Cm = 2 tr CC + 4 tr C(mm'). The outer product mm' is estimated by dd' - C, its
+    squares not below 0.
+    """
+    noise = {(0, 0): v1, (0, 1): c12, (1, 0): c12, (1, 1): v2}
+    d = (d1, d2)
+    signal = {(i, j): d[i] * d[j] - c for (i, j), c in noise.items()}
+    floored = {(i, j): F.greatest(F.lit(0.0), x) if i == j else x for (i, j), x in signal.items()}
+
+    def trace(a: dict, b: dict) -> Column:  # of the product of two symmetric matrices
+        return reduce(operator.add, [a[at] * b[at] for at in a])
+
+    variance = 2 * trace(noise, noise) + 4 * F.greatest(F.lit(0.0), trace(noise, floored))
+    return signal[0, 0] + signal[1, 1], F.sqrt(F.greatest(F.lit(0.0), variance))
 
 
 def ellipse_bounds(a: Column, b: Column, theta: Column) -> tuple[Column, Column]:
@@ -131,17 +144,17 @@ def ellipse_bounds(a: Column, b: Column, theta: Column) -> tuple[Column, Column]
 
 
 def nnls2(suu: Column, suv: Column, svv: Column, suy: Column, svy: Column, syy: Column) -> tuple[Column, Column, Column]:
-    """Non-negative least squares in two variables from the normal sums: both values and the residual."""
-    res = lambda p, q: syy - 2 * p * suy - 2 * q * svy + p * p * suu + 2 * p * q * suv + q * q * svv
-    det, zero = suu * svv - suv * suv, F.lit(0.0)
-    p, q = ratio(svv * suy - suv * svy, det), ratio(suu * svy - suv * suy, det)
-    inside = (det > 0) & (p >= 0) & (q >= 0)
-    only_p, only_q = F.when(suu > 0, F.greatest(zero, ratio(suy, suu))).otherwise(zero), F.when(svv > 0, F.greatest(zero, ratio(svy, svv))).otherwise(zero)
-    first = res(only_p, zero) < syy
-    best = F.when(first, res(only_p, zero)).otherwise(syy)
-    second = res(zero, only_q) < best
-    return (
-        F.when(inside, p).when(second, zero).when(first, only_p).otherwise(zero),
-        F.when(inside, q).when(second, only_q).otherwise(zero),
-        F.when(inside, res(p, q)).when(second, res(zero, only_q)).otherwise(best),
-    )
+    """Non-negative least squares in two variables from the normal sums: both values and the residual.
+
+    The problem is convex, so a point is the solution if no direction that keeps both values non-negative leads
+    down. An edge's own minimum is that if the gradient across the edge is not negative there; if
+    neither edge's is, the solution lies inside and solves the normal equations.
+    """
+    zero = F.lit(0.0)
+    clip = lambda y, s: F.when(s > 0, F.greatest(zero, ratio(y, s))).otherwise(zero)
+    edge_u, edge_v = clip(suy, suu), clip(svy, svv)
+    on_u, on_v = edge_u * suv >= svy, edge_v * suv >= suy
+    det = suu * svv - suv * suv
+    u = F.when(on_u, edge_u).when(on_v, zero).when(det > 0, ratio(svv * suy - suv * svy, det)).otherwise(edge_u)
+    v = F.when(on_u, zero).when(on_v, edge_v).when(det > 0, ratio(suu * svy - suv * suy, det)).otherwise(zero)
+    return u, v, syy + u * (u * suu + v * suv - 2 * suy) + v * (u * suv + v * svv - 2 * svy)

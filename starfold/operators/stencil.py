@@ -1,13 +1,17 @@
 """Stencils over pixel tables: correlation, local maxima, median filter, mesh interpolation.
 
-A neighbourhood is built by two window passes: along the rows into arrays, then along the columns
-over those arrays. Pixels are never multiplied by the number of taps, and both passes shuffle
-one image line to a task. ``keys`` name the image; ``y, x`` are 1-based.
+An image is cut into tiles of ``TILE`` x ``TILE`` pixels; each tile also gets the pixels up to the
+stencil's half width around it, and is a group of bounded size. Within it a neighbourhood is built by two
+window passes, along the rows into arrays, then along the columns over those arrays. Both need the
+one shuffle by tile; a pixel is repeated only near the edges of tiles, never for each tap.
+``keys`` name the image; ``y, x`` are 1-based.
 """
 
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +22,28 @@ from ..functions.scalar import catmull_rom_weights
 C = F.col
 
 
+TILE = 64
+
+
+def tiled(df: DataFrame, h: int) -> tuple[DataFrame, list[str], Column]:
+    """Pixels dealt to tiles with a margin of ``h``, the tiles' columns, and what tells a tile's own pixels."""
+    side = max(TILE, h)
+    at = lambda c, k: F.floor((C(c) - 1 + k) / side).cast("long")
+    near = lambda c: F.explode(F.filter(F.array_distinct(F.array(at(c, -h), at(c, 0), at(c, h))), lambda t: t >= 0))
+    dealt = df.withColumn("_ty", near("y")).withColumn("_tx", near("x"))
+    return dealt, ["_ty", "_tx"], (at("y", 0) == C("_ty")) & (at("x", 0) == C("_tx"))
+
+
 def neighbourhood(df: DataFrame, h: int, value: str = "v", border: str = "replicate", keys: tuple[str, ...] = (), out: str = "nb") -> DataFrame:
     """``df`` with an array of 2h+1 arrays: the values around each pixel, row by row.
 
     ``border``: "replicate" repeats the edge, "zero" is 0 beyond it, "null" is null.
     """
+    dealt, tile, own = tiled(df, h)
+    dealt = dealt.repartition(*keys, *tile)
 
     def line(c: str, along: str, across: str, missing: Column | None) -> Column:
-        w = Window.partitionBy(*keys, across).orderBy(along)
+        w = Window.partitionBy(*keys, *tile, across).orderBy(along)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ends = (F.first(c).over(whole), F.last(c).over(whole)) if border == "replicate" else (missing, missing)
         held = lambda value, end: value if end is None else F.coalesce(value, end)
@@ -34,18 +52,20 @@ def neighbourhood(df: DataFrame, h: int, value: str = "v", border: str = "replic
         return F.array(*before, C(c), *after)
 
     zero = F.lit(0.0) if border == "zero" else None
-    rows = df.withColumn("_row", line(value, "x", "y", zero))
-    blank = F.array(*[F.lit(0.0) if border == "zero" else F.lit(None).cast("double")] * (2 * h + 1))
-    return rows.withColumn(out, line("_row", "y", "x", blank)).drop("_row")
+    rows = dealt.withColumn("_row", line(value, "x", "y", zero))
+    blank = F.array(*[F.lit(0.0) if border == "zero" else F.lit(None).cast(df.schema[value].dataType)] * (2 * h + 1))
+    return rows.withColumn(out, line("_row", "y", "x", blank)).where(own).drop("_row", *tile)
 
 
 def tap(nb: str, h: int, dy: int, dx: int) -> Column:
     return C(nb)[dy + h][dx + h]
 
 
-def weighted_sum(nb: str, kernel: np.ndarray) -> Column:
+def weighted_sum(nb: str, kernel: np.ndarray, part: str | None = None) -> Column:
+    """The sum of the neighbours, or of one field of theirs, times the kernel."""
     h = kernel.shape[0] // 2
-    terms = [float(kernel[i, j]) * tap(nb, h, i - h, j - h) for i in range(2 * h + 1) for j in range(2 * h + 1) if kernel[i, j]]
+    held = lambda dy, dx: tap(nb, h, dy, dx) if part is None else tap(nb, h, dy, dx)[part]
+    terms = [float(kernel[i, j]) * held(i - h, j - h) for i in range(2 * h + 1) for j in range(2 * h + 1) if kernel[i, j]]
     total = terms[0] if terms else F.lit(0.0)
     for t in terms[1:]:
         total = total + t
@@ -70,16 +90,18 @@ def factored(kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 def correlate_separable(df: DataFrame, column: np.ndarray, row: np.ndarray, value: str = "v", out: str = "c", keys: tuple[str, ...] = ()) -> DataFrame:
     """Correlation with an outer product, as one pass along the rows and one along the columns; edges repeat."""
 
+    dealt, tile, own = tiled(df, max(len(column), len(row)) // 2)
+
     def along(c: str, line: str, across: str, taps: np.ndarray) -> Column:
         h = len(taps) // 2
-        w = Window.partitionBy(*keys, across).orderBy(line)
+        w = Window.partitionBy(*keys, *tile, across).orderBy(line)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         total = float(taps[h]) * C(c)
         for k in range(1, h + 1):
             total = total + float(taps[h - k]) * F.coalesce(F.lag(c, k).over(w), F.first(c).over(whole)) + float(taps[h + k]) * F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))
         return total
 
-    return df.withColumn("_r", along(value, "x", "y", row)).withColumn(out, along("_r", "y", "x", column)).drop("_r")
+    return dealt.repartition(*keys, *tile).withColumn("_r", along(value, "x", "y", row)).withColumn(out, along("_r", "y", "x", column)).where(own).drop("_r", *tile)
 
 
 def gaussian_kernel(size: int, sigma: float) -> np.ndarray:
@@ -103,31 +125,30 @@ def matched_filter(df: DataFrame, template: np.ndarray, weight: str | None = Non
     if weight is None:
         return correlate(df, k, "v", "smoothed", keys=keys).withColumns({"den": F.lit(1.0), "significance": C("smoothed") * norm})
     w = F.when((C(weight) > 0) & (C(weight) < math.inf), C(weight)).otherwise(F.lit(0.0))
-    ready = df.withColumn("_w", w).withColumn("_wv", F.when(C("_w") > 0, C("_w") * C("v")).otherwise(F.lit(0.0)))
-    both = correlate(correlate(ready, k, "_wv", "smoothed", keys=keys), k * k, "_w", "den", keys=keys)
-    return both.withColumn("significance", F.when(C("den") > 0, C("smoothed") / F.sqrt(F.when(C("den") > 0, C("den")))).otherwise(F.lit(0.0))).drop("_w", "_wv")
+    ready = df.withColumn("_w", w).withColumn("_both", F.struct(F.when(C("_w") > 0, C("_w") * C("v")).otherwise(F.lit(0.0)).alias("wv"), C("_w").alias("w")))
+    nb = neighbourhood(ready.drop("_w"), k.shape[0] // 2, "_both", "replicate", keys, "_nb")
+    both = nb.withColumns({"smoothed": weighted_sum("_nb", k, "wv"), "den": weighted_sum("_nb", k * k, "w")}).drop("_nb", "_both")
+    return both.withColumn("significance", F.when(C("den") > 0, C("smoothed") / F.sqrt(F.when(C("den") > 0, C("den")))).otherwise(F.lit(0.0)))
+
+
+def above_neighbours(nb: str, value: str, edges: bool) -> Column:
+    """True where a pixel is strictly above all eight neighbours; those beyond the edge are below it only with ``edges``."""
+    each = [F.coalesce(C(value) > tap(nb, 1, dy, dx), F.lit(edges)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    return reduce(operator.and_, each)
 
 
 def local_maxima(df: DataFrame, value: str = "v", edges: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """The pixels strictly above all eight neighbours; at the edges only on request. A plateau has none."""
-    nb = neighbourhood(df, 1, value, "null", keys, "_nb")
-    others = [tap("_nb", 1, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    above = None
-    for o in others:
-        one = (F.coalesce(C(value) > o, F.lit(True)) if edges else F.coalesce(C(value) > o, F.lit(False)))
-        above = one if above is None else above & one
-    return nb.where(above).drop("_nb")
+    return neighbourhood(df, 1, value, "null", keys, "_nb").where(above_neighbours("_nb", value, edges)).drop("_nb")
 
 
 def refined_peaks(df: DataFrame, floor: float, border: int, ny: int, nx: int, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
     """Maxima of at least ``floor`` away from the border, moved by a parabola along each axis (at most half a pixel)."""
-    nb = neighbourhood(df, 1, value, "null", keys, "_nb")
-    peak = local_maxima(df, value, False, keys).select(*keys, "y", "x")
+    nb = neighbourhood(df, 1, value, "null", keys, "_nb").where(above_neighbours("_nb", value, False))
     t = lambda dy, dx: tap("_nb", 1, dy, dx)
     shift = lambda a, b: F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.try_divide(a - b, 2 * (2 * C(value) - a - b)))), F.lit(0.0))
     inside = (C("y") > border) & (C("y") <= ny - border) & (C("x") > border) & (C("x") <= nx - border) & (C(value) >= floor)
-    kept = nb.where(inside).join(peak, [*keys, "y", "x"], "left_semi")
-    return kept.select(*keys, "y", "x", (C("y") + shift(t(1, 0), t(-1, 0))).alias("py"), (C("x") + shift(t(0, 1), t(0, -1))).alias("px"), C(value).alias("peak"))
+    return nb.where(inside).select(*keys, "y", "x", (C("y") + shift(t(1, 0), t(-1, 0))).alias("py"), (C("x") + shift(t(0, 1), t(0, -1))).alias("px"), C(value).alias("peak"))
 
 
 def median_filter(df: DataFrame, h: int, value: str = "v", out: str = "m", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -142,7 +142,7 @@ def star_shapes(spark: SparkSession, sf: str) -> DataFrame:
 def centroid_quadratic(spark: SparkSession, sf: str) -> DataFrame:
     """Sub-pixel positions of all interior maxima whose quadratic is well curved."""
     px = B.pixels(spark, sf)
-    nb = T.neighbourhood(px, 1, "v", "null", (), "nb").join(T.local_maxima(px).select("y", "x"), ["y", "x"], "left_semi")
+    nb = T.neighbourhood(px, 1, "v", "null", (), "nb").where(T.above_neighbours("nb", "v", False))
     c = M.quadratic_centroid("nb", C("y"), C("x"))
     v = lambda dy, dx: C("nb")[dy + 1][dx + 1]
     cells = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]

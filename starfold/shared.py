@@ -17,13 +17,20 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder; in local mode, where all is one machine, a temporary one if the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not _one_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _FALLBACK.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once to the shared folder and read back; deleted when the session ends."""
     spark = df.sparkSession
@@ -35,12 +42,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a session, where they can't import it already."""
+    """Send this package to the executors' Python, once for each application; in local mode they import it as the driver does."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
-        return
+    local = _one_machine(spark) and root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
     app = spark.sparkContext.applicationId
-    if _FALLBACK.get("shipped") != app:
+    if not local and _FALLBACK.get("shipped") != app:
         base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-package-")), "starfold")
         spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "starfold"))
         _FALLBACK["shipped"] = app

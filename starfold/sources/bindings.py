@@ -30,8 +30,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed(k: Column, a: int, b: int, m: int) -> Column:
-    """A position within a field from a quadratic hash of the key."""
-    return 1 + ((k * k * a + k * b) % m).cast("double") / F.lit(float(m)) * SIDE
+    """A position within a field from a quadratic hash of the key; residues first, so that no key overflows."""
+    r = k % m
+    return 1 + ((r * r % m * (a % m) + r * (b % m)) % m).cast("double") / F.lit(float(m)) * SIDE
 
 
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,8 @@ PIXELS = """px AS (SELECT vec_id + 1 AS y, i AS x, CAST(embedding[i] AS DOUBLE)
   FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 CELLS = "cells AS (SELECT l_suppkey AS cell, l_extendedprice AS v FROM lineitem)"
 STARS = """stars AS (SELECT p_partkey AS id, p_partkey // 2000 AS field,
-  1 + CAST((p_partkey * p_partkey * 7919 + p_partkey * 104729) % 20011 AS DOUBLE) / CAST(20011 AS DOUBLE) * 128 + (p_partkey // 2000) * 128 AS y,
-  1 + CAST((p_partkey * p_partkey * 15485863 + p_partkey * 32452843) % 30011 AS DOUBLE) / CAST(30011 AS DOUBLE) * 128 AS x, p_retailprice AS flux FROM part)"""
+  1 + CAST(((p_partkey % 20011) * (p_partkey % 20011) % 20011 * 7919 + (p_partkey % 20011) * 4674) % 20011 AS DOUBLE) / CAST(20011 AS DOUBLE) * 128 + (p_partkey // 2000) * 128 AS y,
+  1 + CAST(((p_partkey % 30011) * (p_partkey % 30011) % 30011 * 187 + (p_partkey % 30011) * 10952) % 30011 AS DOUBLE) / CAST(30011 AS DOUBLE) * 128 AS x, p_retailprice AS flux FROM part)"""
 REFERENCES = """refs AS (SELECT s_suppkey AS id, s_suppkey // 100 AS field,
-  1 + CAST((s_suppkey * s_suppkey * 6007 + s_suppkey * 70001) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) * 128 + (s_suppkey // 100) * 128 AS y,
-  1 + CAST((s_suppkey * s_suppkey * 9973 + s_suppkey * 50021) % 8009 AS DOUBLE) / CAST(8009 AS DOUBLE) * 128 AS x, abs(s_acctbal) + 500 AS flux FROM supplier)"""
+  1 + CAST(((s_suppkey % 10007) * (s_suppkey % 10007) % 10007 * 6007 + (s_suppkey % 10007) * 9959) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) * 128 + (s_suppkey // 100) * 128 AS y,
+  1 + CAST(((s_suppkey % 8009) * (s_suppkey % 8009) % 8009 * 1964 + (s_suppkey % 8009) * 1967) % 8009 AS DOUBLE) / CAST(8009 AS DOUBLE) * 128 AS x, abs(s_acctbal) + 500 AS flux FROM supplier)"""

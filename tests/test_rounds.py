@@ -2,7 +2,6 @@
 
 import pytest
 
-from starfold.llm.simhash import connected
 from starfold.operators.spatial import greedy_suppress
 
 
@@ -11,10 +10,3 @@ def test_suppression_does_not_end_with_open_pairs(spark):
     with pytest.raises(RuntimeError):
         greedy_suppress(points, 1.0, rounds=2)
     assert {r["id"] for r in greedy_suppress(points, 1.0).collect()} == set(range(0, 12, 2))
-
-
-def test_classes_do_not_end_unfinished(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        connected(links, rounds=1)
-    assert {r["root"] for r in connected(links).collect()} == {0}

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from ..shared import materialize, ship
 from .toxicity import fold_of
 
-END = b""  # the end of a text; no word is empty
+START, END = b" ", b""  # the start and the end of a text; no word is empty or has a space
+CHUNK = 128  # texts whose units are looked up at once
 CELLS = 509
 BLOCK = 256  # units whose neighbour counts are one row
 
@@ -61,7 +62,7 @@ class Units:
     """The unit of each word: 0 is the start of a text, 1 its end, then the listed words, then the cells; words are remembered up to a bound."""
 
     def __init__(self, listed: list[bytes]):
-        self.base = {END: 1} | {w: 2 + k for k, w in enumerate(listed)}
+        self.base = {START: 0, END: 1} | {w: 2 + k for k, w in enumerate(listed)}
         self.start = 2 + len(listed)
         self.size = self.start + CELLS
         self.seen: dict[bytes, int] = {}
@@ -205,14 +206,20 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+    """Starts, words and ends of some texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            yield [w for t in batch["_text"].iloc[at : at + CHUNK] for w in (START, *tokens(t))]
+
+
 def gathered(docs: DataFrame, text: str, table) -> DataFrame:
     """The sum of the tables of counts that ``table`` makes in each task, as the places that are not 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = table()
-        for batch in batches:
-            for t in batch["_text"]:
-                own.add(tokens(t))
+        for words in chunks(batches):
+            own.add(words)
         at = np.flatnonzero(own.counts)
         yield pd.DataFrame({"at": at, "c": own.counts[at]})
 
@@ -227,10 +234,9 @@ class Pairs:
         self.counts = np.zeros(size * size, np.int64)
 
     def add(self, words: list[bytes]) -> None:
-        u = np.concatenate([[0], self.units.of(words)])
-        if self.label is not None:
-            u = self.label[u]
-        np.add.at(self.counts, u[:-1] * self.size + u[1:], 1)
+        u = self.units.of(words)
+        place = (u if self.label is None else self.label[u])[:-1] * self.size + (u if self.label is None else self.label[u])[1:]
+        np.add.at(self.counts, place[u[1:] != 0], 1)  # nothing leads to a start
 
 
 def pair_counts(docs: DataFrame, text: str, listed, label, size: int) -> np.ndarray:
@@ -251,12 +257,11 @@ def neighbour_counts(docs: DataFrame, text: str, listed, label, size: int, class
         units, cls = Units(listed.value), label.value
         rows = -(-size // BLOCK) * BLOCK
         before, after = (np.zeros(rows * classes, np.int32) for _ in range(2))
-        for batch in batches:
-            for t in batch["_text"]:
-                u = np.concatenate([[0], units.of(tokens(t))])
-                c = cls[u]
-                np.add.at(before, u[1:] * classes + c[:-1], 1)
-                np.add.at(after, u[:-1] * classes + c[1:], 1)
+        for words in chunks(batches):
+            u = units.of(words)
+            c, real = cls[u], u[1:] != 0  # nothing leads to a start
+            np.add.at(before, (u[1:] * classes + c[:-1])[real], 1)
+            np.add.at(after, (u[:-1] * classes + c[1:])[real], 1)
         both = np.stack([before.reshape(-1, BLOCK * classes), after.reshape(-1, BLOCK * classes)], axis=1)
         for k in np.flatnonzero(both.any(axis=(1, 2))).tolist():
             yield pd.DataFrame({"block": [k], "counts": [both[k].tobytes()]})

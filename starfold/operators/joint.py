@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nan, ratio
+from .robust import medians, overall
 
 C = F.col
 
@@ -84,20 +85,32 @@ def poly_map(cy: list[list[float]], u: Column, v: Column) -> Column:
 
 def pick_stars(stars: DataFrame, faint: float, bins: int, value: str, k: float) -> DataFrame:
     """Stars above a flux quantile whose ``value`` lies within k deviations of the median of their brightness bin."""
-    cut = stars.agg(F.percentile("flux", F.lit(faint)).alias("q")).first()["q"]
+    cut = overall(stars, "flux", faint)
     bright = stars.where(C("flux") >= (cut if cut is not None else 0.0))
     lo, hi = bright.agg(F.min("flux"), F.max("flux")).first()
     step = ((hi or 1.0) - (lo or 0.0)) / bins or 1.0
     binned = bright.withColumn("_bin", F.least(F.floor((C("flux") - (lo or 0.0)) / step), F.lit(bins - 1)))
-    stats = binned.groupBy("_bin").agg(F.median(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count("*").alias("_n"))
+    stats = binned.groupBy("_bin").agg(F.stddev_pop(value).alias("_s"), F.count("*").alias("_n")).join(medians(binned, ["_bin"], value, "_m"), "_bin")
     return binned.join(stats, "_bin").where((C("_n") >= 4) & (F.abs(C(value) - C("_m")) <= k * C("_s"))).drop("_bin", "_m", "_s", "_n")
 
 
 def worst_first(df: DataFrame, score: str, fraction: float, limit: float) -> DataFrame:
-    """``df`` without the rows above ``limit``, the worst first, but never more than a share of all."""
-    n = df.count()
-    worst = df.where(C(score) > limit).orderBy(F.desc(score), "id").limit(math.ceil(fraction * n))
-    return df.join(worst.select("id"), "id", "left_anti")
+    """``df`` without the rows above ``limit``, the worst first (of equal ones the smallest id), but never more than a share of all.
+
+    Where the share binds, the score at its end comes from an exact quantile, so that only rows of
+    that very score are ranked.
+    """
+    most = math.ceil(fraction * df.count())
+    above = df.where(C(score) > limit)
+    n = above.count()
+    if n <= most:
+        return df.join(above.select("id"), "id", "left_anti")
+    if not most:
+        return df
+    cut = overall(above, score, (n - most - 0.5) / (n - 1))  # between the last row to go and the next, or both their score
+    worse = above.where(C(score) > cut)
+    tied = above.where(C(score) == cut).orderBy("id").limit(most - worse.count())
+    return df.join(worse.select("id").unionByName(tied.select("id")), "id", "left_anti")
 
 
 def missing_columns(df: DataFrame, other: DataFrame) -> DataFrame:

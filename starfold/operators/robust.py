@@ -1,13 +1,15 @@
 """Robust statistics of groups.
 
-Two forms. Groups of any size keep their rows where they are: clipping moves one pair of bounds
-for each group, so a round is a scan, a join with the small table of bounds and an aggregate.
-Boxes of a bounded number of pixels are groups that numpy handles whole.
+Groups of at most ``WHOLE`` rows are handled whole: tasks stream over sorted groups, or the built-in
+exact percentile counts a group's values. A larger group keeps its rows where they are: clipping moves one
+pair of bounds for each group, so a round is a scan, a join with the small table of bounds and an
+aggregate, and medians are narrowed by counting bins with map-side combining. Results are the same.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,19 +19,21 @@ from pyspark.sql import functions as F
 from ..shared import materialize, ship
 
 C = F.col
+WHOLE = 1_000_000  # rows of a group that one task holds at most
 
 
 def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int = 2_000_000, bins: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int | None = None, bins: int = 1024) -> DataFrame:
     """``keys, n, q``: the exact interpolated quantile of each group's finite values.
 
-    Groups of at most ``limit`` rows use the built-in exact percentile. A larger one is not
+    Groups of at most ``limit`` rows (``WHOLE``) use the built-in exact percentile. A larger one is not
     gathered: its value range is cut into bins, counted with map-side combining, and narrowed to the bins that
     hold the two ranks around the quantile, until those hold few rows or a single value.
     """
+    limit = limit or WHOLE
     df = df.where(finite(C(value)))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     large = sizes.where(C("_n") > limit)
@@ -51,20 +55,65 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int =
         narrowed = hit.select(*keys, "_n", "_part", "_rank", C("_min").alias("_lo"), C("_max").alias("_hi"), (C("_to") - C("_c")).alias("_below"))
         state = materialize(narrowed.unionByName(state.where("_hi <= _lo")), "quantiles")
     ends = state.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_part").alias("_part"), F.min("_lo").alias("_a"), F.max("_lo").alias("_b"))
-    return small.unionByName(ends.select(*keys, "n", (C("_a") + C("_part") * (C("_b") - C("_a"))).alias("q")))
+    return materialize(small.unionByName(ends.select(*keys, "n", (C("_a") + C("_part") * (C("_b") - C("_a"))).alias("q"))), "quantiles")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "m") -> DataFrame:
+    """``keys`` and the exact median of each group's finite values; null where there are none."""
+    return quantiles(df, keys, value, 0.5).select(*keys, C("q").alias(name))
+
+
+def overall(df: DataFrame, value: str, q: float = 0.5) -> float | None:
+    """One exact quantile of a whole table."""
+    row = quantiles(df.select(F.lit(1).alias("_all"), value), ["_all"], value, q).first()
+    return row and row["q"]
 
 
 def clip_bounds(df: DataFrame, keys: list[str], value: str, low: float = 3.0, high: float = 3.0, rounds: int = 10) -> DataFrame:
     """``keys, lo, hi``: inclusive bounds after iterative clipping around the median by population deviations about the mean."""
-    rows = df.where(finite(C(value)))
-    bounds = materialize(rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")), "clip-bounds")
+    rows = df.where(finite(C(value))).select(*keys, C(value).alias("_v"))
+    large = materialize(rows.groupBy(*keys).count().where(C("count") > WHOLE).select(*keys), "clip-large")
+    if not large.head(1):
+        return _clip_whole(rows, keys, low, high, rounds)
+    small = _clip_whole(rows.join(large, keys, "left_anti"), keys, low, high, rounds)
+    return materialize(small.unionByName(_clip_spread(rows.join(large, keys, "left_semi"), keys, low, high, rounds)), "clip-bounds")
+
+
+def _clip_whole(rows: DataFrame, keys: list[str], low: float, high: float, rounds: int) -> DataFrame:
+    """Bounds of groups that a task can hold: one shuffle, and a stream over the sorted groups."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    ship(rows.sparkSession)
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            new = (rest[keys] != rest[keys].shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield found(rest.iloc[: starts[-1]], starts[:-1])
+                rest = rest.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield found(rest, np.array([0]))
+
+    def found(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        kept = [clip_array(a, low, high, rounds) for a in np.split(part["_v"].to_numpy(), starts[1:])]
+        return part.iloc[starts][keys].assign(lo=[a[0] for a in kept], hi=[a[-1] for a in kept])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(bounds, f"{kinds}, lo double, hi double")
+
+
+def _clip_spread(rows: DataFrame, keys: list[str], low: float, high: float, rounds: int) -> DataFrame:
+    """Bounds of groups whose rows stay where they are."""
+    bounds = materialize(rows.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"), F.lit(True).alias("changed")), "clip-bounds")
     for _ in range(rounds):
-        inside = rows.join(bounds, keys).where(C(value).between(C("lo"), C("hi")))
-        stats = inside.groupBy(*keys).agg(F.median(value).alias("m"), F.stddev_pop(value).alias("s"), F.count("*").alias("n"))
-        new = stats.select(*keys, *[F.when(C("s") > 0, b).otherwise(e).alias(a) for a, b, e in (("b_lo", C("m") - low * C("s"), F.lit(-math.inf)), ("b_hi", C("m") + high * C("s"), F.lit(math.inf)))], C("n").alias("kept"))
-        moved = bounds.join(new, keys).select(*keys, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"), C("kept").alias("n"), (C("n") != C("kept")).alias("changed"))
-        previous, bounds = bounds, materialize(moved, "clip-bounds")
-        if previous.columns[-1] == "changed" and not bounds.where("changed").head(1):
+        inside = rows.join(bounds.select(*keys, "lo", "hi"), keys).where(C("_v").between(C("lo"), C("hi"))).select(*keys, "_v")
+        stats = inside.groupBy(*keys).agg(F.stddev_pop("_v").alias("s")).join(medians(inside, keys, "_v"), keys)
+        limit = lambda by, end: F.when(C("s") > 0, C("m") + by * C("s")).otherwise(F.lit(end))
+        moved = bounds.join(stats, keys).select(*keys, F.greatest("lo", limit(-low, -math.inf)).alias("lo"), F.least("hi", limit(high, math.inf)).alias("hi"), "n")
+        left = rows.join(moved.select(*keys, "lo", "hi"), keys).where(C("_v").between(C("lo"), C("hi"))).groupBy(*keys).agg(F.count("*").alias("left"))
+        bounds = materialize(moved.join(left, keys).select(*keys, "lo", "hi", C("left").alias("n"), (C("left") != C("n")).alias("changed")), "clip-bounds")
+        if not bounds.where("changed").head(1):
             break
     return bounds.select(*keys, "lo", "hi")
 
@@ -76,15 +125,14 @@ def clipped(df: DataFrame, keys: list[str], value: str, **how: float) -> DataFra
 
 def about_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows with their group's median ``m`` and unnormalised median absolute deviation ``s``."""
-    medians = df.groupBy(*keys).agg(F.median(value).alias("m"))
-    near = df.join(medians, keys)
-    spreads = near.groupBy(*keys).agg(F.median(F.abs(C(value) - C("m"))).alias("s"))
+    near = df.join(medians(df, keys, value), keys)
+    spreads = medians(near.select(*keys, F.abs(C(value) - C("m")).alias("_d")), keys, "_d", "s")
     return near.join(spreads, keys)
 
 
 def locations(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, median, mode estimates and population deviation of each group."""
-    s = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
+    s = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).join(medians(df, keys, value, "median"), keys)
     return s.withColumns({"sextractor": mode_estimate(C("mean"), C("median"), C("std")), "mmm": 3 * C("median") - 2 * C("mean")})
 
 
@@ -166,3 +214,37 @@ def mesh(pixels: DataFrame, box: tuple[int, int], exclude_percentile: float = 10
 
     cell = [F.floor((C("y") - 1) / h).cast("long").alias("mi"), F.floor((C("x") - 1) / w).cast("long").alias("mj")]
     return pixels.select(*cell, "v").groupBy("mi", "mj").applyInPandas(one, "mi long, mj long, n long, bkg double, rms double")
+
+
+def filled(grid: np.ndarray) -> np.ndarray:
+    """NaN cells as the mean of their neighbours (those beyond the edge repeat it), row by row with cells filled before, until none is left; 0 if there is no value at all."""
+    grid = grid.copy()
+    if np.isnan(grid).all():
+        return np.zeros_like(grid)
+    rows, cols = grid.shape
+    while len(open_ := np.argwhere(np.isnan(grid))):
+        for i, j in open_.tolist():
+            around = grid[np.ix_(np.clip([i - 1, i, i + 1], 0, rows - 1), np.clip([j - 1, j, j + 1], 0, cols - 1))]
+            if not np.isnan(around).all():
+                grid[i, j] = np.nanmean(around)
+    return grid
+
+
+def fill_mesh(mesh: DataFrame, values: tuple[str, ...] = ("bkg", "rms")) -> DataFrame:
+    """``mi, mj`` and ``values`` of every box between the first and the last, with NaN or absent ones filled.
+
+    The mesh of an image is small (a row for each box), and filling goes box by box, so it is one group.
+    """
+    ship(mesh.sparkSession)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["mi", "mj"]].to_numpy()
+        low, shape = at.min(0), tuple(at.max(0) - at.min(0) + 1)
+        out = {"mi": np.indices(shape)[0].ravel() + low[0], "mj": np.indices(shape)[1].ravel() + low[1]}
+        for v in values:
+            grid = np.full(shape, np.nan)
+            grid[at[:, 0] - low[0], at[:, 1] - low[1]] = pdf[v]
+            out[v] = filled(grid).ravel()
+        return pd.DataFrame(out)
+
+    return mesh.select("mi", "mj", *values).groupBy().applyInPandas(whole, "mi long, mj long, " + ", ".join(f"{v} double" for v in values))

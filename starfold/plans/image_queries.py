@@ -138,7 +138,7 @@ def bad_pixel_mask(spark: SparkSession, sf: str) -> DataFrame:
     y, x = C("y"), C("x")
     err = F.when((y * 7 + x) % 97 == 0, 0.0).when((y * 13 + x * 5) % 89 == 0, 3.0).otherwise(0.02 + F.abs("v") / 10)
     p = B.pixels(spark, sf).withColumn("err", err).withColumn("good_err", F.when(C("err") > 0, C("err")))
-    level = p.where("err > 0").agg(F.median("v").alias("sky"), F.median("err").alias("sig")).first()
+    level = {"sky": R.overall(p.where("err > 0"), "v"), "sig": R.overall(p.where("err > 0"), "err")}
     around = T.neighbourhood(p, 1, "good_err", "null", (), "nb")
     flat = F.flatten("nb")
     others = F.array_sort(F.filter(F.concat(F.slice(flat, 1, 4), F.slice(flat, 6, 4)), lambda e: e.isNotNull()))

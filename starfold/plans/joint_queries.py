@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joint as J
 from ..operators import spatial as P
 from ..operators import stencil as T
+from ..operators import robust as R
 from ..registry import query
 from ..sources import bindings as B
 from .image_queries import AROUND
@@ -153,7 +154,7 @@ def covariance_valid(spark: SparkSession, sf: str) -> DataFrame:
 def uniform_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections of jump pixels, set to zero where they exceed what noise and a share of the signal allow."""
     p = B.pixels(spark, sf)
-    sky = p.agg(F.median("v").alias("s")).first()["s"]
+    sky = R.overall(p, "v")
     signal, d = F.greatest(C("v") - sky, F.lit(0.0)), C("v") / 3
     jump = (C("y") * 31 + C("x")) % 5 == 0
     return p.select("y", "x", F.round(F.when(jump & ~(F.abs(d) <= F.sqrt(0.0004 + 0.04 * signal * signal)), 0.0).otherwise(d), 6).alias("delta"))
@@ -165,7 +166,6 @@ def uniform_delta(spark: SparkSession, sf: str) -> DataFrame:
 def epsf_project_combine(spark: SparkSession, sf: str) -> DataFrame:
     """Star pixels on a grid of half pixels around each star, combined by a clipped median."""
     from ..operators import measure as M
-    from ..operators import robust as R
 
     met = M.on_image(B.references(spark, sf), scene(spark, sf).select("y", "x", "v"), 3)
     p = met.select(F.round(C("dy") * 2).cast("long").alias("gy"), F.round(C("dx") * 2).cast("long").alias("gx"), ((C("v") - 50.0) / C("flux")).alias("s_"))

@@ -151,8 +151,8 @@ def subtract(image: DataFrame, catalog: DataFrame, o: Options) -> DataFrame:
 
 
 def level(image: DataFrame, box: int) -> DataFrame:
-    """The image less its mesh background, median-filtered and interpolated."""
-    m = R.mesh(image, (box, box)).select((C("mi") + 1).alias("y"), (C("mj") + 1).alias("x"), C("bkg").alias("v"))
+    """The image less its mesh background, its void boxes filled, median-filtered and interpolated."""
+    m = R.fill_mesh(R.mesh(image, (box, box)), ("bkg",)).select((C("mi") + 1).alias("y"), (C("mj") + 1).alias("x"), C("bkg").alias("v"))
     flat = T.median_filter(m, 1).select((C("y") - 1).alias("mi"), (C("x") - 1).alias("mj"), "m")
     flat = materialize(flat, "mesh")
     rows, cols = (v + 1 for v in flat.agg(F.max("mi"), F.max("mj")).first())

@@ -30,7 +30,7 @@ def clip_rounds(source: str, key: str, low: float, high: float, rounds: int = 10
 @query("sigma_clip_groups", f"{CELL}, {clip_rounds('cells', 'cell', 1.5, 1.5)} SELECT cell, count(*) AS n, round(median(v), 6) AS med, round(stddev_pop(v), 6) AS std FROM c10 GROUP BY cell")
 def sigma_clip_groups(spark: SparkSession, sf: str) -> DataFrame:
     kept = R.clipped(B.cells(spark, sf), ["cell"], "v", low=1.5, high=1.5)
-    return kept.groupBy("cell").agg(F.count("*").alias("n"), *r6(med=F.median("v"), std=F.stddev_pop("v")))
+    return kept.groupBy("cell").agg(F.count("*").alias("n"), *r6(std=F.stddev_pop("v"))).join(R.medians(kept, ["cell"], "v"), "cell").select("cell", "n", *r6(med=C("m")), "std")
 
 
 @query("sigma_clip_asymmetric", f"{CELL}, {clip_rounds('cells', 'cell', 1.2, 2.0)} SELECT cell, count(*) AS n, round(min(v), 6) AS lowest, round(max(v), 6) AS highest FROM c10 GROUP BY cell")
@@ -68,7 +68,8 @@ def rms_about_location(spark: SparkSession, sf: str) -> DataFrame:
     cells = B.cells(spark, sf)
     at = R.locations(cells, ["cell"], "v").select("cell", C("mmm").alias("m"))
     d = cells.join(at, "cell").withColumn("d", C("v") - C("m"))
-    return d.groupBy("cell").agg(F.round(F.sqrt(F.avg(C("d") * C("d"))), 5).alias("std_rms"), F.round(1.4826 * F.median(F.abs("d")), 5).alias("mad_rms"))
+    away = R.medians(d.select("cell", F.abs("d").alias("a")), ["cell"], "a")
+    return d.groupBy("cell").agg(F.round(F.sqrt(F.avg(C("d") * C("d"))), 5).alias("std_rms")).join(away, "cell").select("cell", "std_rms", F.round(1.4826 * C("m"), 5).alias("mad_rms"))
 
 
 @query("group_quantiles", f"{CELL} SELECT cell, count(*) AS n, round(quantile_cont(v, 0.9), 6) AS q FROM cells GROUP BY cell")
@@ -85,8 +86,7 @@ M_ROUNDS = "".join(f""", c{k} AS (SELECT cell, CASE WHEN any_value(done) THEN an
   SELECT cell, round(sigma, 5) AS sigma FROM c30""")
 def m_scale_groups(spark: SparkSession, sf: str) -> DataFrame:
     cells = B.cells(spark, sf)
-    medians = cells.groupBy("cell").agg(F.median("v").alias("m"))
-    residuals = cells.join(medians, "cell").select("cell", ((C("v") - C("m")) / 1000).alias("v"))
+    residuals = cells.join(R.medians(cells, ["cell"], "v"), "cell").select("cell", ((C("v") - C("m")) / 1000).alias("v"))
     return R.m_scale(residuals, ["cell"], "v").select("cell", F.round("sigma", 5).alias("sigma"))
 
 
@@ -117,3 +117,15 @@ MESH = f"""boxed AS (SELECT (y - 1) // 16 * 1000 + (x - 1) // 16 AS k, v FROM px
 @query("mesh_background", f"{PX}, {MESH} SELECT mi, mj, n, round(bkg, 6) AS bkg, round(rms, 6) AS rms FROM mesh WHERE n >= 25.6")
 def mesh_background(spark: SparkSession, sf: str) -> DataFrame:
     return R.mesh(B.pixels(spark, sf), (16, 16)).where(~F.isnan("bkg")).select("mi", "mj", "n", *r6(bkg=C("bkg"), rms=C("rms")))
+
+
+HOLES = """hb AS (SELECT (y - 1) // 16 AS mi, (x - 1) // 16 AS mj, avg(v) AS v FROM px GROUP BY ALL), hm AS (SELECT mi, mj, CASE WHEN (mi * 5 + mj * 3) % 11 <> 0 THEN v END AS m FROM hb), hd AS (SELECT max(mi) AS hi, max(mj) AS hj FROM hm)"""
+
+
+@query("mesh_fill", f"""{PX}, {HOLES}
+  SELECT a.mi, a.mj, round(coalesce(max(a.m), avg(b.m)), 6) AS m FROM hm a, hd, (SELECT unnest([-1, 0, 1]) AS d), (SELECT unnest([-1, 0, 1]) AS e), hm b WHERE b.mi = greatest(0, least(hi, a.mi + d)) AND b.mj = greatest(0, least(hj, a.mj + e)) GROUP BY a.mi, a.mj""")
+def mesh_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Box means with holes, none beside another, filled from the boxes around them."""
+    box = [F.expr("(y - 1) div 16").alias("mi"), F.expr("(x - 1) div 16").alias("mj")]
+    m = B.pixels(spark, sf).groupBy(*box).agg(F.avg("v").alias("v")).select("mi", "mj", F.when((C("mi") * 5 + C("mj") * 3) % 11 == 0, float("nan")).otherwise(C("v")).alias("m"))
+    return R.fill_mesh(m, ("m",)).select("mi", "mj", *r6(m=C("m")))

@@ -538,6 +538,29 @@ def test_quality_network_learns_and_its_gradient_is_right(spark, words):
     assert all(0 <= net.score(t) <= 1 for t in AWKWARD)
 
 
+def test_quality_scores_match_a_plain_convolution(words):
+    net = byte_cnn.train([words(40, k) if k % 2 else words(40, k).upper() for k in range(80)], [k % 2 for k in range(80)], epochs=2)
+    w, b, out = (p.astype(np.float64) for p in (net.w, net.b, net.out))
+    long = words(30_000, 3)
+    assert len(long) > 2 * byte_cnn.PIECE
+    for t in [*AWKWARD, words(5, 1), words(60, 2), long, long[: byte_cnn.PIECE + 3], long[: byte_cnn.PIECE + 4], long[: byte_cnn.PIECE + 5], "é" * 40_000]:
+        data = np.frombuffer((t or "").encode().ljust(byte_cnn.WIDTH, b"\0"), np.uint8)
+        act = np.array([[sum(w[k, data[p + k]] for k in range(byte_cnn.WIDTH))] for p in range(len(data) - byte_cnn.WIDTH + 1)])[:, 0] if len(data) < 3000 else sum(w[k][data[k : len(data) - byte_cnn.WIDTH + 1 + k]] for k in range(byte_cnn.WIDTH))
+        half = byte_cnn.CHUNK // 2
+        chunks = [np.maximum(act[at : at + byte_cnn.CHUNK].max(0) + b, 0) for at in range(0, max(half, (len(act) - 1) // half * half), half)]
+        odds = np.concatenate([np.max(chunks, 0), np.mean(chunks, 0)]) @ out + net.bias[0] + net.offset
+        assert net.score(t) == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-4)
+
+
+def test_quality_of_repeated_rows_and_labels(spark, words):
+    texts = [words(30, k % 3) + ("###" if k % 3 else "") for k in range(60)]
+    labels = spark.createDataFrame([(k % 20, int(k % 20 % 3 == 0)) for k in range(40)] + [(1, None)], "doc_id long, quality int")
+    df = frame(spark, texts, [k % 20 for k in range(60)])
+    key = lambda r: (r["doc_id"], r["score"])
+    rows = sorted(byte_cnn.quality(df, labels).collect(), key=key)
+    assert rows == sorted(byte_cnn.quality(df.repartition(3), labels).collect(), key=key) and len(rows) == 60
+
+
 def test_one_class_and_no_labels(spark, words):
     df = frame(spark, [words(20, k) for k in range(12)])
     for labels in ([], [(k, 1) for k in range(12)]):

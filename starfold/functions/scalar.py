@@ -137,6 +137,12 @@ def debiased_square(d1: Column, d2: Column, v1: Column, v2: Column, c12: Column)
     return signal[0, 0] + signal[1, 1], F.sqrt(F.greatest(F.lit(0.0), variance))
 
 
+def jansky_factor(megajansky_per_sr: Column, pixel_sr: Column) -> Column:
+    """Jansky of one unit in a pixel, from its surface brightness in MJy per steradian and its area; an error if either is missing."""
+    known = megajansky_per_sr.isNotNull() & ~F.isnan(megajansky_per_sr) & pixel_sr.isNotNull() & ~F.isnan(pixel_sr)
+    return F.when(known, megajansky_per_sr * 1e6 * pixel_sr).otherwise(F.raise_error(F.lit("no photometric calibration")).cast("double"))
+
+
 def ellipse_bounds(a: Column, b: Column, theta: Column) -> tuple[Column, Column]:
     """Half height and half width of an ellipse with axes ``a`` (at ``theta`` degrees from x) and ``b``."""
     c, s = F.cos(F.radians(theta)), F.sin(F.radians(theta))

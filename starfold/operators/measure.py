@@ -54,6 +54,38 @@ def moffat(dy: Column, dx: Column, fwhm: float, beta: float) -> Column:
     return F.lit((beta - 1) / (math.pi * alpha2)) * F.pow(1 + (dy * dy + dx * dx) / alpha2, F.lit(-beta))
 
 
+def elliptical_moffat(dy: Column, dx: Column, y_fwhm: float, x_fwhm: float, theta: Column, beta: float) -> Column:
+    """Moffat profile of unit flux whose x width is turned by ``theta`` degrees."""
+    c, s = F.cos(F.radians(theta)), F.sin(F.radians(theta))
+    per_width = 4 * (2 ** (1 / beta) - 1)  # squared half widths to squared scales
+    u2, w2 = (F.pow(v, F.lit(2.0)) * (per_width / f**2) for v, f in ((dx * c + dy * s, x_fwhm), (dy * c - dx * s, y_fwhm)))
+    return F.lit((beta - 1) * per_width / (math.pi * y_fwhm * x_fwhm)) * F.pow(1 + u2 + w2, F.lit(-beta))
+
+
+def encircled_gaussian(r: Column, fwhm: float) -> Column:
+    """Share of a circular Gaussian's light within ``r``."""
+    return 1 - F.exp(-K * r * r / fwhm**2)
+
+
+def encircled_moffat(r: Column, fwhm: float, beta: float) -> Column:
+    """Share of a circular Moffat profile's light within ``r``."""
+    return 1 - F.pow(1 + r * r * (4 * (2 ** (1 / beta) - 1) / fwhm**2), F.lit(1 - beta))
+
+
+def ring_light(curve: DataFrame, keys: list[str], light: str = "ee") -> DataFrame:
+    """``curve`` with ``ring``, the light between each radius and the one before, and ``brightness``, that by the ring's area."""
+    w = Window.partitionBy(*keys).orderBy("r")
+    inner = F.coalesce(F.lag("r").over(w), F.lit(0.0))
+    ring = C(light) - F.coalesce(F.lag(light).over(w), F.lit(0.0))
+    return curve.withColumns({"ring": ring, "brightness": ring / (math.pi * (C("r") * C("r") - inner * inner))})
+
+
+def brightest(image: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """Place and value of each image's largest finite pixel; of equal ones the first by row."""
+    best = F.max(F.struct(C(value).alias("v"), (-C("y")).alias("y"), (-C("x")).alias("x"))).alias("b")
+    return image.where(C(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(best).select(*keys, (-C("b.y")).alias("y"), (-C("b.x")).alias("x"), C("b.v").alias(value))
+
+
 def render(sources: DataFrame, fwhm: float, radius: int) -> DataFrame:
     """``y, x, model``: the summed light of all sources, where there is any."""
     light = stamps(sources, radius).select(C("py").alias("_y"), C("px").alias("_x"), (C("flux") * gaussian(C("dy"), C("dx"), fwhm)).alias("m"))
@@ -104,8 +136,12 @@ def on_image(sources: DataFrame, image: DataFrame, radius: int) -> DataFrame:
     return stamps(sources, radius).join(pixels, ["py", "px"])
 
 
-def curve_of_growth(sources: DataFrame, image: DataFrame, radii: list[float], method: str = "center", background: float = 0.0) -> DataFrame:
-    """``id, r, flux, area``: background-free light within each radius. Radii must be positive and rise."""
+def curve_of_growth(sources: DataFrame, image: DataFrame, radii: list[float], method: str = "center", background: float = 0.0, inverse_variance: str | None = None) -> DataFrame:
+    """``id, r, flux, area``: background-free light within each radius. Radii must be positive and rise.
+
+    With a column of inverse variances there is ``err``, the flux's deviation; pixels whose inverse variance is
+    not positive and finite add nothing to it, while the light and the area keep them.
+    """
     if any(b <= a for a, b in zip([0.0, *radii], radii, strict=False)):
         raise ValueError("radii must be positive and strictly increasing")
     if method == "exact":
@@ -116,8 +152,12 @@ def curve_of_growth(sources: DataFrame, image: DataFrame, radii: list[float], me
         w = overlap(C("dy"), C("dx"), r, method)
         met = met.withColumn(f"_w{k}", w)
         sums += [F.sum(C(f"_w{k}") * (C("v") - background)).alias(f"f{k}"), F.sum(f"_w{k}").alias(f"a{k}")]
+        if inverse_variance:
+            iv = C(inverse_variance)
+            known = (iv > 0) & ~F.isnan(iv) & (iv < math.inf)
+            sums.append(F.sqrt(F.coalesce(F.sum(F.when(known, w * w / F.when(known, iv))), F.lit(0.0))).alias(f"e{k}"))
     wide = met.groupBy("id").agg(*sums)
-    rows = F.array(*[F.struct(F.lit(float(r)).alias("r"), C(f"f{k}").alias("flux"), C(f"a{k}").alias("area")) for k, r in enumerate(radii)])
+    rows = F.array(*[F.struct(F.lit(float(r)).alias("r"), C(f"f{k}").alias("flux"), C(f"a{k}").alias("area"), *([C(f"e{k}").alias("err")] if inverse_variance else [])) for k, r in enumerate(radii)])
     return wide.select("id", F.inline(rows))
 
 

@@ -123,6 +123,14 @@ def clipped(df: DataFrame, keys: list[str], value: str, **how: float) -> DataFra
     return df.where(finite(C(value))).join(clip_bounds(df, keys, value, **how), keys).where(C(value).between(C("lo"), C("hi"))).drop("lo", "hi")
 
 
+def clip_range(df: DataFrame, keys: list[str], value: str, low: float = 3.0, high: float = 3.0, least: int = 4) -> DataFrame:
+    """``keys, n, lo, hi``: the survivors' median less ``low`` and plus ``high`` deviations; NaN where fewer than ``least`` survive."""
+    kept = clipped(df, keys, value, low=low, high=high)
+    s = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop(value).alias("s")).join(medians(kept, keys, value), keys)
+    enough = lambda v: F.when(C("n") >= least, v).otherwise(F.lit(math.nan))
+    return s.select(*keys, "n", enough(C("m") - low * C("s")).alias("lo"), enough(C("m") + high * C("s")).alias("hi"))
+
+
 def about_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows with their group's median ``m`` and unnormalised median absolute deviation ``s``."""
     near = df.join(medians(df, keys, value), keys)

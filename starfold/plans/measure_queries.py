@@ -216,3 +216,41 @@ def bilinear_grid_corners(spark: SparkSession, sf: str) -> DataFrame:
     g = B.stars(spark, sf).select("id", cell(y).alias("i"), cell(C("x")).alias("j"), y.alias("y"), "x")
     t, u = clamp((C("y") - 1 - C("i") * 40) / 40, 0.0, 1.0), clamp((C("x") - 1 - C("j") * 40) / 40, 0.0, 1.0)
     return g.select("id", "i", "j", *r6(w00=(1 - t) * (1 - u), w01=(1 - t) * u, w10=t * (1 - u), w11=t * u))
+
+
+IV = "CASE WHEN (scene.y * 3 + scene.x) % 17 = 0 THEN 0.0 ELSE 1.0 / (1 + scene.x % 3) END"
+
+
+@query("curve_of_growth_error", f"""WITH {SCENE}, rad AS (SELECT unnest([1.5, 2.5, 3.5, 4.5, 5.5, 6.5])::DOUBLE AS r), p AS (SELECT id, dy*dy + dx*dx AS d2, v, {IV} AS iv FROM so JOIN scene ON so.py = scene.y AND so.px = scene.x)
+  SELECT id, r, round(coalesce(sum(v - 50.0) FILTER (d2 < r*r), 0.0), 5) AS flux, round(sqrt(coalesce(sum(1 / iv) FILTER (d2 < r*r AND iv > 0), 0.0)), 6) AS err FROM p CROSS JOIN rad GROUP BY id, r""")
+def curve_of_growth_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Light within radii and its error, some pixels of unknown variance."""
+    iv = F.when((C("y") * 3 + C("x")) % 17 == 0, 0.0).otherwise(1.0 / (1 + C("x") % 3))
+    image = scene(spark, sf).select("y", "x", "v").withColumn("iv", iv)
+    c = M.curve_of_growth(B.references(spark, sf), image, RADII, "center", SKY, "iv")
+    return c.select("id", "r", F.round("flux", 5).alias("flux"), F.round("err", 6).alias("err"))
+
+
+@query("psf_elliptical_moffat", f"""WITH {B.STARS}, o AS (SELECT id, y - round_even(y, 0) AS dy, x - round_even(x, 0) AS dx, CAST(id % 180 AS DOUBLE) AS t FROM stars), e AS (SELECT *, dx * cos(radians(t)) + dy * sin(radians(t)) AS u, dy * cos(radians(t)) - dx * sin(radians(t)) AS w FROM o)
+  SELECT id, round(1.5 * 4 * (pow(2, 0.4) - 1) / (pi() * 8.0) * pow(1 + 4 * (pow(2, 0.4) - 1) * (u*u / 16.0 + w*w / 4.0), -2.5), 8) AS value FROM e""")
+def psf_elliptical_moffat(spark: SparkSession, sf: str) -> DataFrame:
+    dy, dx = C("y") - F.rint("y"), C("x") - F.rint("x")
+    return B.stars(spark, sf).select("id", F.round(M.elliptical_moffat(dy, dx, 2.0, 4.0, (C("id") % 180).cast("double"), 2.5), 8).alias("value"))
+
+
+EE = "ee AS (SELECT s_suppkey % 7 AS k, CAST(s_suppkey // 7 + 1 AS DOUBLE) / 4 AS r FROM supplier)"
+
+
+@query("encircled_models", f"""WITH {EE}, m AS (SELECT k, r, 1 - exp(-4 * ln(2) * r*r / 9.0) AS gaussian, 1 - pow(1 + r*r * 4 * (pow(2, 0.4) - 1) / 9.0, -1.5) AS moffat FROM ee),
+  d AS (SELECT *, coalesce(lag(moffat) OVER w, 0.0) AS before, coalesce(lag(r) OVER w, 0.0) AS inner_r FROM m WINDOW w AS (PARTITION BY k ORDER BY r))
+  SELECT k, r, round(gaussian, 9) AS gaussian, round(moffat, 9) AS moffat, round(moffat - before, 9) AS ring, round((moffat - before) / (pi() * (r*r - inner_r*inner_r)), 9) AS brightness FROM d""")
+def encircled_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Encircled light of two profiles at rising radii, and the second's brightness in rings."""
+    r = B.read(spark, sf, "supplier").select((C("s_suppkey") % 7).alias("k"), ((F.expr("s_suppkey div 7") + 1).cast("double") / 4).alias("r"))
+    m = r.select("k", "r", M.encircled_gaussian(C("r"), 3.0).alias("gaussian"), M.encircled_moffat(C("r"), 3.0, 2.5).alias("moffat"))
+    return M.ring_light(m, ["k"], "moffat").select("k", "r", *[F.round(c, 9).alias(c) for c in ("gaussian", "moffat", "ring", "brightness")])
+
+
+@query("brightest_pixel", f"""WITH {B.PIXELS} SELECT band, y, x, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY v DESC, y, x) AS k FROM px) WHERE k = 1""")
+def brightest_pixel(spark: SparkSession, sf: str) -> DataFrame:
+    return M.brightest(B.pixels(spark, sf), ["band"]).select("band", "y", "x", F.round("v", 6).alias("v"))

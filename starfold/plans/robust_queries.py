@@ -129,3 +129,11 @@ def mesh_fill(spark: SparkSession, sf: str) -> DataFrame:
     box = [F.expr("(y - 1) div 16").alias("mi"), F.expr("(x - 1) div 16").alias("mj")]
     m = B.pixels(spark, sf).groupBy(*box).agg(F.avg("v").alias("v")).select("mi", "mj", F.when((C("mi") * 5 + C("mj") * 3) % 11 == 0, float("nan")).otherwise(C("v")).alias("m"))
     return R.fill_mesh(m, ("m",)).select("mi", "mj", *r6(m=C("m")))
+
+
+@query("clip_range", f"""WITH few AS (SELECT l_partkey AS cell, l_extendedprice AS v FROM lineitem), {clip_rounds('few', 'cell', 1.5, 2.0)}
+  SELECT cell, count(*) AS n, CASE WHEN count(*) >= 4 THEN round(median(v) - 1.5 * stddev_pop(v), 6) ELSE 'NaN'::DOUBLE END AS lo, CASE WHEN count(*) >= 4 THEN round(median(v) + 2.0 * stddev_pop(v), 6) ELSE 'NaN'::DOUBLE END AS hi FROM c10 GROUP BY cell""")
+def clip_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of what clipping leaves, void for groups of too few survivors."""
+    few = B.read(spark, sf, "lineitem").select(C("l_partkey").alias("cell"), C("l_extendedprice").alias("v"))
+    return R.clip_range(few, ["cell"], "v", 1.5, 2.0).select("cell", "n", *r6(lo=C("lo"), hi=C("hi")))

@@ -189,3 +189,9 @@ def dq_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels with each flag, from one pass of conditional counts."""
     counts = dq_bits(spark, sf).agg(*[F.count_if(F.shiftright("dq", b).bitwiseAND(1) == 1).alias(f"b{b}") for b in FLAGS.values()])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(b).cast("long").alias("bit"), C(f"b{b}").alias("n")) for b in FLAGS.values()]))).where("n > 0")
+
+
+@query("jansky_factor", "SELECT s_suppkey AS id, round((abs(s_acctbal) / 1000 + 0.1) * 1e6 * (2.8e-3 + s_nationkey * 1e-5), 6) AS factor FROM supplier")
+def jansky_factor(spark: SparkSession, sf: str) -> DataFrame:
+    s = B.read(spark, sf, "supplier")
+    return s.select(C("s_suppkey").alias("id"), F.round(S.jansky_factor(F.abs("s_acctbal") / 1000 + 0.1, 2.8e-3 + C("s_nationkey") * 1e-5), 6).alias("factor"))

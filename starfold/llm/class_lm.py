@@ -14,7 +14,8 @@ class of their cell. Emissions are smoothed counts within a class, with one plac
 transitions are smoothed counts of all training texts with the final classes. Both are proper
 distributions.
 
-Word counts cover all training texts. The most frequent words' counts (``known_words``, a
+Texts are read twice: for the words' counts, and to write the codes of their tokens to the shared folder,
+from which all further passes start. Word counts cover all training texts. The most frequent words' counts (``known_words``, a
 bound) go to every task; the other tokens of all texts meet their counts in one join, which
 has no hot key, as the hot words are gone by then.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from ..shared import materialize, ship
 from .toxicity import fold_of
 
-START, END = b" ", b""  # the start and the end of a text; no word is empty or has a space
+END = b""  # the end of a text; no word is empty
 CHUNK = 128  # texts whose units are looked up at once
 CELLS = 509
 BLOCK = 256  # units whose neighbour counts are one row
@@ -58,30 +59,6 @@ def cell(word: bytes) -> int:
     return (value * 4 + kind + (word[-1:] in b".,;:!?") * 7919) % CELLS
 
 
-class Units:
-    """The unit of each word: 0 is the start of a text, 1 its end, then the listed words, then the cells; words are remembered up to a bound."""
-
-    def __init__(self, listed: list[bytes]):
-        self.base = {START: 0, END: 1} | {w: 2 + k for k, w in enumerate(listed)}
-        self.start = 2 + len(listed)
-        self.size = self.start + CELLS
-        self.seen: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.seen.get
-        if len(self.seen) > 300_000:
-            self.seen = {}
-            get = self.seen.get
-        out = [get(w) for w in words]
-        if None in out:
-            for k, u in enumerate(out):
-                if u is None:
-                    w = words[k]
-                    u = self.base.get(w)
-                    out[k] = self.seen[w] = self.start + cell(w) if u is None else u
-        return np.array(out, np.int64)
-
-
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     """Class of each unit by exchange clustering over unit bigram counts.
 
@@ -164,28 +141,27 @@ def regroup(before: np.ndarray, after: np.ndarray, cls: np.ndarray, free: np.nda
 
 @dataclass
 class Model:
-    """What a task needs to score texts, but for the counts of words that are not ``index``."""
+    """What a task needs to score texts, but for the counts of words that are not in ``index``."""
 
-    index: dict[bytes, int]  # of the known words
+    index: dict[bytes, int]  # codes of the known words
     counts: np.ndarray  # of the known words
-    class_of_known: np.ndarray
+    cls: np.ndarray  # class by code
     step: np.ndarray  # log10 of the class transition, by class pair
-    cls: np.ndarray  # class of each cell
     room: np.ndarray  # log10 of the smoothed size of each class
 
     def classes(self, words: list[bytes], at: list[int | None]) -> np.ndarray:
-        out = np.array([-1 if k is None else k for k in at], np.int64)
-        new = np.flatnonzero(out < 0)
-        found = self.class_of_known[out]
-        if len(new):
-            found[new] = self.cls[[cell(words[k]) for k in new.tolist()]]
-        return found
+        return self.cls[[-1 - cell(w) if k is None else k for w, k in zip(words, at, strict=True)]]
 
     def path(self, k: np.ndarray) -> float:
         """Log10 of the class transitions less that of the classes' sizes."""
         return float(self.step[np.concatenate([[0], k[:-1]]), k].sum() - self.room[k].sum())
 
 
+def by_code(known: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """A table by code: known words, the end, the start from 0 on; cell c at -1 - c."""
+    return np.concatenate([known, [1, 0], cells[::-1]]).astype(np.int64)
+
+
 def counted(docs: DataFrame, text: str, train: Column) -> DataFrame:
     """Words (as binary) of the training texts with their counts; the end of a text is left out."""
     words = F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
@@ -206,60 +182,76 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
-    """Starts, words and ends of some texts at a time."""
+def encoded(docs: DataFrame, id: str, text: str, train: Column, index) -> DataFrame:
+    """Each text once: ``codes`` of its tokens (int32), and the words that are not known; ``train`` tells the training texts."""
+    kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), train.alias("train"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, cells = index.value.get, {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                codes, tails = [], []
+                for t in part.column(3).to_pylist():
+                    words = tokens(t)
+                    own, tail = [get(w) for w in words], []
+                    if None in own:
+                        if len(cells) > 300_000:
+                            cells.clear()
+                        for k, c in enumerate(own):
+                            if c is None:
+                                w = words[k]
+                                tail.append(w)
+                                c = cells.get(w)
+                                if c is None:
+                                    c = cells[w] = -1 - cell(w)
+                                own[k] = c
+                    codes.append(np.array(own, np.int32).tobytes())
+                    tails.append(tail)
+                tail = pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()), tail], ["row", "id", "train", "codes", "tail"])
+
+    return materialize(kept.mapInArrow(run, f"row long, id {docs.schema[id].dataType.simpleString()}, train boolean, codes binary, tail array<string>"), "lm-encoded")
+
+
+def chunks(batches: Iterator[pd.DataFrame], start: int) -> Iterator[np.ndarray]:
+    """The codes of some texts at a time, each after a start."""
+    first = np.array([start], np.int32)
     for batch in batches:
-        for at in range(0, len(batch), CHUNK):
-            yield [w for t in batch["_text"].iloc[at : at + CHUNK] for w in (START, *tokens(t))]
+        raw = batch["codes"].tolist()
+        for at in range(0, len(raw), CHUNK):
+            yield np.concatenate([x for c in raw[at : at + CHUNK] for x in (first, np.frombuffer(c, np.int32))])
 
 
-def gathered(docs: DataFrame, text: str, table) -> DataFrame:
-    """The sum of the tables of counts that ``table`` makes in each task, as the places that are not 0."""
+def pair_counts(texts: DataFrame, label, start: int, size: int) -> np.ndarray:
+    """The square table of the neighbouring labels in all training texts; at most size * size rows come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = table()
-        for words in chunks(batches):
-            own.add(words)
-        at = np.flatnonzero(own.counts)
-        yield pd.DataFrame({"at": at, "c": own.counts[at]})
-
-    return docs.select(F.col(text).alias("_text")).mapInPandas(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
-
-
-class Pairs:
-    """Counts of the pairs of neighbouring labels, start included; labels of units by ``label``."""
-
-    def __init__(self, listed: list[bytes], label: np.ndarray | None, size: int):
-        self.units, self.label, self.size = Units(listed), label, size
-        self.counts = np.zeros(size * size, np.int64)
-
-    def add(self, words: list[bytes]) -> None:
-        u = self.units.of(words)
-        place = (u if self.label is None else self.label[u])[:-1] * self.size + (u if self.label is None else self.label[u])[1:]
-        np.add.at(self.counts, place[u[1:] != 0], 1)  # nothing leads to a start
-
-
-def pair_counts(docs: DataFrame, text: str, listed, label, size: int) -> np.ndarray:
-    """The square table of label pairs in all texts; at most size * size rows come to the driver."""
-    sums = gathered(docs, text, lambda: Pairs(listed.value, label and label.value, size)).toArrow()
+        own = np.zeros(size * size, np.int64)
+        for codes in chunks(batches, start):
+            u = label.value[codes]
+            np.add.at(own, (u[:-1] * size + u[1:])[u[1:] != 0], 1)  # nothing leads to a start
+        at = np.flatnonzero(own)
+        yield pd.DataFrame({"at": at, "c": own[at]})
+
+    sums = texts.where("train").select("codes").mapInPandas(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(size * size)
     out[sums["at"].to_numpy()] = sums["c"].to_numpy()
     return out.reshape(size, size)
 
 
-def neighbour_counts(docs: DataFrame, text: str, listed, label, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit the counts of the classes before and after it in all texts.
+def neighbour_counts(texts: DataFrame, unit, label, start: int, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit the counts of the classes before and after it in all training texts.
 
     Tasks send blocks of units as packed counts, and tasks that own a block add them up one by one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, cls = Units(listed.value), label.value
         rows = -(-size // BLOCK) * BLOCK
         before, after = (np.zeros(rows * classes, np.int32) for _ in range(2))
-        for words in chunks(batches):
-            u = units.of(words)
-            c, real = cls[u], u[1:] != 0  # nothing leads to a start
+        for codes in chunks(batches, start):
+            u, c = unit.value[codes], label.value[codes]
+            real = u[1:] != 0  # nothing leads to a start
             np.add.at(before, (u[1:] * classes + c[:-1])[real], 1)
             np.add.at(after, (u[:-1] * classes + c[1:])[real], 1)
         both = np.stack([before.reshape(-1, BLOCK * classes), after.reshape(-1, BLOCK * classes)], axis=1)
@@ -274,7 +266,7 @@ def neighbour_counts(docs: DataFrame, text: str, listed, label, size: int, class
                 own[k] = own[k] + x if k in own else x
         yield pd.DataFrame({"block": list(own), "counts": [x.tobytes() for x in own.values()]})
 
-    sums = docs.select(F.col(text).alias("_text")).mapInPandas(run, "block long, counts binary").repartition("block").mapInPandas(add, "block long, counts binary").toArrow()  # one row a block
+    sums = texts.where("train").select("codes").mapInPandas(run, "block long, counts binary").repartition("block").mapInPandas(add, "block long, counts binary").toArrow()  # one row a block
     both = np.zeros((-(-size // BLOCK), 2, BLOCK * classes))
     for k, raw in zip(sums["block"].to_pylist(), sums["counts"].to_pylist(), strict=True):
         both[k] = np.frombuffer(raw, np.int64).reshape(2, -1)
@@ -282,8 +274,8 @@ def neighbour_counts(docs: DataFrame, text: str, listed, label, size: int, class
     return before, after
 
 
-def fit(docs: DataFrame, text: str, train: Column, classes: int = 48, frequent: int = 300, clustered: int = 30_000, known_words: int = 200_000) -> tuple[DataFrame, Model, int, int]:
-    """The table of training words with counts, the model, and the numbers of training tokens and of distinct ones."""
+def fit(docs: DataFrame, id: str, text: str, train: Column, classes: int = 48, frequent: int = 300, clustered: int = 30_000, known_words: int = 200_000) -> tuple[DataFrame, DataFrame, Model, int, int]:
+    """The table of training words with counts, the encoded texts, the model, and the numbers of training tokens and of distinct ones."""
     spark = docs.sparkSession
     ship(spark)
     share = spark.sparkContext.broadcast
@@ -294,70 +286,69 @@ def fit(docs: DataFrame, text: str, train: Column, classes: int = 48, frequent:
     top = counts.where(F.col("c") >= least_count(counts, known_words)).toArrow()  # at most known_words rows
     known = {w.encode(): c for w, c in zip(top["w"].to_pylist(), top["c"].to_pylist(), strict=True)}
     ranked = sorted(known, key=lambda w: (-known[w], w))
-    texts = docs.where(train)
+    index = {w: k for k, w in enumerate([*ranked, END])}
+    codes, start = share(index), len(ranked) + 1
+    texts = encoded(docs, id, text, train, codes)
+
+    def units(most: int) -> np.ndarray:
+        """Unit by code: the start, the end, the ``most`` most frequent words, the cells."""
+        n = min(most, len(ranked))
+        return by_code(np.array([2 + k if k < n else 2 + n + cell(w) for k, w in enumerate(ranked)], np.int64), 2 + n + np.arange(CELLS))
 
     # Frequent words and cells over their bigrams.
-    lead = ranked[:frequent]
-    first = exchange(pair_counts(texts, text, share(lead), None, Units(lead).size), classes)
+    first = units(frequent)
+    size = int(first.max()) + 1
+    cls = exchange(pair_counts(texts, share(first), start, size), classes)[first]  # by code
 
     # All clustered words by the classes around them.
-    listed = ranked[:clustered]
-    units = Units(listed)
-    cells = first[2 + len(lead) :]
-    cls = np.concatenate([first[: 2 + len(lead)], cells[[cell(w) for w in listed[len(lead) :]]], cells]).astype(np.int64)
-    shared = share(listed)
-    before, after = neighbour_counts(texts, text, shared, share(cls), units.size, classes)
-    cls = regroup(before, after, cls, np.arange(2, 2 + len(listed)), classes)
-    jump = pair_counts(texts, text, shared, share(cls), classes) + 0.5
+    unit = units(clustered)
+    size, free = int(unit.max()) + 1, np.arange(2, 2 + min(clustered, len(ranked)))
+    own = np.zeros(size, np.int64)
+    own[unit] = cls
+    before, after = neighbour_counts(texts, share(unit), share(cls), start, size, classes)
+    cls = regroup(before, after, own, free, classes)[unit]
+    jump = pair_counts(texts, share(cls), start, classes) + 0.5
     jump[:, 0] = 0  # nothing leads to the start
     step = np.log10(np.maximum(jump, 1e-300) / jump.sum(1, keepdims=True))
 
     # Distinct words of each class, for its room.
-    class_of_unit = share(cls)
+    shared = share(cls)
 
     @F.pandas_udf("int")
     def class_of(ws: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Units(shared.value)
+        get = codes.value.get
         for batch in ws:
-            yield pd.Series(class_of_unit.value[own.of([w.encode() for w in batch])], dtype="int32")
+            at = [get(w) for w in map(str.encode, batch)]
+            yield pd.Series(shared.value[[-1 - cell(w.encode()) if k is None else k for w, k in zip(batch, at, strict=True)]], dtype="int32")
 
     mass, kinds = np.zeros(classes), np.zeros(classes)
     for r in counts.select(class_of("w").alias("k"), "c").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row a class
         mass[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     mass[1], kinds[1] = ends, 1 if ends else 0
-    index = {w: k for k, w in enumerate([*ranked, END])}
     tally = np.array([*[known[w] for w in ranked], ends], float)
-    of_known = cls[units.of([*ranked, END])]
-    return counts, Model(index, tally, of_known, step, cls[-CELLS:], np.log10(mass + 0.5 * (kinds + 1))), n, v
+    return counts, texts, Model(index, tally, cls, step, np.log10(mass + 0.5 * (kinds + 1))), n, v
 
 
 def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, **size: int) -> DataFrame:
     """One row per document: token counts, the unigram base score, the class model's score and its perplexity; ``size`` goes to ``fit``."""
     spark = docs.sparkSession
-    counts, fitted, n, v = fit(docs, text, fold_of(F.col(id), folds) != held, **size)
-    model = spark.sparkContext.broadcast(fitted)
-    kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias("_text"))
+    counts, texts, fitted, n, v = fit(docs, id, text, fold_of(F.col(id), folds) != held, **size)
+    model = spark.sparkContext.broadcast((fitted.counts, fitted.cls, fitted.step, fitted.room))
 
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        get = m.index.get
+    @F.pandas_udf("struct<n_tokens:long,n_known:long,logs:double,path:double>")
+    def head(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = Model({}, *model.value)
+        logs = np.log10(m.counts + 0.5)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for t in part.column(2).to_pylist():
-                    words = tokens(t)
-                    seen = [get(w) for w in words]
-                    tail = [w for w, c in zip(words, seen, strict=True) if c is None] if None in seen else []
-                    own = m.counts[[c for c in seen if c is not None] if tail else seen]
-                    rows.append((len(words), int((own > 0).sum()), float(np.log10(own + 0.5).sum()), m.path(m.classes(words, seen)), tail))
-                cols = list(zip(*rows, strict=True))
-                tails = pa.array(cols[4], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), tails], ["row", "id", "n_tokens", "n_known", "logs", "path", "tail"])
-
-    type_of = docs.schema[id].dataType.simpleString()
-    heads = materialize(kept.mapInArrow(head, f"row long, id {type_of}, n_tokens long, n_known long, logs double, path double, tail array<string>"), "lm-heads")
-    rare = heads.select("row", F.explode("tail").alias("w"))
+            rows = []
+            for raw in batch:
+                codes = np.frombuffer(raw, np.int32)
+                own = codes[codes >= 0]
+                rows.append((len(codes), int((m.counts[own] > 0).sum()), float(logs[own].sum()), m.path(m.cls[codes])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "logs", "path"])
+
+    heads = texts.select("row", "id", "tail", head("codes").alias("h")).select("row", "id", "tail", "h.*")
+    rare = texts.select("row", F.explode("tail").alias("w"))
     found = rare.join(counts, "w", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     tail = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("tail_logs"), F.count(F.when(F.col("c") > 0, 1)).alias("tail_known"))
     logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0))

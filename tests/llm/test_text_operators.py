@@ -388,7 +388,7 @@ def test_scores_match_brute_force(spark, words, known, clustered):
     n, v = sum(c.values()), len(c)
 
     # The class model from its classes alone, with counts of its own.
-    model = class_lm.fit(df, "text", toxicity.fold_of(F.col("doc_id"), 5) != 1, **size)[1]
+    model = class_lm.fit(df, "doc_id", "text", toxicity.fold_of(F.col("doc_id"), 5) != 1, **size)[2]
     of = lambda w: int(model.classes([w.encode()], [model.index.get(w.encode())])[0])
     pairs = Counter(p for t in train for ks in [[0, *map(of, t)]] for p in zip(ks, ks[1:], strict=False))
     mass, kinds = Counter(), Counter()

@@ -31,14 +31,19 @@ def _one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once to the shared folder and read back; deleted when the session ends."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read back; deleted when the session ends."""
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .license_scan import NOTICES, PHRASES
+from .merkle import FIELDS
+from .mixing import Mix
 from .quality_rules import Limits
 from .url_rules import RULES, SEEDS
 
@@ -50,7 +52,48 @@ LICENSES = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM
   CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(share, 0.0), 9) END AS score, coalesce(n_places, 0) AS n_places
  FROM w LEFT JOIN base USING (rid) LEFT JOIN m USING (rid)"""
 
-ORACLES = {"op5_quality_rules": QUALITY, "op9_license_scan": LICENSES}
+_M = Mix()
+_WEIGHTS = ", ".join(map(str, _M.weights))
+
+MIXING = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_BLANK}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')) AS k FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{_WEIGHTS}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_M.weights)} + 1] AS w FROM d GROUP BY source),
+ t AS (SELECT *, CAST({_M.share} AS DOUBLE) * sum(source_size) OVER () AS whole, {_M.most} * source_size AS cap, row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / w, source NULLS LAST) AS i FROM s),
+ r AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+ l AS (SELECT level FROM r WHERE level * w <= cap ORDER BY i LIMIT 1),
+ g AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT level FROM l)) AS target FROM t),
+ m AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+ SELECT doc_id, size, source_size, target, size * (CAST(middle < target AS BIGINT) + CAST(source_size + middle < target AS BIGINT)) AS taken FROM m"""
+
+NEGATIVES = """WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id OR a.label <> b.label WHERE a.id % 50 = 0),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in FIELDS[:-1]) + " || " + _FIELD.format("{text}") + ")"
+# The CRC-32 polynomial, a byte at a time and its eight shifts.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+
+MERKLE = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+ leaf AS (SELECT rid, doc_id, source, {_LEAF.format(text="text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS altered FROM d),
+ spot AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaf),
+ low AS (SELECT 0 AS lvl, tree, list(leaf ORDER BY place) AS nodes FROM spot GROUP BY tree
+   UNION ALL SELECT lvl + 1, tree, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM low WHERE len(nodes) > 1),
+ subs AS (SELECT tree, nodes[1] AS subroot FROM low WHERE len(nodes) = 1),
+ high AS (SELECT 0 AS lvl, list(subroot ORDER BY tree) AS nodes FROM subs
+   UNION ALL SELECT lvl + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM high WHERE len(nodes) > 1),
+ depth AS (SELECT tree, max(lvl) AS deep FROM low GROUP BY tree),
+ all_levels AS (SELECT tree, lvl, nodes FROM low WHERE len(nodes) > 1 UNION ALL SELECT s.tree, deep + lvl, nodes FROM high CROSS JOIN subs s JOIN depth USING (tree) WHERE len(nodes) > 1),
+ paths AS (SELECT rid, doc_id, leaf, altered, tree, 0 AS lvl, place, altered AS digest, '' AS proof FROM spot
+   UNION ALL SELECT rid, doc_id, leaf, altered, p.tree, p.lvl + 1, CASE WHEN p.lvl < deep THEN place // 3 ELSE here // 3 END, sha256(array_to_string(list_concat(nodes[here // 3 * 3 + 1:here], [digest], nodes[here + 2:here // 3 * 3 + 3]), '')),
+     proof || array_to_string(list_concat(nodes[here // 3 * 3 + 1:here], nodes[here + 2:here // 3 * 3 + 3]), '')
+     FROM (SELECT q.*, deep, CASE WHEN q.lvl = deep THEN q.tree ELSE q.place END AS here FROM paths q JOIN depth USING (tree)) p JOIN all_levels a ON a.tree = p.tree AND a.lvl = p.lvl),
+ ends AS (SELECT * FROM paths QUALIFY lvl = max(lvl) OVER (PARTITION BY rid))
+ SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS verified FROM ends JOIN subs USING (tree)"""
+
+ORACLES = {"op11_mixing": MIXING, "op12_hard_negatives": NEGATIVES, "op13_merkle": MERKLE, "op5_quality_rules": QUALITY, "op9_license_scan": LICENSES}
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 _SEEDS = ", ".join(f"'{s}'" for s in SEEDS)

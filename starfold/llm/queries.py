@@ -11,6 +11,9 @@ from .byte_cnn import quality
 from .class_lm import score_texts
 from .decontam import contaminated
 from .license_scan import license_scan
+from .merkle import manifest
+from .mixing import mix, taken
+from .negatives import hard_negatives
 from .oracles import ORACLES  # noqa: F401
 from .pii import BASE, find_pii, span_text
 from .quality_rules import quality_rules
@@ -82,6 +85,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
@@ -93,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle": op13_merkle,
 }

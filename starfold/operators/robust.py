@@ -31,7 +31,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int |
 
     Groups of at most ``limit`` rows (``WHOLE``) use the built-in exact percentile. A larger one is not
     gathered: its value range is cut into bins, counted with map-side combining, and narrowed to the bins that
-    hold the two ranks around the quantile, until those hold few rows or a single value.
+    hold the two ranks around the quantile, until each holds a single value. The least and the greatest value of a range are
+    in different bins, so every round narrows; signs take one round, powers of two two more, and the other digits six.
     """
     limit = limit or WHOLE
     df = df.where(finite(C(value)))
@@ -41,21 +42,32 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int |
         return df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(q)).alias("q"))
     small = df.join(large.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(q)).alias("q"))
     rank = F.lit(q) * (C("_n") - 1)
-    state = materialize(large.select(*keys, "_n", (rank - F.floor(rank)).alias("_part"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below")).distinct(), "quantiles")
-    for _ in range(12):
-        if not state.where("_hi > _lo").head(1):
-            break
+    state = materialize(large.select(*keys, "_n", (rank - F.floor(rank)).alias("_part"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_rank"), C("_lo").cast("double").alias("_lo"), C("_hi").cast("double").alias("_hi"), F.lit(0).cast("long").alias("_below")).distinct(), "quantiles")
+    while state.where("_hi > _lo").head(1):
         open_ = state.where("_hi > _lo")
         inside = df.join(open_, keys).where(C(value).between(C("_lo"), C("_hi")))
-        slot = F.least(F.floor((C(value) - C("_lo")) / (C("_hi") - C("_lo")) * bins), F.lit(bins - 1))
-        held = inside.groupBy(*keys, "_rank", slot.alias("_slot")).agg(F.count("*").alias("_c"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+        held = inside.groupBy(*keys, "_rank", _slot(C(value).cast("double"), C("_lo"), C("_hi"), bins).alias("_slot")).agg(F.count("*").alias("_c"), F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"))
         run = F.sum("_c").over(Window.partitionBy(*keys, "_rank").orderBy("_slot"))
         placed = held.join(open_.select(*keys, "_rank", "_n", "_part", "_below"), [*keys, "_rank"]).withColumn("_to", C("_below") + run)
         hit = placed.where((C("_rank") < C("_to")) & (C("_rank") >= C("_to") - C("_c")))
         narrowed = hit.select(*keys, "_n", "_part", "_rank", C("_min").alias("_lo"), C("_max").alias("_hi"), (C("_to") - C("_c")).alias("_below"))
         state = materialize(narrowed.unionByName(state.where("_hi <= _lo")), "quantiles")
     ends = state.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_part").alias("_part"), F.min("_lo").alias("_a"), F.max("_lo").alias("_b"))
-    return materialize(small.unionByName(ends.select(*keys, "n", (C("_a") + C("_part") * (C("_b") - C("_a"))).alias("q"))), "quantiles")
+    between = F.when(C("_a") == C("_b"), C("_a")).otherwise((1 - C("_part")) * C("_a") + C("_part") * C("_b"))  # as the built-in percentile has it
+    return materialize(small.unionByName(ends.select(*keys, "n", between.alias("q"))), "quantiles")
+
+
+def _slot(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of a value in [lo, hi], never falling with the value: by sign where the range holds zero, by logarithm where its ends differ by more than a factor of 4, else of equal width."""
+    steps = lambda x: F.greatest(F.lit(0), F.least(F.floor(x * bins), F.lit(bins - 1)))
+    ratio_ = lambda a, b: F.log2(a) - F.log2(b)
+    return (
+        F.when((lo <= 0) & (hi >= 0), F.signum(v) + 1)
+        .when((lo > 0) & (ratio_(hi, lo) > 2), steps(ratio_(v, lo) / ratio_(hi, lo)))
+        .when((hi < 0) & (ratio_(-lo, -hi) > 2), bins - 1 - steps(ratio_(-v, -hi) / ratio_(-lo, -hi)))
+        .otherwise(steps((v - lo) / (hi - lo)))
+        .cast("long")
+    )
 
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str = "m") -> DataFrame:

@@ -68,3 +68,17 @@ def test_worst_first_keeps_to_its_share(spark):
         for share in (0.0, 0.1, 0.35, 1.0):
             worst = sorted((k for k, v in enumerate(scores) if v > 4), key=lambda k: (-scores[k], k))[: int(np.ceil(share * 20))]
             assert {r["id"] for r in joint.worst_first(df, "score", share, 4.0).collect()} == set(range(20)) - set(worst)
+
+
+@pytest.mark.parametrize("kind", ["powers", "signs", "ties", "huge"])
+def test_quantiles_of_large_groups_for_any_values(spark, kind):
+    values = {
+        "powers": [2.0 ** (-k / 2) for k in range(2001)],
+        "signs": [s * 2.0**k for k in range(-300, 300, 7) for s in (-1, 1)] + [0.0, -0.0, 5e-324],
+        "ties": [1.0] * 300 + [1.0 + 2**-52] * 300 + [-7.0],
+        "huge": [-1.7e308, 1.7e308, 1e308, -1e308, 0.5, 0.25, 3.0],
+    }[kind]
+    df = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double")
+    for q in (0.1, 0.5):
+        whole, narrowed = (robust.quantiles(df, ["k"], "v", q, limit=limit, bins=16).first()["q"] for limit in (10**6, 3))
+        assert whole == narrowed

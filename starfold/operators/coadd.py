@@ -89,9 +89,15 @@ def placed_nodes(pixels: DataFrame, images: DataFrame, degree: int = 1, pixfrac:
     maps = images.select("*", *[e.alias(n) for n, e in inverse.items()], wide_y.alias("_wy"), wide_x.alias("_wx"))
     maps = maps.withColumns({"_wr": F.abs("_ry") * C("_wy") + F.abs("_rx") * C("_wx"), "_wc": F.abs("_cy") * C("_wy") + F.abs("_cx") * C("_wx")})
     centre = {"_r": C("_rr") + C("_ry") * C("y") + C("_rx") * C("x"), "_c": C("_cc") + C("_cy") * C("y") + C("_cx") * C("x")}
-    span = lambda m, w: F.sequence(F.ceil(C(m) - C(w)).cast("long"), F.greatest(F.floor(C(m) + C(w)), F.ceil(C(m) - C(w))).cast("long"))
+
+
+    def span(at: str, wide: str, middle: str) -> Column:
+        first = F.ceil(F.greatest(C(at) - C(wide), C(middle) - C("extent"))).cast("long")
+        last = F.floor(F.least(C(at) + C(wide), C(middle) + C("extent"))).cast("long")
+        return F.when(last >= first, F.sequence(first, last))
+
     rows = pixels.join(maps, "image").withColumns(centre)
-    rows = rows.select("*", F.explode(span("_r", "_wr")).alias("r")).select("*", F.explode(span("_c", "_wc")).alias("c"))
+    rows = rows.select("*", F.explode(span("_r", "_wr", "r0")).alias("r")).select("*", F.explode(span("_c", "_wc", "c0")).alias("c"))
     u, v = (C("r") - C("r0")) / C("extent"), (C("c") - C("c0")) / C("extent")
     (ny, nyu, nyv), (nx, nxu, nxv) = poly_with_slopes(C("my"), u, v, degree), poly_with_slopes(C("mx"), u, v, degree)
     rows = step(rows.where((F.abs(u) <= 1) & (F.abs(v) <= 1)), _y=ny - C("y"), _x=nx - C("x"), _ya=nyu / C("extent"), _yb=nyv / C("extent"), _xa=nxu / C("extent"), _xb=nxv / C("extent"))
@@ -109,7 +115,7 @@ def usable(pixels: DataFrame, weight: str) -> DataFrame:
     background, model = (C(n).cast("double") if n in have else F.lit(0.0) for n in ("background", "model"))
     data, iv = C("data").cast("double"), C("weight").cast("double")
     signal = model if "model" in have else F.greatest(data - background, F.lit(0.0))
-    w = {"rms": lambda: 1 / (C("rms") * C("rms")), "input": lambda: iv}
+    w = {"rms": lambda: F.try_divide(F.lit(1.0), C("rms") * C("rms")), "input": lambda: iv}
     if weight not in w:
         raise ValueError(f"weight must be one of {sorted(w)}, got {weight!r}")
     rows = pixels.select("image", "y", "x", w[weight]().alias("w"), iv.alias("iv"), data.alias("data"), background.alias("background"), model.alias("model"), (data - background - model).alias("residual"), signal.alias("signal"))

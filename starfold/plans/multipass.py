@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joint as J
 from ..operators import robust as R
+from ..operators import sparse_fit as S
 from ..operators import spatial as P
 from ..operators import stencil as T
 from ..operators.measure import K, render
@@ -62,39 +63,11 @@ def profile(dy: np.ndarray, dx: np.ndarray, fwhm: float) -> np.ndarray:
 
 
 def fit_together(y: np.ndarray, x: np.ndarray, flux: np.ndarray, pixels: pd.DataFrame, o: Options) -> tuple[np.ndarray, ...]:
-    """Positions, fluxes and flux errors of all sources of a tile by damped joint least squares."""
+    """Positions, fluxes and flux errors of all sources of a tile at once, without a matrix of all parameters."""
     py, px, v = (pixels[c].to_numpy(float) for c in ("py", "px", "v"))
-    n, damp = len(y), 1e-3
-    step_cap = 0.5
-
-    def design(y, x, flux):
-        dy, dx = py[:, None] - y[None, :], px[:, None] - x[None, :]
-        g = profile(dy, dx, o.fwhm) * ((abs(dy) <= o.radius + 0.5) & (abs(dx) <= o.radius + 0.5))
-        k = 2 * K / o.fwhm**2
-        return g, np.concatenate([g * dy * k * flux, g * dx * k * flux, g], axis=1)
-
-    g, j = design(y, x, flux)
-    cost = ((v - g @ flux) ** 2).sum()
-    for _ in range(o.steps):
-        a, b = j.T @ j, j.T @ (v - g @ flux)
-        scale = np.sqrt(np.maximum(np.diag(a), 1e-12))
-        for _ in range(8):
-            s = np.linalg.lstsq(a / scale / scale[:, None] + damp * np.eye(3 * n), b / scale, rcond=None)[0] / scale
-            ny, nx, nf = y + np.clip(s[:n], -step_cap, step_cap), x + np.clip(s[n : 2 * n], -step_cap, step_cap), flux + s[2 * n :]
-            g2, j2 = design(ny, nx, nf)
-            cost2 = ((v - g2 @ nf) ** 2).sum()
-            if cost2 < cost:
-                break
-            damp *= 10
-        else:
-            break
-        small = cost - cost2 < 1e-8 * cost
-        y, x, flux, g, j, cost, damp = ny, nx, nf, g2, j2, cost2, max(damp / 10, 1e-9)
-        if small:
-            break
-    a = j.T @ j
-    err = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a)), 0))[2 * n :] * o.error
-    return y, x, flux, err
+    grid = S.Grid(py, px, v, 1.0, o.radius)
+    y, x, flux, err = S.fit_all(grid, S.gaussian_profile(o.fwhm), y, x, flux, o.steps)
+    return y, x, flux, err * o.error
 
 
 def fit_in_turn(y: np.ndarray, x: np.ndarray, flux: np.ndarray, pixels: pd.DataFrame, o: Options) -> tuple[np.ndarray, ...]:

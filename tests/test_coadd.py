@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starfold.operators import coadd as K
 
-EXTENT = 1000.0
+EXTENT = 16.0
 PIXELS = "image long, y long, x long, data double, background double, model double, rms double, weight double"
 IMAGES = "image long, band long, flux_scale double, my array<array<double>>, mx array<array<double>>, r0 double, c0 double, extent double"
 
@@ -36,7 +36,7 @@ def turned(spark, angles, scale=0.8, bend=0.0):
     rows = []
     for i, t in enumerate(angles):
         co, si = math.cos(t) * scale * EXTENT, math.sin(t) * scale * EXTENT
-        my, mx = [[0.3 * i, si, bend * EXTENT], [co, bend * EXTENT]], [[-0.2 * i, co], [-si, 0.0], [bend * EXTENT]]
+        my, mx = [[0.3 * i, si, bend], [co, bend]], [[-0.2 * i, co], [-si, 0.0], [bend]]
         rows.append((i, 0, 1.0 + 0.5 * i, my, mx, 5.0, 5.0, EXTENT))
     return rows, spark.createDataFrame(rows, IMAGES)
 
@@ -48,7 +48,7 @@ def field(spark, n, images, noise=0.1, seed=3, spoil=None):
     return rows, spark.createDataFrame(rows, PIXELS)
 
 
-@pytest.mark.parametrize("bend", [0.0, 2.0])
+@pytest.mark.parametrize("bend", [0.0, 0.5])
 def test_rotated_drops_equal_clipped_polygons(spark, bend):
     rows, images = turned(spark, [0.0, 0.4, 1.2, math.pi / 2], bend=bend)
     given, pixels = field(spark, 3, 4)
@@ -58,6 +58,8 @@ def test_rotated_drops_equal_clipped_polygons(spark, bend):
         at = lambda k, u, v: sum(k[p][q] * u**p * v**q for p in range(len(k)) for q in range(len(k[p])))
         for r in range(-6, 17):
             for c in range(-6, 17):
+                if max(abs(r - r0), abs(c - c0)) > extent:
+                    continue
                 u, v, h = (r - r0) / extent, (c - c0) / extent, 1e-6
                 y, x = at(my, u, v), at(mx, u, v)
                 a = [(at(k, u + h, v) - at(k, u - h, v)) / (2 * h) / extent for k in (my, mx)]
@@ -110,13 +112,13 @@ def test_weighted_median_is_the_least_value_at_half_the_weight(spark):
 
 def test_a_spoiled_pixel_is_rejected_with_its_neighbours(spark):
     _, images = turned(spark, [0.0] * 6, scale=1.0)
-    images = images.withColumns({"my": F.expr("array(array(0D, 0D), array(1000D))"), "mx": F.expr("array(array(0D, 1000D), array(0D))"), "flux_scale": F.lit(1.0)})
+    images = images.withColumns({"my": F.expr("array(array(0D, 0D), array(16D))"), "mx": F.expr("array(array(0D, 16D), array(0D))"), "flux_scale": F.lit(1.0)})
     _, pixels = field(spark, 4, 6, spoil={(2, 0, 0)})
     plain = K.coadd(pixels, images, ("data", "nimg")).toPandas().set_index(["r", "c"])
     alone = K.coadd(pixels, images, ("data", "nimg"), clip=8.0, clip_grow=0).toPandas().set_index(["r", "c"])
     wide = K.coadd(pixels, images, ("data", "nimg"), clip=8.0).toPandas().set_index(["r", "c"])
     few = K.coadd(pixels, images, ("data", "nimg"), clip=8.0, clip_least=7).toPandas().set_index(["r", "c"])
-    assert (plain["nimg"] == 6).all() and few.sort_index().equals(plain.sort_index())
+    assert (plain["nimg"] == 6).all() and (few["nimg"] == 6).all() and np.allclose(few["data"].sort_index(), plain["data"].sort_index())
     assert (alone["nimg"] == 5).sum() == 1 and alone.loc[(5, 5), "nimg"] == 5 and abs(alone.loc[(5, 5), "data"] - 1) < 0.3
     assert (wide["nimg"] == 5).sum() == 9 and set(wide.index[wide["nimg"] == 5]) == {(r, c) for r in (4, 5, 6) for c in (4, 5, 6)}
 
@@ -129,7 +131,7 @@ def test_wide_sums_have_the_aperture_noise(spark):
     drops = K.placed_nodes(base.selectExpr("*", "1.0D AS w"), images).select("y", "x", "r", "c", "a", "f").toPandas()
     totals = drops.groupby(["r", "c"])["a"].sum()
     inner = [k for k in totals.index if abs(k[0] - 5) <= 8 and abs(k[1] - 5) <= 8]
-    for _ in range(300):
+    for _ in range(200):
         noise = {(y, x): rng.normal() for y in range(-n, n + 1) for x in range(-n, n + 1)}
         v = (drops["a"] * drops["f"] * [noise[k] for k in zip(drops["y"], drops["x"])]).groupby([drops["r"], drops["c"]]).sum() / totals
         sums.append(v.loc[inner].sum())

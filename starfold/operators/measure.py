@@ -7,6 +7,7 @@ rounded position and joined with the image on (y, x). Every statistic of a sourc
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -207,18 +208,23 @@ def shapes(m: DataFrame) -> DataFrame:
 
 
 def quadratic_centroid(nb: str, y: Column, x: Column, background: float = 0.0) -> dict[str, Column]:
-    """Peak of the quadratic through a 3 x 3 neighbourhood (array of rows), unweighted least squares."""
-    v = lambda dy, dx: C(nb)[dy + 1][dx + 1] - background
-    all_ = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    total = lambda f: sum((f(dy, dx) * v(dy, dx) for dy, dx in all_[1:] if f(dy, dx)), f(-1, -1) * v(-1, -1))
-    s, sxx, syy = total(lambda dy, dx: 1), total(lambda dy, dx: dx * dx), total(lambda dy, dx: dy * dy)
-    b, c, e = total(lambda dy, dx: dx) / 6, total(lambda dy, dx: dy) / 6, total(lambda dy, dx: dx * dy) / 4
-    d, f, a = sxx / 2 - s / 3, syy / 2 - s / 3, 5 * s / 9 - sxx / 3 - syy / 3
-    det = 4 * d * f - e * e
-    flat = F.abs(det) < 1e-10
-    d2, f2 = F.when(flat, 2 * d + 1e-8).otherwise(2 * d), F.when(flat, 2 * f + 1e-8).otherwise(2 * f)
-    det = d2 * f2 - e * e
-    xc, yc = ratio(c * e - b * f2, det), ratio(b * e - c * d2, det)
-    peak = a + b * xc + c * yc + d * xc * xc + e * xc * yc + f * yc * yc
-    com_x, com_y = ratio(total(lambda dy, dx: dx), s), ratio(total(lambda dy, dx: dy), s)
-    return {"yc": y + yc, "xc": x + xc, "peak": peak + background, "curvature": ratio(-(d2 + f2), F.abs(peak)), "com_y": F.when(s > 0, y + com_y).otherwise(nan()), "com_x": F.when(s > 0, x + com_x).otherwise(nan())}
+    """Peak of the quadratic through a 3 x 3 neighbourhood (array of rows), unweighted least squares; NaN where it is flat.
+
+    With basis 1, y, x, y^2/2, x^2/2, xy the fitted coefficients are the value, the gradient g and the Hessian at the centre, each a
+    fixed stencil of the nine values. The peak is one Newton step s = -H^-1 g away, and its value is half of g s higher.
+    """
+    cells = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def stencil(weight: Callable[[int, int], float]) -> Column:
+        terms = [float(weight(i, j)) * (C(nb)[i + 1][j + 1] - background) for i, j in cells if weight(i, j)]
+        return sum(terms[1:], terms[0])
+
+    value, whole = stencil(lambda i, j: (5 - 3 * i * i - 3 * j * j) / 9), stencil(lambda i, j: 1)
+    g_y, g_x = stencil(lambda i, j: i / 6), stencil(lambda i, j: j / 6)
+    h_yy, h_xx, h_xy = stencil(lambda i, j: i * i - 2 / 3), stencil(lambda i, j: j * j - 2 / 3), stencil(lambda i, j: i * j / 4)
+    spread = h_yy * h_yy + h_xx * h_xx + 2 * h_xy * h_xy
+    det = F.when(F.abs(h_yy * h_xx - h_xy * h_xy) > 1e-12 * spread, h_yy * h_xx - h_xy * h_xy).otherwise(F.lit(0.0))
+    s_y, s_x = ratio(h_xy * g_x - h_xx * g_y, det), ratio(h_xy * g_y - h_yy * g_x, det)
+    peak = value + (g_y * s_y + g_x * s_x) / 2
+    mass = lambda moment: F.when(whole > 0, 6 * moment / whole).otherwise(nan())
+    return {"yc": y + s_y, "xc": x + s_x, "peak": peak + background, "curvature": ratio(-(h_yy + h_xx), F.abs(peak)), "com_y": y + mass(g_y), "com_x": x + mass(g_x)}

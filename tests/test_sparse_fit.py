@@ -62,3 +62,21 @@ def test_fit_recovers_the_scene_and_leaves_unseen_sources_undetermined():
     pull = (got[2][:-1] - f)[seen] / (got[3][:-1][seen] * 0.5)
     assert 0.7 < pull.std() < 1.3 and np.median(abs(got[0][:-1] - y)[seen]) < 0.02
     assert np.isnan(got[3][-1])
+
+
+def test_errors_of_quadratic_peaks_follow_the_noise():
+    from starfold.operators.shapes import quadratic_peaks
+
+    rng = np.random.default_rng(2)
+    dy, dx = (a.ravel().astype(float) for a in np.mgrid[-1:2, -1:2])
+    truth = 10 + 0.4 * dy - 0.3 * dx - 1.2 * dy**2 - 0.9 * dx**2 + 0.2 * dy * dx
+    w = rng.uniform(200, 900, 9)
+    many = quadratic_peaks(truth + rng.normal(size=(20_000, 9)) / np.sqrt(w), np.tile(w, (20_000, 1)))
+    one = {k: v[0] for k, v in quadratic_peaks(truth[None], w[None]).items()}
+    want = np.linalg.solve([[2.4, -0.2], [-0.2, 1.8]], [0.4, -0.3])
+    assert np.allclose([one["y"], one["x"]], want)
+    for n in ("y", "x", "peak", "curvature", "com_y", "com_x"):
+        assert 0.96 < many[n].std() / one[f"{n}_err"] < 1.04
+    few = quadratic_peaks(truth[None], np.where(np.arange(9) < 5, w, 0.0)[None])
+    assert np.isnan(few["y"][0]) and np.isfinite(few["com_y"][0])
+    assert np.isnan(quadratic_peaks(np.ones((1, 9)), np.ones((1, 9)))["y"][0])  # flat

@@ -99,40 +99,102 @@ class Jacobian:
 
     def covariances(self, neighbours: int = 8) -> np.ndarray:
         """3 x 3 covariance of each source for unit weights, marginal over its most coupled neighbours; NaN where it is not determined."""
-        n = len(self.corner)
-        own = self.blocks @ self.blocks.transpose(0, 2, 1)
-        i, j, cross = self.pairs()
-        key = i.astype(np.int64) * n + j
-        by_key = np.argsort(key)
-        one, two = np.concatenate([i, j]), np.concatenate([j, i])
-        strength = np.tile((cross * cross).sum((1, 2)), 2)
-        order = np.lexsort((two, -strength, one))
-        place = np.arange(len(order)) - np.searchsorted(one[order], one[order])
-        kept = order[place < neighbours]
-        group = np.full((n, neighbours + 1), -1)
-        group[:, 0] = np.arange(n)
-        group[one[kept], 1 + place[place < neighbours]] = two[kept]
-        out = np.full((n, 3, 3), math.nan)
-        for at in range(0, n, 512):
-            g = group[at : at + 512]
-            m = g.shape[1]
-            full = np.zeros((len(g), m, 3, m, 3))
-            for p in range(m):
-                full[:, p, :, p, :] = np.where((g[:, p] >= 0)[:, None, None], own[g[:, p]] + 1e-12 * np.eye(3), np.eye(3))
-                for q in range(p + 1, m):
-                    low, high = np.minimum(g[:, p], g[:, q]), np.maximum(g[:, p], g[:, q])
-                    want = low.astype(np.int64) * n + high
-                    spot = by_key[np.minimum(np.searchsorted(key[by_key], want), len(key) - 1)] if len(key) else np.zeros(len(g), int)
-                    hit = (low >= 0) & (key[spot] == want) if len(key) else np.zeros(len(g), bool)
-                    block = np.where(hit[:, None, None], cross[spot] if len(key) else 0.0, 0.0)
-                    block = np.where((g[:, p] > g[:, q])[:, None, None], block.transpose(0, 2, 1), block)
-                    full[:, p, :, q, :], full[:, q, :, p, :] = block, block.transpose(0, 2, 1)
-            full = full.reshape(len(g), 3 * m, 3 * m)
-            rest = full[:, 3:, 3:] + 1e-12 * np.eye(3 * m - 3)
-            schur = full[:, :3, :3] - full[:, :3, 3:] @ np.linalg.solve(rest, full[:, 3:, :3])
-            sound = (np.einsum("nkk->nk", own[g[:, 0]]) > 0.5).all(1) & (np.linalg.det(schur) > 1e-12)  # scaled columns have norm 1, or 0 without pixels
-            out[at : at + 512][sound] = np.linalg.inv(schur[sound])
-        return out / (self.scale[:, :, None] * self.scale[:, None, :])
+        return marginal(Blocks(self.blocks @ self.blocks.transpose(0, 2, 1), *self.pairs()), neighbours) / (self.scale[:, :, None] * self.scale[:, None, :])
+
+
+class Blocks:
+    """Normal equations by sources: ``own`` (n, k, k), and for pairs ``i < j`` whose stamps overlap ``cross`` (k, k)."""
+
+    def __init__(self, own: np.ndarray, i: np.ndarray, j: np.ndarray, cross: np.ndarray):
+        self.own, self.i, self.j, self.cross = own, i, j, cross
+
+    def merged(self, other: Blocks) -> Blocks:
+        """The sum of both; a pair that is in both becomes one."""
+        n, k = self.own.shape[:2]
+        pairs, at = np.unique(np.concatenate([self.i, other.i]).astype(np.int64) * n + np.concatenate([self.j, other.j]), return_inverse=True)
+        cross = np.zeros((len(pairs), k, k))
+        np.add.at(cross, at, np.concatenate([self.cross, other.cross]))
+        return Blocks(self.own + other.own, pairs // n, pairs % n, cross)
+
+    def scaled(self) -> tuple[Blocks, np.ndarray]:
+        """With unit diagonal, and the roots of the old one; parameters that nothing depends on keep 0."""
+        root = np.sqrt(np.einsum("nkk->nk", self.own))
+        s = np.where(root > 0, root, 1.0)
+        return Blocks(self.own / (s[:, :, None] * s[:, None, :]), self.i, self.j, self.cross / (s[self.i][:, :, None] * s[self.j][:, None, :])), s
+
+    def times(self, p: np.ndarray) -> np.ndarray:
+        """The matrix times a vector (n, k)."""
+        out = (self.own @ p[:, :, None])[:, :, 0]
+        if len(self.i):
+            right, left = (self.cross @ p[self.j][:, :, None])[:, :, 0], (p[self.i][:, None, :] @ self.cross)[:, 0]
+            for c in range(p.shape[1]):
+                out[:, c] += np.bincount(self.i, right[:, c], len(p)) + np.bincount(self.j, left[:, c], len(p))
+        return out
+
+
+def conjugate_gradients(h: Blocks, b: np.ndarray, damp: float = 0.0, tol: float = 1e-8) -> np.ndarray:
+    """``p`` of (h + damp) p = b, preconditioned by the sources' own blocks; ends when the residual is ``tol`` of its first size, or after as many steps as unknowns and rounding may ask for."""
+    n, k = b.shape
+    diagonal = damp + 1e-12
+    first = np.linalg.inv(h.own + (diagonal + (np.einsum("nkk->nk", h.own) == 0)[:, :, None]) * np.eye(k))
+    apply = lambda p: h.times(p) + damp * p
+    p, r = np.zeros_like(b), b.copy()
+    z = (first @ r[:, :, None])[:, :, 0]
+    d, rz, end = z.copy(), (r * z).sum(), tol * np.linalg.norm(b)
+    for _ in range(4 * n * k + 100):
+        if np.linalg.norm(r) <= end:
+            break
+        hd = apply(d)
+        bend = (d * hd).sum()
+        if bend <= 0:  # no descent left within rounding
+            break
+        a = rz / bend
+        p, r = p + a * d, r - a * hd
+        z = (first @ r[:, :, None])[:, :, 0]
+        rz, old = (r * z).sum(), rz
+        d = z + rz / old * d
+    return p
+
+
+def marginal(h: Blocks, neighbours: int = 8) -> np.ndarray:
+    """Covariance (n, k, k) of each source, marginal over its most coupled neighbours: the inverse of the Schur complement in their joint block. NaN where it is not determined."""
+    n, k = h.own.shape[:2]
+    key = h.i.astype(np.int64) * n + h.j
+    by_key = np.argsort(key)
+    one, two = np.concatenate([h.i, h.j]), np.concatenate([h.j, h.i])
+    strength = np.tile((h.cross * h.cross).sum((1, 2)), 2)
+    order = np.lexsort((two, -strength, one))
+    place = np.arange(len(order)) - np.searchsorted(one[order], one[order])
+    kept = order[place < neighbours]
+    group = np.full((n, neighbours + 1), -1)
+    group[:, 0] = np.arange(n)
+    group[one[kept], 1 + place[place < neighbours]] = two[kept]
+    out = np.full((n, k, k), math.nan)
+    idle = np.einsum("nkk->nk", h.own) == 0  # parameters that no pixel depends on
+    fill = np.eye(k) * (1e-12 + idle[:, :, None])
+    for at in range(0, n, 512):
+        g = group[at : at + 512]
+        m = g.shape[1]
+        full = np.zeros((len(g), m, k, m, k))
+        for p in range(m):
+            full[:, p, :, p, :] = np.where((g[:, p] >= 0)[:, None, None], h.own[g[:, p]] + fill[g[:, p]], np.eye(k))
+            for q in range(p + 1, m if len(key) else 0):
+                low, high = np.minimum(g[:, p], g[:, q]), np.maximum(g[:, p], g[:, q])
+                want = low.astype(np.int64) * n + high
+                spot = by_key[np.minimum(np.searchsorted(key[by_key], want), len(key) - 1)]
+                hit = (low >= 0) & (key[spot] == want)
+                block = np.where(hit[:, None, None], h.cross[spot], 0.0)
+                block = np.where((g[:, p] > g[:, q])[:, None, None], block.transpose(0, 2, 1), block)
+                full[:, p, :, q, :], full[:, q, :, p, :] = block, block.transpose(0, 2, 1)
+        full = full.reshape(len(g), k * m, k * m)
+        rest = full[:, k:, k:] + 1e-12 * np.eye(k * m - k)
+        schur = full[:, :k, :k] - full[:, :k, k:] @ np.linalg.solve(rest, full[:, k:, :k])
+        sound = np.linalg.eigvalsh(schur)[:, 0] > 1e-9
+        inner = out[at : at + 512]
+        inner[sound] = np.linalg.inv(schur[sound])
+        gone = idle[at : at + 512]
+        inner[gone[:, :, None] | gone[:, None, :]] = math.nan
+    return out
 
 
 def lsqr(times: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], np.ndarray], b: np.ndarray, n: int, damp: float = 0.0, tol: float = 1e-10) -> np.ndarray:

@@ -80,3 +80,35 @@ def test_errors_of_quadratic_peaks_follow_the_noise():
     few = quadratic_peaks(truth[None], np.where(np.arange(9) < 5, w, 0.0)[None])
     assert np.isnan(few["y"][0]) and np.isfinite(few["com_y"][0])
     assert np.isnan(quadratic_peaks(np.ones((1, 9)), np.ones((1, 9)))["y"][0])  # flat
+
+
+def test_blocks_of_two_bands_equal_dense_normal_equations():
+    from starfold.plans.joint_fit import linearised
+
+    rng = np.random.default_rng(9)
+    n, parts = 25, []
+    y, x, flux = rng.uniform(5, 40, n), rng.uniform(5, 40, n), rng.uniform(200, 900, (n, 2))
+    py, px = (a.ravel().astype(float) for a in np.mgrid[1:46, 1:46])
+    for band, oy, ox in ((0, 0.0, 0.0), (1, 0.4, -0.3), (1, -0.7, 0.2)):
+        parts.append((band, oy, ox, S.Grid(py, px, rng.normal(0, 5, len(py)), 2.0, 8)))
+    h, b, cost = linearised(y, x, flux, parts, S.gaussian_profile(3.0))
+    dense, slope = np.zeros((4 * n, 4 * n)), np.zeros(4 * n)
+    for band, oy, ox, grid in parts:
+        j = S.Jacobian(grid, S.gaussian_profile(3.0), y + oy, x + ox, flux[:, band])
+        a = np.zeros((grid.size, n, 4))
+        for k in range(n):
+            for c, spot in enumerate((0, 1, 2 + band)):
+                e = np.zeros((n, 3))
+                e[k, c] = j.scale[k, c]
+                a[:, k, spot] = j.times(e.ravel())
+        a = a.reshape(grid.size, -1)
+        dense, slope = dense + a.T @ a, slope + a.T @ j.residual()
+    assert np.allclose(b.ravel(), slope) and cost > 0
+    p = rng.normal(size=(n, 4))
+    assert np.allclose(h.times(p).ravel(), dense @ p.ravel())
+    unit, scale = h.scaled()
+    want = np.linalg.solve(dense, slope).reshape(n, 4)
+    assert np.allclose(S.conjugate_gradients(unit, b / scale, 0.0, 1e-13) / scale, want, rtol=1e-6, atol=1e-8)
+    full = np.sqrt(np.diag(np.linalg.inv(dense))).reshape(n, 4)
+    near = np.sqrt(np.einsum("nkk->nk", S.marginal(unit))) / scale
+    assert (abs(near / full - 1) < 0.01).mean() > 0.95

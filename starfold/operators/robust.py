@@ -31,8 +31,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int |
 
     Groups of at most ``limit`` rows (``WHOLE``) use the built-in exact percentile. A larger one is not
     gathered: its value range is cut into bins, counted with map-side combining, and narrowed to the bins that
-    hold the two ranks around the quantile, until each holds a single value. The least and the greatest value of a range are
-    in different bins, so every round narrows; signs take one round, powers of two two more, and the other digits six.
+    hold the two ranks around the quantile, until each holds a single value. Bins are of equal width and by logarithm in turn: the first narrow
+    most data in few rounds, the second any data, as signs take one such round, powers of two two more, and the other digits six.
     """
     limit = limit or WHOLE
     df = df.where(finite(C(value)))
@@ -43,10 +43,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int |
     small = df.join(large.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.lit(q)).alias("q"))
     rank = F.lit(q) * (C("_n") - 1)
     state = materialize(large.select(*keys, "_n", (rank - F.floor(rank)).alias("_part"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_rank"), C("_lo").cast("double").alias("_lo"), C("_hi").cast("double").alias("_hi"), F.lit(0).cast("long").alias("_below")).distinct(), "quantiles")
+    turn = 0
     while state.where("_hi > _lo").head(1):
+        turn += 1
         open_ = state.where("_hi > _lo")
         inside = df.join(open_, keys).where(C(value).between(C("_lo"), C("_hi")))
-        held = inside.groupBy(*keys, "_rank", _slot(C(value).cast("double"), C("_lo"), C("_hi"), bins).alias("_slot")).agg(F.count("*").alias("_c"), F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"))
+        held = inside.groupBy(*keys, "_rank", _slot(C(value).cast("double"), C("_lo"), C("_hi"), bins, turn % 2 == 0).alias("_slot")).agg(F.count("*").alias("_c"), F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"))
         run = F.sum("_c").over(Window.partitionBy(*keys, "_rank").orderBy("_slot"))
         placed = held.join(open_.select(*keys, "_rank", "_n", "_part", "_below"), [*keys, "_rank"]).withColumn("_to", C("_below") + run)
         hit = placed.where((C("_rank") < C("_to")) & (C("_rank") >= C("_to") - C("_c")))
@@ -57,15 +59,19 @@ def quantiles(df: DataFrame, keys: list[str], value: str, q: float, limit: int |
     return materialize(small.unionByName(ends.select(*keys, "n", between.alias("q"))), "quantiles")
 
 
-def _slot(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """The bin of a value in [lo, hi], never falling with the value: by sign where the range holds zero, by logarithm where its ends differ by more than a factor of 4, else of equal width."""
+def _slot(v: Column, lo: Column, hi: Column, bins: int, by_logarithm: bool) -> Column:
+    """The bin of a value in [lo, hi], never falling with the value: of equal width, or by sign where the range holds zero and by logarithm where its ends differ by more than a factor of 4."""
     steps = lambda x: F.greatest(F.lit(0), F.least(F.floor(x * bins), F.lit(bins - 1)))
-    ratio_ = lambda a, b: F.log2(a) - F.log2(b)
+    apart = lambda a, b: F.log2(a) - F.log2(b)
+    even = steps((v - lo) / (hi - lo))
+    by_sign = F.signum(v) + 1
+    if not by_logarithm:
+        return F.when(hi - lo < math.inf, even).otherwise(by_sign).cast("long")
     return (
-        F.when((lo <= 0) & (hi >= 0), F.signum(v) + 1)
-        .when((lo > 0) & (ratio_(hi, lo) > 2), steps(ratio_(v, lo) / ratio_(hi, lo)))
-        .when((hi < 0) & (ratio_(-lo, -hi) > 2), bins - 1 - steps(ratio_(-v, -hi) / ratio_(-lo, -hi)))
-        .otherwise(steps((v - lo) / (hi - lo)))
+        F.when((lo <= 0) & (hi >= 0), by_sign)
+        .when((lo > 0) & (apart(hi, lo) > 2), steps(apart(v, lo) / apart(hi, lo)))
+        .when((hi < 0) & (apart(-lo, -hi) > 2), bins - 1 - steps(apart(-v, -hi) / apart(-lo, -hi)))
+        .otherwise(even)
         .cast("long")
     )
 
@@ -225,15 +231,35 @@ def mesh(pixels: DataFrame, box: tuple[int, int], exclude_percentile: float = 10
     least = exclude_percentile / 100 * h * w
     ship(pixels.sparkSession)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = clip_array(pdf["v"].to_numpy(), sigma, sigma)
+    def one(a: np.ndarray) -> tuple[int, float, float]:
+        a = clip_array(a, sigma, sigma)
         if len(a) < least or not len(a):
-            return pd.DataFrame([(*key, len(a), math.nan, math.nan)], columns=["mi", "mj", "n", "bkg", "rms"])
+            return len(a), math.nan, math.nan
         at = mode_of(a)
-        return pd.DataFrame([(*key, len(a), at, float(np.sqrt(((a - at) ** 2).mean())))], columns=["mi", "mj", "n", "bkg", "rms"])
+        return len(a), at, float(np.sqrt(((a - at) ** 2).mean()))
+
+    def boxes(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n, bkg, rms = zip(*[one(a) for a in np.split(part["v"].to_numpy(), starts[1:])])
+        return part.iloc[starts][["mi", "mj"]].assign(n=n, bkg=bkg, rms=rms)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            new = np.flatnonzero((batch[["mi", "mj"]] != batch[["mi", "mj"]].shift()).any(axis=1).to_numpy())
+            if held and len(batch) and (held[-1][["mi", "mj"]].iloc[-1] == batch[["mi", "mj"]].iloc[0]).all():
+                new = new[1:]  # the batch goes on with the box before
+            if len(new):
+                whole = pd.concat([*held, batch.iloc[: new[-1]]])
+                if len(whole):
+                    yield boxes(whole, np.flatnonzero((whole[["mi", "mj"]] != whole[["mi", "mj"]].shift()).any(axis=1).to_numpy()))
+                held = [batch.iloc[new[-1] :]]
+            elif len(batch):
+                held.append(batch)
+        if held:
+            yield boxes(pd.concat(held), np.array([0]))
 
     cell = [F.floor((C("y") - 1) / h).cast("long").alias("mi"), F.floor((C("x") - 1) / w).cast("long").alias("mj")]
-    return pixels.select(*cell, "v").groupBy("mi", "mj").applyInPandas(one, "mi long, mj long, n long, bkg double, rms double")
+    return pixels.select(*cell, "v").repartition("mi", "mj").sortWithinPartitions("mi", "mj").mapInPandas(stream, "mi long, mj long, n long, bkg double, rms double")
 
 
 def filled(grid: np.ndarray) -> np.ndarray:
@@ -250,21 +276,68 @@ def filled(grid: np.ndarray) -> np.ndarray:
     return grid
 
 
-def fill_mesh(mesh: DataFrame, values: tuple[str, ...] = ("bkg", "rms")) -> DataFrame:
-    """``mi, mj`` and ``values`` of every box between the first and the last, with NaN or absent ones filled.
+def void_regions(voids: DataFrame) -> DataFrame:
+    """``mi, mj, region`` of void boxes (``mi, mj, id``): the smallest id that is reached from box to neighbouring box.
 
-    The mesh of an image is small (a row for each box), and filling goes box by box, so it is one group.
+    Each round takes the least region around a box, then the region of the box with that id, so rounds grow with the logarithm of a region's width.
     """
-    ship(mesh.sparkSession)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    state = materialize(voids.select("mi", "mj", "id", C("id").alias("region")), "voids")
+    while True:
+        sent = state.select("mi", "mj", "region", F.explode(around).alias("a")).select((C("mi") + C("a.i")).alias("mi"), (C("mj") + C("a.j")).alias("mj"), "region")
+        near = state.join(sent.groupBy("mi", "mj").agg(F.min("region").alias("_near")), ["mi", "mj"])
+        root = state.select(C("id").alias("_near"), C("region").alias("_root"))
+        new = materialize(near.join(root, "_near").select("mi", "mj", "id", C("_root").alias("new"), "region"), "voids")
+        state = new.select("mi", "mj", "id", C("new").alias("region"))
+        if not new.where("new <> region").head(1):
+            return state.select("mi", "mj", "region")
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["mi", "mj"]].to_numpy()
-        low, shape = at.min(0), tuple(at.max(0) - at.min(0) + 1)
-        out = {"mi": np.indices(shape)[0].ravel() + low[0], "mj": np.indices(shape)[1].ravel() + low[1]}
-        for v in values:
-            grid = np.full(shape, np.nan)
-            grid[at[:, 0] - low[0], at[:, 1] - low[1]] = pdf[v]
-            out[v] = filled(grid).ravel()
-        return pd.DataFrame(out)
 
-    return mesh.select("mi", "mj", *values).groupBy().applyInPandas(whole, "mi long, mj long, " + ", ".join(f"{v} double" for v in values))
+def fill_mesh(mesh: DataFrame, values: tuple[str, ...] = ("bkg", "rms")) -> DataFrame:
+    """``mi, mj`` and ``values`` of every box between the first and the last, with NaN or absent ones filled as ``filled`` does; 0 if there is no value at all.
+
+    A void box is filled from boxes around it, so boxes of different connected void regions do not see each other: each
+    region, with the boxes that border it, is a group of its own.
+    """
+    spark = mesh.sparkSession
+    ship(spark)
+    mesh = materialize(mesh.select("mi", "mj", *values), "mesh")
+    low_i, high_i, low_j, high_j = mesh.agg(F.min("mi"), F.max("mi"), F.min("mj"), F.max("mj")).first()
+    if low_i is None:
+        return mesh
+    rows, cols = high_i - low_i + 1, high_j - low_j + 1
+    every = spark.range(rows * cols).select((F.expr(f"id div {cols}") + low_i).alias("mi"), (C("id") % cols + low_j).alias("mj"), "id")
+    grid = materialize(every.join(mesh, ["mi", "mj"], "left").select("mi", "mj", "id", *[F.coalesce(v, F.lit(math.nan)).alias(v) for v in values]), "mesh")
+    some = grid.agg(*[F.max(~F.isnan(v)).alias(v) for v in values]).first()
+    grid = grid.select("mi", "mj", "id", *[C(v) if some[v] else F.lit(0.0).alias(v) for v in values])
+    void = F.lit(False)
+    for v in values:
+        void = void | F.isnan(v)
+    if not grid.where(void).head(1):
+        return grid.drop("id")
+    regions = void_regions(grid.where(void))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    seen = regions.select("region", F.explode(around).alias("a"), "mi", "mj").select("region", (C("mi") + C("a.i")).alias("mi"), (C("mj") + C("a.j")).alias("mj")).distinct()
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = list(zip(pdf["mi"].tolist(), pdf["mj"].tolist()))
+        out, was = {"mi": pdf["mi"], "mj": pdf["mj"]}, np.zeros(len(pdf), bool)
+        for v in values:
+            known = dict(zip(at, pdf[v].tolist()))
+            was |= pdf[v].isna().to_numpy()
+            open_ = sorted(k for k in at if math.isnan(known[k]))
+            while open_:
+                left = []
+                for i, j in open_:
+                    near = [known[(min(max(i + p, low_i), high_i), min(max(j + q, low_j), high_j))] for p in (-1, 0, 1) for q in (-1, 0, 1)]
+                    near = [x for x in near if not math.isnan(x)]
+                    if near:
+                        known[(i, j)] = float(np.mean(near))
+                    else:
+                        left.append((i, j))
+                open_ = left
+            out[v] = [known[k] for k in at]
+        return pd.DataFrame(out)[was]
+
+    new = seen.join(grid, ["mi", "mj"]).groupBy("region").applyInPandas(fill, "mi long, mj long, " + ", ".join(f"{v} double" for v in values))
+    return grid.where(~void).select("mi", "mj", *values).unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import robust as R
+from ..operators.background import background2d
 from ..operators import stencil as T
 from ..registry import query
 from ..sources import bindings as B
@@ -167,3 +168,18 @@ def bicubic_interpolate(spark: SparkSession, sf: str) -> DataFrame:
             total = total + wy[a] * wx[b] * T.tap("nb", 2, a - 1, b - 1)
     inside = (C("y") > 1) & (C("x") > 1) & (C("y") < ny - 1) & (C("x") < nx - 1)
     return T.neighbourhood(px, 2, "v", "null", (), "nb").where(inside).select("y", "x", F.round(total, 6).alias("value"))
+
+
+MASKED = """, allpx AS (SELECT y, x, v, band, ((y - 1) // 16 * 3 + (x - 1) // 16 * 2) % 7 = 5 AND (y + x) % 20 <> 0 OR (y * x) % 13 = 0 AS masked, y + 2 * x > 200 AND y < 100 AS outside FROM rawpx), px AS (SELECT * FROM allpx WHERE NOT masked AND NOT outside)"""
+
+
+@query("background2d_masked", f"""{PX.replace("px AS", "rawpx AS", 1)}{MASKED}, {MESH.replace("mesh AS (SELECT", "kept AS (SELECT")}, md AS (SELECT (max(y) - 1) // 16 AS hi, (max(x) - 1) // 16 AS hj FROM allpx), ij AS (SELECT i AS mi, j AS mj FROM md, (SELECT unnest(range(0, (SELECT hi + 1 FROM md))) AS i), (SELECT unnest(range(0, (SELECT hj + 1 FROM md))) AS j)),
+  holed AS (SELECT mi, mj, CASE WHEN n >= 25.6 THEN bkg END AS bkg FROM ij LEFT JOIN kept USING (mi, mj)),
+  mesh AS (SELECT a.mi, a.mj, coalesce(max(a.bkg), avg(b.bkg)) AS bkg FROM holed a CROSS JOIN md CROSS JOIN {AROUND.replace(', (', ' CROSS JOIN (')} JOIN holed b ON b.mi = greatest(0, least(hi, a.mi + dy)) AND b.mj = greatest(0, least(hj, a.mj + dx)) GROUP BY a.mi, a.mj),
+  fm AS (SELECT a.mi, a.mj, median(b.bkg) AS m FROM mesh a CROSS JOIN md CROSS JOIN {AROUND.replace(', (', ' CROSS JOIN (')} JOIN mesh b ON b.mi = greatest(0, least(hi, a.mi + dy)) AND b.mj = greatest(0, least(hj, a.mj + dx)) GROUP BY a.mi, a.mj), {ZOOM.replace("FROM px, mdim", "FROM allpx, mdim")}
+  SELECT y, x, round(CASE WHEN outside THEN -1.0 ELSE z END, 5) AS background FROM z JOIN allpx USING (y, x)""")
+def background2d_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The background of an image with masked pixels, void boxes none beside another, and a corner outside its coverage."""
+    box = F.expr("(y - 1) div 16 * 3 + (x - 1) div 16 * 2") % 7 == 5
+    p = B.pixels(spark, sf).withColumns({"masked": (box & ((C("y") + C("x")) % 20 != 0)) | ((C("y") * C("x")) % 13 == 0), "outside": (C("y") + 2 * C("x") > 200) & (C("y") < 100)})
+    return background2d(p, 16, fill_value=-1.0).select("y", "x", F.round("background", 5).alias("background"))

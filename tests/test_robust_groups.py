@@ -70,15 +70,24 @@ def test_worst_first_keeps_to_its_share(spark):
             assert {r["id"] for r in joint.worst_first(df, "score", share, 4.0).collect()} == set(range(20)) - set(worst)
 
 
-@pytest.mark.parametrize("kind", ["powers", "signs", "ties", "huge"])
-def test_quantiles_of_large_groups_for_any_values(spark, kind):
-    values = {
-        "powers": [2.0 ** (-k / 2) for k in range(2001)],
-        "signs": [s * 2.0**k for k in range(-300, 300, 7) for s in (-1, 1)] + [0.0, -0.0, 5e-324],
-        "ties": [1.0] * 300 + [1.0 + 2**-52] * 300 + [-7.0],
-        "huge": [-1.7e308, 1.7e308, 1e308, -1e308, 0.5, 0.25, 3.0],
-    }[kind]
-    df = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double")
+def test_quantiles_of_large_groups_for_any_values(spark):
+    values = [
+        [2.0 ** (-k / 2) for k in range(2001)],  # powers
+        [s * 2.0**k for k in range(-300, 300, 7) for s in (-1, 1)] + [0.0, -0.0, 5e-324],  # signs
+        [1.0] * 300 + [1.0 + 2**-52] * 300 + [-7.0],  # ties
+        [-1.7e308, 1.7e308, 1e308, -1e308, 0.5, 0.25, 3.0],  # huge
+    ]
+    df = spark.createDataFrame([(k, float(v)) for k, vs in enumerate(values) for v in vs], "k int, v double").coalesce(2)
     for q in (0.1, 0.5):
-        whole, narrowed = (robust.quantiles(df, ["k"], "v", q, limit=limit, bins=16).first()["q"] for limit in (10**6, 3))
+        whole, narrowed = ({r["k"]: r["q"] for r in robust.quantiles(df, ["k"], "v", q, limit=limit, bins=64).collect()} for limit in (10**6, 3))
         assert whole == narrowed
+
+
+def test_backgrounds_without_a_box_are_refused_and_coverage_gets_its_value(spark):
+    from starfold.operators.background import background2d
+
+    px = spark.createDataFrame([(y, x, 7.0 if y > 8 else float("nan"), x > 30) for y in range(1, 33) for x in range(1, 33)], "y long, x long, v double, outside boolean")
+    got = background2d(px, 8, fill_value=-3.0).toPandas()
+    assert len(got) == 32 * 32 and np.allclose(got.loc[got["x"] <= 30, "background"], 7.0) and (got.loc[got["x"] > 30, ["background", "rms"]] == -3.0).all().all()
+    with pytest.raises(ValueError, match="excluded"):
+        background2d(px.withColumn("masked", F.lit(True)), 8)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import covariance as V
+from ..operators import normal as N
 from ..registry import query
 from ..sources import bindings as B
+from .measure_queries import SCENE, scene
 from .robust_queries import PX
 
 C = F.col
@@ -56,3 +58,25 @@ def covariance_step(spark: SparkSession, sf: str) -> DataFrame:
     image = B.pixels(spark, sf).select("y", "x", "v", (100.0 + (C("y") + C("x")) % 7).alias("iv"))
     sources = V.cell_of(B.stars(spark, sf).where("x BETWEEN 6 AND 58"), cells(spark, sf), BOX)
     return V.correlated_steps(sources.select("id", "y", "x", F.lit(5.0).alias("flux"), "a", "b", "ell"), image, FWHM, 4)
+
+
+LIGHT = """near AS (SELECT id, py, px, sqrt(1.0 + (py + px) % 2) AS q, v - 50.0 - coalesce(model, 0) AS r, 4 * ln(2) / (pi() * 9.0) * exp(-4 * ln(2) * (dy * dy + dx * dx) / 9.0) AS g, 8 * ln(2) / 9.0 AS k, flux, dy, dx FROM so JOIN scene ON so.py = scene.y AND so.px = scene.x WHERE abs(so.py - round_even(so.y, 0)) <= 5 AND abs(so.px - round_even(so.x, 0)) <= 5),
+  d AS (SELECT id, py, px, r * q AS r, flux * g * k * dy * q AS dy, flux * g * k * dx * q AS dx, g * q AS df FROM near)"""
+
+
+def left_over(spark: SparkSession, sf: str) -> DataFrame:
+    return scene(spark, sf).select("y", "x", (C("v") - 50.0 - C("model")).alias("v"), (1.0 + (C("y") + C("x")) % 2).alias("w"))
+
+
+@query("normal_blocks", f"WITH {SCENE}, {LIGHT} SELECT a.id AS i, b.id AS j, " + ", ".join(f"round(sum(a.{p} * b.{q}), 4) AS {p}_{q}" for p in N.PARTS for q in N.PARTS) + " FROM d a JOIN d b USING (py, px) WHERE a.id <= b.id GROUP BY a.id, b.id")
+def normal_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Own and pair blocks of the normal equations of all sources."""
+    blocks, _ = N.normal_equations(B.references(spark, sf), left_over(spark, sf), 3.0, 5)
+    return blocks.select("i", "j", *[F.round(f"{p}_{q}", 4).alias(f"{p}_{q}") for p in N.PARTS for q in N.PARTS])
+
+
+@query("normal_gradient", f"WITH {SCENE}, {LIGHT} SELECT id AS i, " + ", ".join(f"round(sum({p} * r), 4) AS g_{p}" for p in N.PARTS) + " FROM d GROUP BY id")
+def normal_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """The gradient of all sources."""
+    _, g = N.normal_equations(B.references(spark, sf), left_over(spark, sf), 3.0, 5)
+    return g.select("i", *[F.round(f"g_{p}", 4).alias(f"g_{p}") for p in N.PARTS])

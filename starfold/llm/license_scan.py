@@ -9,8 +9,9 @@ overlap) count.
 The join finds every such pair. A text is cut into blocks of twice the longest stretch, one stretch apart, so that every stretch
 lies in the block where it starts. Tokens are ordered by the number of documents that hold them, rarest first, on both sides. To
 share o tokens, a notice of n and a block of m distinct tokens must have a common one among the notice's n - o + 1 first and the block's
-m - o + 1 first (prefix filter); m must reach o (length filter); and with their first common token at places i and j (from 0),
-1 + min(n - i - 1, m - j - 1) must reach o (positional filter). Only for pairs that remain are the distinct words of each
+m - l + 1 first, l being the least o of all notices (prefix filter); m must reach o (length filter); and with k common tokens among
+those, the last at places i and j (from 0), all others come after both, so that k + min(n - i - 1, m - j - 1) must reach o
+(positional filter). Only for pairs that remain are the distinct words of each
 stretch counted.
 
 Everything runs as DataFrame operations. The notices and phrases are parameters of fixed
@@ -87,9 +88,9 @@ def candidates(blocks: DataFrame, index: DataFrame, least: int, positional: bool
     that filter is left out, for tests of what it prunes.
     """
     prefix = blocks.select("_row", "block", "_spots", "m", F.posexplode(F.slice("_set", F.lit(1), F.col("m") - least + 1)).alias("j", "rank"))
-    met = prefix.join(F.broadcast(index), "rank").where((F.col("m") >= F.col("need")) & (F.col("j") <= F.col("m") - F.col("need")))
-    pairs = met.groupBy("_row", "block", "notice").agg(*[F.first(c).alias(c) for c in ("label", "ranks", "need", "length", "_spots", "m")], F.min("i").alias("i"), F.min("j").alias("j"))
-    rest = 1 + F.least(F.size("ranks") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    met = prefix.join(F.broadcast(index), "rank").where(F.col("m") >= F.col("need"))
+    pairs = met.groupBy("_row", "block", "notice").agg(*[F.first(c).alias(c) for c in ("label", "ranks", "need", "length", "_spots", "m")], F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    rest = F.col("k") + F.least(F.size("ranks") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
     return pairs.where(rest >= F.col("need")) if positional else pairs
 
 

@@ -40,5 +40,8 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    assert len(got) and len(got.drop_duplicates()) == len(got)
+    for c in got.columns:
+        if got[c].dtype == float:
+            assert np.isfinite(got[c]).mean() > 0.8, c

@@ -154,13 +154,15 @@ def nnls2(suu: Column, suv: Column, svv: Column, suy: Column, svy: Column, syy:
 
     The problem is convex, so a point is the solution if no direction that keeps both values non-negative leads
     down. An edge's own minimum is that if the gradient across the edge is not negative there; if
-    neither edge's is, the solution lies inside and solves the normal equations.
+    neither edge's is, the solution lies inside and solves the normal equations. Where the two columns are
+    parallel within rounding, the better edge is a solution.
     """
     zero = F.lit(0.0)
     clip = lambda y, s: F.when(s > 0, F.greatest(zero, ratio(y, s))).otherwise(zero)
     edge_u, edge_v = clip(suy, suu), clip(svy, svv)
     on_u, on_v = edge_u * suv >= svy, edge_v * suv >= suy
     det = suu * svv - suv * suv
-    u = F.when(on_u, edge_u).when(on_v, zero).when(det > 0, ratio(svv * suy - suv * svy, det)).otherwise(edge_u)
-    v = F.when(on_u, zero).when(on_v, edge_v).when(det > 0, ratio(suu * svy - suv * suy, det)).otherwise(zero)
+    inside, better_u = det > 1e-12 * suu * svv, edge_u * suy >= edge_v * svy
+    u = F.when(on_u, edge_u).when(on_v, zero).when(inside, ratio(svv * suy - suv * svy, det)).otherwise(F.when(better_u, edge_u).otherwise(zero))
+    v = F.when(on_u, zero).when(on_v, edge_v).when(inside, ratio(suu * svy - suv * suy, det)).otherwise(F.when(better_u, zero).otherwise(edge_v))
     return u, v, syy + u * (u * suu + v * suv - 2 * suy) + v * (u * suv + v * svv - 2 * svy)

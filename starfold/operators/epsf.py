@@ -102,7 +102,7 @@ def build(stars: DataFrame, image: DataFrame, half: int = 6, oversample: int = 2
         cell = [F.round(C("dy") * oversample).cast("int").alias("gy"), F.round(C("dx") * oversample).cast("int").alias("gx")]
         own = met.select(*cell, ((C("v") - C("bkg")) / C("flux") - prior(grid, C("dy"), C("dx"), oversample, mid)).alias("e"))
         near = R.about_median(own, ["gy", "gx"], "e").where(F.abs(C("e") - C("m")) <= 3 * 1.4826 * C("s") + 1e-12)
-        cells = near.groupBy("gy", "gx").agg(F.median("e").alias("e"), F.count("*").alias("n")).collect()  # at most side * side
+        cells = R.medians(materialize(near.select("gy", "gx", "e"), "cells"), ["gy", "gx"], "e", "e").collect()  # at most side * side
         new = np.full((side, side), math.nan)
         for r in cells:
             if abs(r["gy"]) <= mid and abs(r["gx"]) <= mid:

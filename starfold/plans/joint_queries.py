@@ -10,6 +10,7 @@ from ..operators import spatial as P
 from ..operators import stencil as T
 from ..operators import robust as R
 from ..registry import query
+from ..shared import materialize
 from ..sources import bindings as B
 from .image_queries import AROUND
 from .measure_queries import FWHM, RADIUS, SCENE, scene
@@ -170,7 +171,9 @@ def epsf_project_combine(spark: SparkSession, sf: str) -> DataFrame:
     met = M.on_image(B.references(spark, sf), scene(spark, sf).select("y", "x", "v"), 3)
     p = met.select(F.round(C("dy") * 2).cast("long").alias("gy"), F.round(C("dx") * 2).cast("long").alias("gx"), ((C("v") - 50.0) / C("flux")).alias("s_"))
     near = R.about_median(p, ["gy", "gx"], "s_").where(F.abs(C("s_") - C("m")) <= 3 * 1.4826 * C("s") + 1e-12)
-    return near.groupBy("gy", "gx").agg(F.count("*").alias("n"), F.round(F.median("s_"), 6).alias("value")).where("n >= 4")
+    kept = materialize(near.select("gy", "gx", "s_"), "profile")  # a cell holds a value of every star
+    counts = kept.groupBy("gy", "gx").agg(F.count("*").alias("n")).where("n >= 4")
+    return R.medians(kept, ["gy", "gx"], "s_", "value").join(counts, ["gy", "gx"]).select("gy", "gx", "n", F.round("value", 6).alias("value"))
 
 
 @query("psf_autocorrelation", f"""WITH g AS (SELECT dy, dx, exp(-4 * ln(2) * (dy*dy + dx*dx) / 9.0) * 4 * ln(2) / (pi() * 9.0) AS p FROM (SELECT unnest(range(-8, 9)) AS dy), (SELECT unnest(range(-8, 9)) AS dx)), l AS (SELECT ly, lx FROM (SELECT unnest(range(0, 4)) AS ly), (SELECT unnest(range(0, 4)) AS lx))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import measure
-from .plans import coadd_queries, covariance_queries, fit_queries, image_queries, joint_queries, layout_queries, measure_queries, multipass, robust_queries, scalar_queries, scene_queries, shape_queries, spatial_queries, stream_queries  # noqa: F401
+from .plans import coadd_queries, covariance_queries, fit_queries, image_queries, joint_queries, layout_queries, measure_queries, multipass, psf_queries, robust_queries, scalar_queries, scene_queries, shape_queries, spatial_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .shared import materialize
 

@@ -7,7 +7,7 @@ Spark joins sources with their pixels and deals them out; numpy solves a group o
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,11 +117,12 @@ def mad_scale(r: np.ndarray) -> float:
     return max(1.4826 * float(np.median(abs(r - np.median(r)))), 1e-12)
 
 
-def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start: np.ndarray, weight: np.ndarray | None = None, robust: bool = False, rounds: int = 200, x_tol: float = 1e-8, f_tol: float = 1e-4, g_tol: float = 1e-4) -> Result:
+def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start: np.ndarray, weight: np.ndarray | None = None, robust: bool = False, rounds: int = 200, x_tol: float = 1e-8, f_tol: float = 1e-4, g_tol: float = 1e-4, slopes: Callable[[np.ndarray], np.ndarray] | None = None) -> Result:
     """Levenberg-Marquardt with Marquardt's scaling; ``robust`` reweights by Tukey's function of the scaled residuals.
 
-    A damped matrix that is not positive definite raises the damping and costs a round.
+    A damped matrix that is not positive definite raises the damping and costs a round. ``slopes`` gives the Jacobian; without it, differences do.
     """
+    slopes = slopes or (lambda p: jacobian(f, p))
     base = np.ones_like(data) if weight is None else weight
     p, damp = start.astype(float), 1e-4
     r = data - f(p)
@@ -130,7 +131,7 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start
     cost, done, n = float((w * r * r).sum()), False, 0
     while n < rounds and not done:
         n += 1
-        j = jacobian(f, p)
+        j = slopes(p)
         a, g = (j * w[:, None]).T @ j, j.T @ (w * r)
         if abs(g).max(initial=0.0) < g_tol * max(cost, 1e-30) * 1e-6:
             done = True
@@ -155,7 +156,7 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start
         else:
             damp *= 10
             done = damp > 1e12
-    j = jacobian(f, p)
+    j = slopes(p)
     a = (j * w[:, None]).T @ j
     try:
         np.linalg.cholesky(a)
@@ -167,27 +168,71 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start
     return Result(p, cost, done, n, cov, sigma)
 
 
-def fit_stars(sources: DataFrame, image: DataFrame, model: str = "gaussian", radius: int = 5, fwhm: float = 3.0, weight: float | None = None, robust: bool = False) -> DataFrame:
+def by_group(rows: DataFrame, key: str, solve: Callable[[pd.DataFrame], tuple], schema: str, columns: list[str]) -> DataFrame:
+    """``solve`` of each group's rows as one row: one shuffle, and a stream over the sorted groups, of which a task holds a batch and one more."""
+    ship(rows.sparkSession)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            starts = np.flatnonzero((rest[key] != rest[key].shift()).to_numpy())
+            if len(starts) > 1:
+                yield solved(rest.iloc[: starts[-1]], starts[1:-1])
+                rest = rest.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield solved(rest, [])
+
+    def solved(part: pd.DataFrame, cuts) -> pd.DataFrame:
+        ends = [0, *cuts, len(part)]
+        return pd.DataFrame([solve(part.iloc[a:b]) for a, b in zip(ends, ends[1:], strict=False)], columns=columns)
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(stream, schema)
+
+
+def fit_stars(sources: DataFrame, image: DataFrame, model="gaussian", radius: int = 5, fwhm: float = 3.0, weight: float | str | None = None, robust: bool = False, fixed: dict[str, float | None] | None = None) -> DataFrame:
     """``id``, fitted parameters, their errors, chi-square, rounds; starts at the sources' positions and fluxes.
 
-    ``sources``: ``id, y, x, flux, bkg``.
+    ``sources``: ``id, y, x, flux, bkg`` without null ids, which are skipped. ``model``: a name of ``MODELS``, or an object with ``names``,
+    a call for values and perhaps ``slopes``. ``weight``: one inverse variance, or the image's column of them; pixels without a positive
+    finite one take no part. ``fixed`` holds parameters at a value, or at the source's own where it is None; their error is 0.
+    A source with no more pixels than free parameters gets nulls.
     """
-    profile, names = MODELS[model]
-    ship(image.sparkSession)
-    met = on_image(sources, image, radius).select("id", "y", "x", "flux", "bkg", "py", "px", "v").where(~F.isnan("v"))
+    profile, names = MODELS[model] if isinstance(model, str) else (model, model.names)
+    fixed = fixed or {}
+    if unknown := set(fixed) - set(names):
+        raise ValueError(f"the model has no parameter {', '.join(sorted(unknown))}")
+    free = [k for k, n in enumerate(names) if n not in fixed]
+    if not free:
+        raise ValueError("all parameters are fixed")
+    exact = getattr(profile, "slopes", None)
+    by_pixel = isinstance(weight, str)
+    inverse = [F.col(weight).cast("double").alias("iv")] if by_pixel else []
+    met = on_image(sources.select("id", "y", "x", "flux", "bkg").where("id is not null"), image.select("y", "x", "v", *inverse), radius)
+    met = met.select("id", "y", "x", "flux", "bkg", "py", "px", "v", *["iv"] * by_pixel).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if by_pixel:
+        met = met.where((F.col("iv") > 0) & (F.col("iv") < math.inf))
     columns = ["id", *names, *[f"{n}_err" for n in names], "chisq", "rounds", "converged"]
     id_type = sources.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, " + ", ".join(f"{c} double" for c in columns[1:-2]) + ", rounds long, converged boolean"
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(pdf: pd.DataFrame) -> tuple:
         first = pdf.iloc[0]
         given = {"y": first["y"], "x": first["x"], "flux": first["flux"], "bkg": first["bkg"], "fwhm": fwhm, "y_fwhm": fwhm, "x_fwhm": fwhm * 1.1, "theta": 0.0}
-        start = np.array([given[n] for n in names], float)
-        if len(pdf) <= len(names):
-            return pd.DataFrame([(first["id"], *[math.nan] * (2 * len(names) + 1), 0, False)], columns=columns)
+        start = np.array([given[n] if fixed.get(n) is None else fixed[n] for n in names], float)
+        if len(pdf) <= len(free):
+            return (first["id"], *[math.nan] * (2 * len(names) + 1), 0, False)
         y, x, v = (pdf[c].to_numpy(float) for c in ("py", "px", "v"))
-        w = None if weight is None else np.full(len(v), weight)
-        r = least_squares(lambda p: profile(p, y, x), v, start, w, robust)
-        return pd.DataFrame([(first["id"], *r.p, *np.sqrt(np.maximum(np.diag(r.cov), 0)), r.cost / (len(v) - len(names)), r.rounds, r.converged)], columns=columns)
+        w = pdf["iv"].to_numpy(float) if by_pixel else None if weight is None else np.full(len(v), weight)
+
+        def whole(q: np.ndarray) -> np.ndarray:
+            p = start.copy()
+            p[free] = q
+            return p
+
+        r = least_squares(lambda q: profile(whole(q), y, x), v, start[free], w, robust, slopes=exact and (lambda q: exact(whole(q), y, x)[:, free]))
+        err = np.zeros(len(names))
+        err[free] = np.sqrt(np.maximum(np.diag(r.cov), 0))
+        return (first["id"], *whole(r.p), *err, r.cost / (len(v) - len(free)), r.rounds, r.converged)
 
-    return met.groupBy("id").applyInPandas(solve, schema)
+    return by_group(met, "id", solve, schema, columns)

@@ -1,34 +1,29 @@
-"""Toxicity: a support vector machine on a subsequence string kernel with Nyström landmarks.
+"""Toxicity: support vector machines on subsequence string kernels with Nyström landmarks.
 
-The kernel of two strings sums, over their common three-letter subsequences with at most
-``GAPS`` skipped letters between neighbours, a weight that decays with the letters spanned, and
-is scaled to 1 for equal strings. A word's ends may count as letters.
-So an insult with letters inserted or left out stays close to the plain one. Strings are the
-words of a text, lower-cased, with marks removed from within, and runs of single letters
-taken together.
-
-Words are instances, texts are bags: a toxic text need only hold one toxic word. Training
-takes a bounded sample of labelled texts (``max_texts``) and fits two machines on it.
+Two machines are trained on a bounded sample of labelled texts (``max_texts``).
 
-The plain machine knows many words: the Nyström landmarks are words whose counts lean most to either
-label, and a linear SVM alternates with the search for clean words that it takes for toxic. Its
-map and weights fold into one weight for each letter triple, so a margin is a sum of table lookups.
+The text machine (``text_kernel``) takes each labelled text as one string, so it learns words, their parts and
+phrases alike from the texts' labels.
 
-The close machine knows altered forms. Its kernel is the power ``POWER`` of the one with words' ends.
-It learns the words that lean most (at least half as much as the first) and forms of theirs made by
+The close machine knows altered forms of single words, which may stand once in a long text. Its kernel of two strings sums, over their common three-letter subsequences with at most
+``GAPS`` skipped letters between neighbours, a weight that decays with the letters spanned, and
+is scaled to 1 for equal strings; it takes the power ``POWER`` of that. A word's ends count as letters.
+So an insult with letters inserted or left out stays close to the plain one. Words are
+lower-cased, with marks removed from within, and runs of single letters taken together.
+It learns the words whose counts lean most to toxic texts (at least half as much as the first) and forms of theirs made by
 rule (``variants``), against all clean words that come within ``NEAR`` of them. A word further away
-has the margin ``FAR``; an upper bound on the closeness to all toxic landmarks at once is again a
+has the margin ``FAR``; an upper bound on the closeness to all toxic landmarks at once is a
 sum of lookups, so only few words meet the landmarks one by one.
 
-A logistic curve for each machine turns a text's largest word margin into a probability; that of the
-close one is fitted on toxic texts with altered words too. Each label is weighted by its count in all
+A logistic curve for each machine turns a text's margin, or its largest word margin, into a probability. The text machine's is fitted on
+margins of texts that it did not see, that of the close one on toxic texts with altered words too. Each label is weighted by its count in all
 training labels. The score is the probability that at least one machine is right (noisy or). Triples share 2^``BITS`` slots by a hash; of the some thousand that carry a
 weight, about one in a hundred shares its slot with another.
 
 Defined results: a null or empty text has no words and gets the score of that. Texts with a
 null label, or without one, are only scored. If the sample has one class only, the score is
 that class's share, smoothed. Repeated rows are scored row by row, empty tables give empty
-results. Equal margins and leans are ordered by the word. Only the named columns are read.
+results. Equal leans are ordered by the word. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import ship
+from .text_kernel import TextMachine, svm, trained
 
 DECAY, GAPS, BITS = 0.6, 1, 18
 POWER, NEAR, FAR = 2, 0.3, -2.0
@@ -96,21 +92,6 @@ def word_sums(data: np.ndarray, weight: np.ndarray, ends: bool, row_of: np.ndarr
     return np.add.reduceat(total, starts) / norms(square, plain, starts).reshape(-1, *[1] * (weight.ndim - 1))
 
 
-def both_sums(data: np.ndarray, plain_weight: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of the plain machine's weights (without ends) and of the bound (with ends), in one pass; words without a triple sum to minus infinity."""
-    starts = np.flatnonzero(data == 32)[:-1]
-    sums = np.zeros((6, len(data)))
-    for inside, with_ends, key, w in triples(data):
-        for k, own, weight in ((0, inside, plain_weight), (3, with_ends, bound)):
-            sums[k, : len(key)] += np.where(own, weight[key], 0.0) * w
-            sums[k + 1, : len(key)] += own * (w * w)
-            sums[k + 2, : len(key)] += own * w
-    if not len(starts):
-        return np.empty(0), np.empty(0)
-    plain, close = (np.add.reduceat(sums[k], starts) / norms(sums[k + 1], sums[k + 2], starts) for k in (0, 3))
-    return np.where(np.add.reduceat(sums[1], starts) > 0, plain, -np.inf), close
-
-
 def joined(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
 
@@ -168,11 +149,10 @@ def apart(words: list[bytes], close: float, most: int, ends: bool) -> list[bytes
 
 @dataclass
 class Model:
-    """The plain machine, folded to slots; the close machine and its bound by slot; the logistic curves of a text's largest margins."""
+    """The text machine; the close machine and its bound by slot; the logistic curves of their margins."""
 
-    fold: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1))
+    texts: TextMachine | None = None
     bound: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1))
-    bias: float = FAR
     marks: Marks | None = None
     toxic: int = 0  # that many landmarks of the close machine are toxic words
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -185,14 +165,14 @@ class Model:
         return np.where(k[:, : self.toxic].max(axis=1, initial=0.0) >= NEAR, k**POWER @ self.weight + self.near_bias, FAR)
 
     def tops(self, texts: list[bytes]) -> np.ndarray:
-        """The largest margins of each prepared text by the plain and the close machine."""
+        """The text margin and the largest margin of a word by the close machine, of each prepared text."""
         top, near = np.full((len(texts), 2), FAR), []
         for k, t in enumerate(texts):
-            sums, close = both_sums(np.frombuffer(t, np.uint8), self.fold, self.bound)
-            may = np.flatnonzero(close >= NEAR)
+            if self.texts is not None:
+                top[k, 0] = self.texts.margin(t)
+            may = np.flatnonzero(word_sums(np.frombuffer(t, np.uint8), self.bound, True) >= NEAR) if self.marks is not None else []
             words = t.split() if len(may) else []
-            near.append({words[j] for j in may.tolist()})
-            top[k, 0] = max(FAR, sums.max(initial=FAR) + self.bias)
+            near.append({words[j] for j in may})
         if len(self.seen) > 200_000:
             self.seen.clear()
         if new := sorted(set().union(*near) - self.seen.keys()):
@@ -210,20 +190,6 @@ class Model:
         return float(self.scores([text])[0])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Linear SVM with squared hinge loss by accelerated gradient steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    rate = 1 / (1 + 2 * np.linalg.norm(x * np.sqrt(cost)[:, None], 2) ** 2)
-    w = v = np.zeros(x.shape[1])
-    for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        grad = np.append(v[:-1], 0.0) - 2 * (x.T @ (cost * y * slack))
-        new = v - rate * grad
-        v = new + k / (k + 3) * (new - w)
-        w = new
-    return w
-
-
 def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:
     """Logistic curve of one margin, weighted, towards smoothed targets."""
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
@@ -237,12 +203,8 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = None, landmarks: int = 128, rounds: int = 4, instances: tuple[int, int, int, int] = (600, 100, 1000, 1500)) -> Model:
-    """The model of a bounded sample of labelled texts; ``counts``: how many texts have each label in all.
-
-    ``instances`` bounds what the plain machine is fitted on, the most leaning words first: toxic words,
-    those of them with altered forms, clean words, and clean words added in each of the ``rounds``.
-    """
+def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = None, landmarks: int = 128) -> Model:
+    """The model of a bounded sample of labelled texts; ``counts``: how many texts have each label in all; ``landmarks``: those of the close machine."""
     y = np.array(toxic, int)
     counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
     prior = float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)))
@@ -250,6 +212,10 @@ def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = No
     if not n1 or not n0:
         return Model(curves=((prior, 0.0), (-30.0, 0.0)))
     ready = [prepared(t) for t in texts]
+    share = np.where(y == 1, counts.get(1, 0) / n1, counts.get(0, 0) / n0)
+    machine, margins = trained(ready, toxic)
+    model = Model(machine, curves=(_platt(margins, y, share), (-30.0, 0.0)))
+
     bags = [[w for w in dict.fromkeys(t.split()) if len(w) >= 3] for t in ready]
     has = (Counter(), Counter())
     for bag, t in zip(bags, toxic, strict=True):
@@ -257,33 +223,11 @@ def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = No
     lean = {w: np.sqrt(has[0][w] + has[1][w]) * np.log(((has[1][w] + 0.5) / (n1 + 1)) / ((has[0][w] + 0.5) / (n0 + 1))) for w in set(has[0]) | set(has[1]) if has[0][w] + has[1][w] >= 2}
     ranked = sorted(lean, key=lambda w: (-lean[w], w))
     if not ranked or lean[ranked[0]] <= 0:
-        return Model(curves=((prior, 0.0), (-30.0, 0.0)))
+        return model
     clean = sorted(has[0], key=lambda w: (-has[0][w], w))
-    known, every = set(clean), joined(clean)
-    model = Model()
+    known = set(clean)
     evened = lambda pull, sign: 5000 * np.where(sign > 0, pull / pull[sign > 0].sum(), pull / max(pull[sign < 0].sum(), 1e-9))
 
-    # The plain machine: words that lean to either label, then the clean words that it takes for toxic.
-    marks = Marks(apart(ranked, 0.5, landmarks // 2, False) + apart(ranked[::-1], 0.5, landmarks // 2, False), False)
-    root = marks.root(1)
-    bad = [w for w in ranked if lean[w] > 3.0 and not has[0][w] > 0.2 * has[1][w]][: instances[0]] or ranked[:1]
-    form = {v: w for w in bad[: instances[1]] for v in (w[: len(w) // 3 + 1] + b"x" + w[len(w) // 3 + 1 :], w[: 2 * len(w) // 3] + b"z" + w[2 * len(w) // 3 :]) if v not in known}
-    bad += list(form)
-    words = bad + [w for w in ranked[::-1] if lean[w] <= 0][: instances[2]]
-    for turn in range(rounds):
-        sign = np.where(np.arange(len(words)) < len(bad), 1.0, -1.0)
-        pull = np.sqrt(np.array([has[1][form.get(w, w)] if s > 0 else has[0][w] for w, s in zip(words, sign, strict=True)], float) + 1)
-        w = _svm(marks.kernel(words) @ root, sign, evened(pull, sign))
-        model.fold = (marks.table @ (root @ w[:-1]))[marks.row_of]
-        model.bias = float(w[-1])
-        if turn == rounds - 1:
-            break
-        margin, taken = word_sums(every, model.fold, False) + model.bias, set(words)
-        hard = [clean[k] for k in np.argsort(-margin, kind="stable").tolist() if margin[k] > -0.8 and clean[k] not in taken and lean.get(clean[k], 0.0) < 1.0]
-        if not hard:
-            break
-        words += hard[: instances[3]]
-
     # The close machine: the words that lean most and altered forms of theirs, against all clean words that come near them.
     most = [w for w in ranked if lean[w] >= 0.5 * lean[ranked[0]]]
     own = apart(most, 0.8, landmarks // 2, True)
@@ -296,14 +240,13 @@ def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = No
     words = most + list(altered) + near
     sign = np.where(np.arange(len(words)) < len(words) - len(near), 1.0, -1.0)
     pull = np.sqrt(np.array([has[1][w] for w in most] + [has[1][w] / 4 for w in altered.values()] + [has[0][w] for w in near], float) + 1)
-    w = _svm(model.marks.kernel(words) ** POWER @ root, sign, evened(pull, sign))
+    w = svm(model.marks.kernel(words) ** POWER @ root, sign, evened(pull, sign))
     model.weight, model.near_bias = root @ w[:-1], float(w[-1])
 
-    # The curves: of the plain machine's tops, and of the close one's, there with one altered form in place of a text's toxic words once more.
+    # The close machine's curve, with one altered form in place of a text's toxic words once more.
     forms: dict[bytes, list[bytes]] = {}
     for v, w in altered.items():
         forms.setdefault(w, []).append(v)
-    share = np.where(y == 1, counts.get(1, 0) / n1, counts.get(0, 0) / n0)
     top = model.tops(ready)
     more, told = [], y == 0
     for k in np.flatnonzero(y).tolist():
@@ -313,7 +256,7 @@ def train(texts: list[str], toxic: list[int], counts: dict[int, int] | None = No
             more.append(joined([*[w for w in ready[k].split() if w not in forms], pick[7 * k % len(pick)]]).tobytes())
     close = np.append(top[told, 1], model.tops(more)[:, 1])
     weight = np.append(share[told], np.full(len(more), counts.get(1, 0) / n1))
-    model.curves = _platt(top[:, 0], y, share), _platt(close, np.append(y[told], np.ones(len(more))), weight)
+    model.curves = model.curves[0], _platt(close, np.append(y[told], np.ones(len(more))), weight)
     return model
 
 

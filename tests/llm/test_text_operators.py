@@ -508,9 +508,8 @@ def test_kernel_and_margins_match_brute_force(words):
     model = toxicity.train(texts, [k % 2 for k in range(300)])
     for t in [*texts[:20], "snoxrkface blug", *[a for a in AWKWARD if a and len(a) < 10_000]]:
         own = toxicity.prepared(t).split()
-        plain = [toxicity.word_sums(toxicity.joined([w]), model.fold, False)[0] + model.bias for w in own if len(w) > 2]
         close = model.near_margins(own) if own else []
-        want = [max([toxicity.FAR, *plain]), max([toxicity.FAR, *close])]
+        want = [model.texts.margin(toxicity.prepared(t)), max([toxicity.FAR, *close])]
         assert model.tops([toxicity.prepared(t)])[0] == pytest.approx(want, abs=1e-9)
 
 

@@ -161,6 +161,11 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], data: np.ndarray, start
     try:
         np.linalg.cholesky(a)
         cov = np.linalg.inv(a)
+        if not robust:  # a last step without damping, exact where the model is linear
+            last = p + cov @ (j.T @ (w * r))
+            cost_last = float((w * (data - f(last)) ** 2).sum())
+            if cost_last < cost:
+                p, cost = last, cost_last
         if weight is None:
             cov = cov * cost / max(len(data) - len(p), 1)
     except np.linalg.LinAlgError:

@@ -244,27 +244,27 @@ def with_light(rows: DataFrame, model: Tabulated | Gridded, y: str = "y", x: str
         slope = [(3 * BASIS[3, k] * t + 2 * BASIS[2, k]) * t + BASIS[1, k] for k in range(4)]
         wide |= {f"_w{a}": F.array(*catmull_rom_weights(t)), f"_d{a}": F.array(*[s * float(over) for s in slope])}
     rows = rows.withColumns(wide)
-    at = lambda axis, k, n: clamp(C(f"_i{axis}") + (k - 1), 0, n - 1)
+
+    # Sixteen taps as arrays: k is four times the row and the column. Arrays keep the plan small, where single terms would fill megabytes.
+    taps = F.sequence(F.lit(0), F.lit(15))
+    tap = lambda f: F.transform(taps, lambda k: f(F.shiftright(k, 2), k % 4))
+    at = lambda axis, k, n: clamp(C(f"_i{axis}") + k - 1, 0, n - 1)
+    cells = lambda base: tap(lambda i, j: F.get("_all", base + at("y", i, ny) * nx + at("x", j, nx)))
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v)
     corners = [(a, b) for a in (0, 1) for b in (0, 1)] if many else [(0, 0)]
-    for a, b in corners:  # the taps of each table around, as one array of sixteen
-        base = ((C("_ky") + a) * len(grid.columns) + C("_kx") + b) * size if many else F.lit(0)
-        rows = rows.withColumn(f"_n{a}{b}", F.array(*[F.get("_all", base + at("y", i, ny) * nx + at("x", j, nx)) for i in range(4) for j in range(4)]))
-
-    def summed(taps: Column, wy: str, wx: str) -> Column:
-        terms = [taps[4 * i + j] * C(wy)[i] * C(wx)[j] for i in range(4) for j in range(4)]
-        return sum(terms[1:], terms[0])
-
-    for a, b in corners:
-        n = C(f"_n{a}{b}")
-        value = {f"_v{a}{b}": (summed(n, "_wy", "_wx"), first.fill), f"_y{a}{b}": (summed(n, "_dy", "_wx"), 0.0), f"_x{a}{b}": (summed(n, "_wy", "_dx"), 0.0)}
-        rows = rows.withColumns({k: F.when(C("_in"), v).otherwise(float(f)) for k, (v, f) in value.items()})
+    found = {f"_n{a}{b}": cells(((C("_ky") + a) * len(grid.columns) + C("_kx") + b) * size if many else F.lit(0)) for a, b in corners}
+    of = lambda wy, wx: tap(lambda i, j: F.get(wy, i) * F.get(wx, j))
+    rows = rows.withColumns(found | {"_o": of("_wy", "_wx"), "_oy": of("_dy", "_wx"), "_ox": of("_wy", "_dx")})
     if many:
         side = lambda axis, k: C(f"_t{axis}") if k else 1 - C(f"_t{axis}")
         slope = lambda axis, k: C(f"_s{axis}") if k else -C(f"_s{axis}")
-        light = sum((side("y", a) * side("x", b) * C(f"_v{a}{b}") for a, b in corners[1:]), side("y", 0) * side("x", 0) * C("_v00"))
-        by_y = sum((slope("y", a) * side("x", b) * C(f"_v{a}{b}") - side("y", a) * side("x", b) * C(f"_y{a}{b}") for a, b in corners), F.lit(0.0))
-        by_x = sum((side("y", a) * slope("x", b) * C(f"_v{a}{b}") - side("y", a) * side("x", b) * C(f"_x{a}{b}") for a, b in corners), F.lit(0.0))
+        share = {"_b": lambda a, b: side("y", a) * side("x", b), "_by": lambda a, b: slope("y", a) * side("x", b), "_bx": lambda a, b: side("y", a) * slope("x", b)}
+        blend = lambda f: tap(lambda i, j: sum((f(a, b) * F.get(f"_n{a}{b}", 4 * i + j) for a, b in corners[1:]), f(0, 0) * F.get("_n00", 4 * i + j)))
+        rows = rows.withColumns({k: blend(f) for k, f in share.items()})
+        light, by_y, by_x = total("_b", "_o"), total("_by", "_o") - total("_b", "_oy"), total("_bx", "_o") - total("_b", "_ox")
+        # Outside the tables all four give the fill, whose weights sum to 1 and whose slopes cancel.
     else:
-        light, by_y, by_x = C("_v00"), -C("_y00"), -C("_x00")
-    made = [c for c in rows.columns if c in {*new, "_in", *[f"_{k}{a}" for k in "ifwd" for a in "yx"], *[f"_{k}{a}{b}" for k in "nvyx" for a, b in corners]}]
+        light, by_y, by_x = total("_n00", "_o"), -total("_n00", "_oy"), -total("_n00", "_ox")
+    light, by_y, by_x = (F.when(C("_in"), v).otherwise(float(f)) for v, f in ((light, first.fill), (by_y, 0.0), (by_x, 0.0)))
+    made = {*new, *found, "_in", "_o", "_oy", "_ox", "_b", "_by", "_bx", *[f"_{k}{a}" for k in "ifwd" for a in "yx"]}
     return rows.withColumns({"light": light, "light_y": by_y, "light_x": by_x}).drop(*made)

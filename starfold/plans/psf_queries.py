@@ -49,7 +49,7 @@ OFFSETS = f"""{B.STARS}, off AS (SELECT id, y - field * 128 AS y, x, round_even(
 
 
 @query("psf_tabulated", f"""WITH {OFFSETS}, s AS (SELECT id, sum(c * wy * wx) AS v, sum(c * sy * wx) AS vy, sum(c * wy * sx) AS vx FROM (SELECT *, {CELL} AS c FROM (SELECT *, 3.0 AS w FROM tap)) GROUP BY id)
-  SELECT id, round(coalesce(v, 0.0), 9) AS light, round(coalesce(-vy, 0.0), 9) AS light_y, round(coalesce(-vx, 0.0), 9) AS light_x FROM pos LEFT JOIN s USING (id)""")
+  SELECT id, round(coalesce(v, 0.0), 9) + 0.0 AS light, round(coalesce(-vy, 0.0), 9) + 0.0 AS light_y, round(coalesce(-vx, 0.0), 9) + 0.0 AS light_x FROM pos LEFT JOIN s USING (id)""")
 def psf_tabulated(spark: SparkSession, sf: str) -> DataFrame:
     """A tabulated profile and its slopes at a pixel of each star."""
     found = P.with_light(offsets(spark, sf), table(3.0))
@@ -66,7 +66,7 @@ def gridded() -> P.Gridded:
   part AS (SELECT *, (y - 1) / 40 - ni AS p, (x - 1) / 40 - nj AS q FROM node), corner AS (SELECT part.*, a, b, least(1.0, greatest(0.0, p)) AS pc, least(1.0, greatest(0.0, q)) AS qc, 2.5 + 0.1 * (ni + a) + 0.2 * (nj + b) AS w FROM part, (SELECT a, b FROM tp WHERE a < 2 AND b < 2)),
   bl AS (SELECT *, CASE WHEN a = 1 THEN pc ELSE 1 - pc END AS fy, CASE WHEN b = 1 THEN qc ELSE 1 - qc END AS fx, CASE WHEN p BETWEEN 0 AND 1 THEN (2 * a - 1) / 40.0 ELSE 0 END AS ey, CASE WHEN q BETWEEN 0 AND 1 THEN (2 * b - 1) / 40.0 ELSE 0 END AS ex, {CELL} AS c FROM corner),
   s AS (SELECT id, sum(c * fy * fx * wy * wx) AS v, sum(c * (ey * fx * wy * wx - fy * fx * sy * wx)) AS vy, sum(c * (fy * ex * wy * wx - fy * fx * wy * sx)) AS vx FROM bl GROUP BY id)
-  SELECT id, round(coalesce(v, 0.0), 9) AS light, round(coalesce(vy, 0.0), 9) AS light_y, round(coalesce(vx, 0.0), 9) AS light_x FROM pos LEFT JOIN s USING (id)""")
+  SELECT id, round(coalesce(v, 0.0), 9) + 0.0 AS light, round(coalesce(vy, 0.0), 9) + 0.0 AS light_y, round(coalesce(vx, 0.0), 9) + 0.0 AS light_x FROM pos LEFT JOIN s USING (id)""")
 def psf_gridded(spark: SparkSession, sf: str) -> DataFrame:
     """A profile that varies over the field, blended from its nodes; the slopes hold the change of the blend."""
     at = offsets(spark, sf).withColumn("y", C("y") - C("field") * B.SIDE)
@@ -74,8 +74,8 @@ def psf_gridded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unit_sql(a: str, fwhm: str) -> str:
-    """Simpson's rule with 200 steps over the unit interval around ``a``."""
-    return f"list_sum(list_transform(range(0, 201), lambda k: (CASE WHEN k = 0 OR k = 200 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-4 * ln(2) * pow(({a} - 0.5 + k / 200.0) / {fwhm}, 2)))) / 600.0 * sqrt(4 * ln(2) / pi()) / {fwhm}"
+    """Simpson's rule with 2,000 steps over the unit interval around ``a``."""
+    return f"list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-4 * ln(2) * pow(({a} - 0.5 + k / 2000.0) / {fwhm}, 2)))) / 6000.0 * sqrt(4 * ln(2) / pi()) / {fwhm}"
 
 
 @query("psf_pixel_gaussian", f"""WITH {B.STARS}, o AS (SELECT id, y - round_even(y, 0) + id % 5 - 2 AS dy, x - round_even(x, 0) + id % 3 - 1 AS dx, CAST(id % 180 AS DOUBLE) AS t, 1.5 + id % 4 * 0.5 AS h, 2.0 + id % 3 * 0.5 AS w FROM stars),

@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, shuffled, spread
 
 C = F.col
 
@@ -31,9 +31,9 @@ def cross_pairs(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
     """``a_id, b_id, d2`` for all pairs at most ``r`` apart; both sides have ``id, y, x``."""
     left = placed(a).select(C("id").alias("a_id"), C("y").alias("ay"), C("x").alias("ax"), cell(C("y"), r).alias("cy"), cell(C("x"), r).alias("cx"))
     around = F.array(*[F.struct((cell(C("y"), r) + dy).alias("cy"), (cell(C("x"), r) + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    right = placed(b).select(C("id").alias("b_id"), C("y").alias("by"), C("x").alias("bx"), F.inline(around))
+    right = spread(placed(b)).select(C("id").alias("b_id"), C("y").alias("by"), C("x").alias("bx"), F.inline(around))
     d2 = (C("ay") - C("by")) * (C("ay") - C("by")) + (C("ax") - C("bx")) * (C("ax") - C("bx"))
-    return left.join(right, ["cy", "cx"]).select("a_id", "b_id", d2.alias("d2")).where(C("d2") <= r * r)
+    return left.join(shuffled(right), ["cy", "cx"]).select("a_id", "b_id", d2.alias("d2")).where(C("d2") <= r * r)
 
 
 def pairs_within(points: DataFrame, r: float) -> DataFrame:
@@ -44,13 +44,13 @@ def pairs_within(points: DataFrame, r: float) -> DataFrame:
 def nearest_within(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
     """For each id of ``a`` the nearest of ``b`` within ``r`` (ties: the smaller id), or null."""
     best = cross_pairs(a, b, r).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
-    return a.select("id").join(best, C("id") == C("a_id"), "left").select("id", C("m.b_id").alias("nearest"), C("m.d2").alias("d2"))
+    return a.select("id").join(shuffled(best), C("id") == C("a_id"), "left").select("id", C("m.b_id").alias("nearest"), C("m.d2").alias("d2"))
 
 
 def away_from(points: DataFrame, others: DataFrame, r: float) -> DataFrame:
     """The points with no other within ``r`` (inclusive)."""
     near = cross_pairs(points.select("id", "y", "x"), others.select("id", "y", "x"), r).select(C("a_id").alias("id")).distinct()
-    return points.join(near, "id", "left_anti")
+    return points.join(shuffled(near), "id", "left_anti")
 
 
 def overlap_pairs(points: DataFrame, reach: int, cap: int) -> DataFrame:
@@ -58,7 +58,8 @@ def overlap_pairs(points: DataFrame, reach: int, cap: int) -> DataFrame:
     r = float(2 * reach)
     at = points.select("id", F.rint("y").alias("y"), F.rint("x").alias("x"))
     wide = cross_pairs(at, at, r * math.sqrt(2)).where("a_id <> b_id")
-    both = wide.join(at.select(C("id").alias("a_id"), C("y").alias("ay"), C("x").alias("ax")), "a_id").join(at.select(C("id").alias("b_id"), C("y").alias("by"), C("x").alias("bx")), "b_id")
+    side = lambda s: shuffled(at.select(C("id").alias(f"{s}_id"), C("y").alias(f"{s}y"), C("x").alias(f"{s}x")))
+    both = wide.join(side("a"), "a_id").join(side("b"), "b_id")
     near = both.where((F.abs(C("ay") - C("by")) <= r) & (F.abs(C("ax") - C("bx")) <= r)).select("a_id", "b_id", C("d2").alias("r2"))
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy("r2", "b_id"))).where(C("k") <= cap)
     return ranked.select(F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")).distinct()
@@ -76,7 +77,7 @@ def greedy_suppress(points: DataFrame, r: float, strict: bool = False, rounds: i
     if strict:
         pairs = pairs.where(C("d2") < r * r)
     rank = points.select("id", "rank")
-    ranked = pairs.join(rank.select(C("id").alias("i"), C("rank").alias("ri")), "i").join(rank.select(C("id").alias("j"), C("rank").alias("rj")), "j")
+    ranked = pairs.join(shuffled(rank.select(C("id").alias("i"), C("rank").alias("ri"))), "i").join(shuffled(rank.select(C("id").alias("j"), C("rank").alias("rj"))), "j")
     first = C("ri") >= C("rj")  # i < j
     edges = materialize(ranked.select(F.when(first, C("i")).otherwise(C("j")).alias("better"), F.when(first, C("j")).otherwise(C("i")).alias("worse")), "suppress-edges")
     open_, dropped = edges, None

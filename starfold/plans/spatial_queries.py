@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial as P
 from ..registry import query
+from ..shared import shuffled
 from ..sources import bindings as B
 
 C = F.col
@@ -85,9 +86,9 @@ def wing_gate(spark: SparkSession, sf: str) -> DataFrame:
     a, b = (n.select(*[C(c).alias(f"{s}_{c}") for c in ("id", "y", "x", "nu")]) for s in ("a", "b"))
     dy, dx = F.rint(C("b_y") - C("a_y")), F.rint(C("b_x") - C("a_x"))
     brighter = (C("a_nu") > C("b_nu")) | ((C("a_nu") == C("b_nu")) & (C("a_id") < C("b_id")))
-    wings = pairs.join(a, "a_id").join(b, "b_id").where(brighter & (F.abs(dy) <= 20) & (F.abs(dx) <= 20) & (dy * dy + dx * dx > 9))
+    wings = pairs.join(shuffled(a), "a_id").join(shuffled(b), "b_id").where(brighter & (F.abs(dy) <= 20) & (F.abs(dx) <= 20) & (dy * dy + dx * dx > 9))
     pred = wings.groupBy("b_id").agg(F.max(C("a_nu") * F.exp(-(dy * dy + dx * dx) / 100)).alias("pred"))
-    return n.join(pred, C("id") == C("b_id"), "left").select("id", (C("nu") > 2.0 * F.coalesce("pred", F.lit(0.0))).alias("keep"))
+    return n.join(shuffled(pred), C("id") == C("b_id"), "left").select("id", (C("nu") > 2.0 * F.coalesce("pred", F.lit(0.0))).alias("keep"))
 
 
 @query("region_contains", f"""{BOTH}, g AS (SELECT * FROM (VALUES (1, 350.0, 10.0, -30.0, 20.0), (2, 10.0, 170.0, -60.0, 0.0), (3, 170.0, 350.0, 0.0, 60.0)) AS t(region, ra0, ra1, dec0, dec1)),
@@ -110,6 +111,6 @@ def merge_tiles_dedup(spark: SparkSession, sf: str) -> DataFrame:
     t = B.stars(spark, sf).select("id", "y", "x", tile.cast("long").alias("tile"), F.least(C("y") - 0.5 - tile * 32, tile * 32 + 32.5 - C("y")).alias("depth"))
     near = P.pairs_within(t, 1.2).where(C("d2") < 1.44)
     side = lambda s: t.select(C("id").alias(s), C("tile").alias(f"t{s}"), C("depth").alias(f"d{s}"))
-    cross = near.join(side("i"), "i").join(side("j"), "j").where("ti <> tj")
+    cross = near.join(shuffled(side("i")), "i").join(shuffled(side("j")), "j").where("ti <> tj")
     lost = cross.select(F.when(C("di") >= C("dj"), C("j")).otherwise(C("i")).alias("id")).distinct()
-    return t.join(lost, "id", "left_anti").select("id", "tile", F.round("depth", 6).alias("depth"))
+    return t.join(shuffled(lost), "id", "left_anti").select("id", "tile", F.round("depth", 6).alias("depth"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nnls2
-from ..shared import materialize, ship
+from ..shared import materialize, ship, shuffled
 from .joint import tiles_of
 from .measure import on_image
 from .sparse_fit import gaussian_profile
@@ -154,5 +154,5 @@ def correlated_steps(sources: DataFrame, residual: DataFrame, fwhm: float, radiu
             yield pd.DataFrame(rows, columns=["id", "y", "x", "flux", "y_var", "x_var", "flux_var"])
 
     kind = sources.schema["id"].dataType.simpleString()
-    known = given.fillna(0.0, ["a", "b"]).fillna(1.0, ["ell"]).join(stamps, "id")
+    known = given.fillna(0.0, ["a", "b"]).fillna(1.0, ["ell"]).join(shuffled(stamps), "id")
     return known.mapInPandas(steps, f"id {kind}, y double, x double, flux double, y_var double, x_var double, flux_var double")

@@ -1,7 +1,7 @@
 """Rendering, apertures, curves of growth, moments, centroids and fit diagnostics of sources on pixels.
 
 A source meets its pixels by an equi-join: its stamp of (2R+1)^2 positions is unfolded around the
-rounded position and joined with the image on (y, x). Every statistic of a source is then one aggregate.
+rounded position and joined with the image on (y, x), both sides sorted. Every statistic of a source is then one aggregate.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nan, ratio
-from ..shared import ship
+from ..shared import ship, shuffled, spread
 
 C = F.col
 K = 4 * math.log(2)
@@ -24,7 +24,7 @@ K = 4 * math.log(2)
 def stamps(sources: DataFrame, radius: int) -> DataFrame:
     """Each source with the pixel positions ``py, px`` of its square stamp and their offsets ``dy, dx``."""
     span = F.sequence(F.lit(-radius), F.lit(radius))
-    at = sources.withColumns({"ay": F.rint("y").cast("long"), "ax": F.rint("x").cast("long")})
+    at = spread(sources).withColumns({"ay": F.rint("y").cast("long"), "ax": F.rint("x").cast("long")})
     rows = at.select("*", F.explode(span).alias("_i")).select("*", F.explode(span).alias("_j"))
     rows = rows.withColumns({"py": C("ay") + C("_i"), "px": C("ax") + C("_j")})
     return rows.withColumns({"dy": C("py") - C("y"), "dx": C("px") - C("x")}).drop("_i", "_j")
@@ -134,7 +134,7 @@ def exact_overlap(dy: Column, dx: Column, r: Column) -> Column:
 def on_image(sources: DataFrame, image: DataFrame, radius: int) -> DataFrame:
     """Stamps of the sources with the image's columns ``v`` (and others)."""
     pixels = image.withColumnsRenamed({"y": "py", "x": "px"})
-    return stamps(sources, radius).join(pixels, ["py", "px"])
+    return stamps(sources, radius).join(shuffled(pixels), ["py", "px"])
 
 
 def curve_of_growth(sources: DataFrame, image: DataFrame, radii: list[float], method: str = "center", background: float = 0.0, inverse_variance: str | None = None) -> DataFrame:

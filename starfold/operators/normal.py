@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, shuffled
 from .measure import K, gaussian, on_image
 
 C = F.col
@@ -27,7 +27,7 @@ def normal_equations(sources: DataFrame, residual: DataFrame, fwhm: float, radiu
     """
     d = materialize(derivatives(sources, residual, fwhm, radius), "derivatives")
     other = d.select(C("id").alias("j"), "py", "px", *[C(p).alias(f"_{p}") for p in PARTS])
-    pairs = d.withColumnRenamed("id", "i").join(other, ["py", "px"]).where("i <= j")
+    pairs = d.withColumnRenamed("id", "i").join(shuffled(other), ["py", "px"]).where("i <= j")
     blocks = pairs.groupBy("i", "j").agg(*[F.sum(C(a) * C(f"_{b}")).alias(f"{a}_{b}") for a in PARTS for b in PARTS])
     return blocks, d.groupBy(C("id").alias("i")).agg(*[F.sum(C(a) * C("r")).alias(f"g_{a}") for a in PARTS])
 
@@ -40,7 +40,7 @@ def solve(blocks: DataFrame, gradient: DataFrame, damp: float = 0.0, tol: float
     """
     own = blocks.where("i = j").select("i", *[F.when(C(f"{a}_{a}") > 0, F.sqrt(f"{a}_{a}")).otherwise(1.0).alias(f"n_{a}") for a in PARTS])
     right = own.select(C("i").alias("j"), *[C(f"n_{a}").alias(f"m_{a}") for a in PARTS])
-    unit = blocks.join(own, "i").join(right, "j").select("i", "j", *[(C(f"{a}_{b}") / (C(f"n_{a}") * C(f"m_{b}"))).alias(f"{a}_{b}") for a in PARTS for b in PARTS])
+    unit = blocks.join(shuffled(own), "i").join(shuffled(right), "j").select("i", "j", *[(C(f"{a}_{b}") / (C(f"n_{a}") * C(f"m_{b}"))).alias(f"{a}_{b}") for a in PARTS for b in PARTS])
     mirrored = unit.where("i < j").select(C("j").alias("i"), C("i").alias("j"), *[C(f"{b}_{a}").alias(f"{a}_{b}") for a in PARTS for b in PARTS])
     h = materialize(unit.unionByName(mirrored), "blocks")
     state = own.join(gradient, "i").select("i", *[F.lit(0.0).alias(f"s_{a}") for a in PARTS], *[(C(f"g_{a}") / C(f"n_{a}")).alias(f"r_{a}") for a in PARTS])

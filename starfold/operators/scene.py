@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
 from .measure import gaussian, on_image
 from .robust import finite, overall
 
@@ -37,7 +38,7 @@ def blend_terms(seen: DataFrame, pixels: DataFrame, fwhm: float) -> DataFrame:
     grid = pixels.where("iv > 0").select("image", C("y").alias("py"), C("x").alias("px"), "iv", C("model").alias("_m"))
     w = C("band_weight") * F.sqrt("iv")
     own = C("flux_scale") * C("flux") * gaussian(C("py") - C("iy"), C("px") - C("ix"), fwhm)
-    return at.join(grid, ["image", "py", "px"]).groupBy("id").agg(F.sum(w * own).alias("light"), F.sum(w * F.greatest(C("_m"), F.lit(0.0))).alias("model"), F.count("*").alias("images"))
+    return at.join(shuffled(grid), ["image", "py", "px"]).groupBy("id").agg(F.sum(w * own).alias("light"), F.sum(w * F.greatest(C("_m"), F.lit(0.0))).alias("model"), F.count("*").alias("images"))
 
 
 def first_guess(sources: DataFrame, image: DataFrame, radius: int, share: float = 0.98) -> DataFrame:

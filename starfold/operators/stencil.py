@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import catmull_rom_weights
+from ..shared import shuffled
 
 C = F.col
 
@@ -184,5 +185,5 @@ def lag_products(df: DataFrame, lags: list[tuple[int, int]], value: str = "v") -
     """``dy, dx, n, cov``: mean product of pixels at each lag, by equi-joins of the image with its shifted self."""
     moved = df.select("y", "x", C(value).alias("_a"), F.inline(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in lags])))
     other = df.select(C("y").alias("_y"), C("x").alias("_x"), C(value).alias("_b"))
-    pairs = moved.join(other, (C("y") + C("dy") == C("_y")) & (C("x") + C("dx") == C("_x")))
+    pairs = moved.join(shuffled(other), (C("y") + C("dy") == C("_y")) & (C("x") + C("dx") == C("_x")))
     return pairs.groupBy("dy", "dx").agg(F.count("*").alias("n"), F.avg(C("_a") * C("_b")).alias("cov"))

@@ -9,6 +9,7 @@ from ..functions import scalar
 from ..operators import epsf, fit
 from ..operators.measure import render
 from ..registry import query
+from ..shared import shuffled
 from ..sources import bindings as B
 from . import joint_fit
 from .measure_queries import scene
@@ -82,7 +83,7 @@ def background_covariance(spark: SparkSession, sf: str) -> DataFrame:
     cell = px.select(F.expr("(y - 1) div 100").alias("cell"), "y", "x", "v")
     moved = cell.select("cell", "y", "x", C("v").alias("a"), F.inline(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in lags])))
     other = px.select(C("y").alias("qy"), C("x").alias("qx"), C("v").alias("b"))
-    cov = moved.join(other, (C("y") + C("dy") == C("qy")) & (C("x") + C("dx") == C("qx"))).groupBy("cell", "dy", "dx").agg(F.avg(C("a") * C("b")).alias("c"), F.count("*").alias("n"))
+    cov = moved.join(shuffled(other), (C("y") + C("dy") == C("qy")) & (C("x") + C("dx") == C("qx"))).groupBy("cell", "dy", "dx").agg(F.avg(C("a") * C("b")).alias("c"), F.count("*").alias("n"))
     length = F.explode(F.array(*[F.lit(v) for v in (0.5, 1.0, 2.0, 4.0)])).alias("ell")
     r2 = C("dy") * C("dy") + C("dx") * C("dx")
     terms = cov.select("*", length).select("cell", "ell", "c", "n", F.when(r2 == 0, 1.0).otherwise(0.0).alias("u"), F.exp(-r2 / (2 * C("ell") * C("ell"))).alias("w"))

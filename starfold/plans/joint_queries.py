@@ -10,7 +10,7 @@ from ..operators import spatial as P
 from ..operators import stencil as T
 from ..operators import robust as R
 from ..registry import query
-from ..shared import materialize
+from ..shared import materialize, shuffled
 from ..sources import bindings as B
 from .image_queries import AROUND
 from .measure_queries import FWHM, RADIUS, SCENE, scene
@@ -83,7 +83,7 @@ def cutout_tiles(spark: SparkSession, sf: str) -> DataFrame:
 def blend_gate(spark: SparkSession, sf: str) -> DataFrame:
     """New peaks that rise well above what the model already has at their pixel."""
     new = B.stars(spark, sf).select("id", "flux", F.rint("y").cast("long").alias("y"), F.rint("x").cast("long").alias("x"))
-    return new.join(scene(spark, sf).select("y", "x", "model"), ["y", "x"]).select("id", (C("flux") * 0.11 > 1.5 * F.greatest(C("model"), F.lit(0.0))).alias("keep"))
+    return new.join(shuffled(scene(spark, sf).select("y", "x", "model")), ["y", "x"]).select("id", (C("flux") * 0.11 > 1.5 * F.greatest(C("model"), F.lit(0.0))).alias("keep"))
 
 
 @query("model_radii", STAR + " SELECT id, CAST(coalesce((SELECT min(r) FROM (SELECT unnest(range(1, 9)) AS r) WHERE flux * exp(-r * r / 4.0) <= 1.0), 8) AS BIGINT) AS radius FROM stars")
@@ -137,7 +137,7 @@ def bands_first_seen(spark: SparkSession, sf: str) -> DataFrame:
   SELECT i, j, k AS place FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS k FROM p) WHERE k <= 3""")
 def top_coupled_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     s = B.stars(spark, sf)
-    near = P.cross_pairs(s, s, 4.0).where("a_id <> b_id").join(s.select(C("id").alias("b_id"), "flux"), "b_id")
+    near = P.cross_pairs(s, s, 4.0).where("a_id <> b_id").join(shuffled(s.select(C("id").alias("b_id"), "flux")), "b_id")
     pairs = near.select(C("a_id").alias("i"), C("b_id").alias("j"), (F.exp(-C("d2") / 4) * C("flux")).alias("coupling"))
     return J.top_coupled(pairs, 3).select("i", "j", C("place").cast("long").alias("place"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import measure as M
 from ..operators import stencil as T
 from ..registry import query
+from ..shared import shuffled, spread
 from ..sources import bindings as B
 from .robust_queries import PX
 
@@ -27,10 +28,10 @@ SCENE = f"""{B.REFERENCES}, off AS (SELECT i, j FROM (SELECT unnest(range(-8, 9)
 def scene(spark: SparkSession, sf: str) -> DataFrame:
     """``y, x, v, model``: the references' light on a level sky with small fixed noise, 128 x 128 for each field."""
     refs = B.references(spark, sf)
-    grid = refs.select("field").distinct().select("field", F.explode(F.sequence(F.lit(1), F.lit(B.SIDE))).alias("i")).select((C("field") * B.SIDE + C("i")).alias("y"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(B.SIDE).cast("long"))).alias("x"))
+    grid = spread(refs.select("field").distinct()).select("field", F.explode(F.sequence(F.lit(1), F.lit(B.SIDE))).alias("i")).select((C("field") * B.SIDE + C("i")).alias("y"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(B.SIDE).cast("long"))).alias("x"))
     light = F.coalesce("model", F.lit(0.0))
     noise = ((C("y") * 37 + C("x") * 91) % 101) / F.lit(101.0) - 0.5
-    return grid.join(M.render(refs, FWHM, RADIUS), ["y", "x"], "left").select("y", "x", (SKY + noise + light).alias("v"), light.alias("model"))
+    return grid.join(shuffled(M.render(refs, FWHM, RADIUS)), ["y", "x"], "left").select("y", "x", (SKY + noise + light).alias("v"), light.alias("model"))
 
 
 def r6(**columns) -> list:

@@ -24,7 +24,7 @@ from ..operators import sparse_fit as S
 from ..operators import spatial as P
 from ..operators import stencil as T
 from ..operators.measure import K, render
-from ..shared import materialize, ship
+from ..shared import materialize, ship, shuffled
 
 C = F.col
 CATALOG = "id long, y double, x double, flux double, flux_err double, snr double, pass int"
@@ -120,7 +120,7 @@ def fit_pass(catalog: DataFrame, image: DataFrame, o: Options) -> DataFrame:
 def subtract(image: DataFrame, catalog: DataFrame, o: Options) -> DataFrame:
     """The image less the light of the catalog."""
     light = render(catalog.select("id", "y", "x", "flux"), o.fwhm, o.radius)
-    return image.select("y", "x", "v").join(light, ["y", "x"], "left").select("y", "x", (C("v") - F.coalesce("model", F.lit(0.0))).alias("v"))
+    return image.select("y", "x", "v").join(shuffled(light), ["y", "x"], "left").select("y", "x", (C("v") - F.coalesce("model", F.lit(0.0))).alias("v"))
 
 
 def level(image: DataFrame, box: int) -> DataFrame:

@@ -17,12 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..shared import ship
+from ..shared import materialize, ship, shuffled, spread
 from .fits import _open
 
 C = F.col
@@ -177,19 +177,30 @@ def partition_frames(frames: DataFrame, cap: int, overlap: int) -> DataFrame:
     if cap <= 2 * overlap:
         raise ValueError(f"a tile of {cap} must exceed twice the overlap of {overlap}")
     own = [c for c in frames.columns]
-    f = frames.withColumn("_id", F.monotonically_increasing_id())
     bound = F.ceil(C("ny") / (cap - 2 * overlap)) * F.ceil(C("nx") / (cap - 2 * overlap))
-    splits = f.withColumn("_most", bound).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(C("ny").cast("long"), C("_most")))).alias("n"))
-    splits = splits.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(C("nx").cast("long"), F.expr("_most div n")))).alias("m"))
-
-    def lengths(size: str, parts: str):
-        one = lambda k: F.least(F.floor(k * C(size) / C(parts)) + overlap, C(size)) - F.greatest(F.floor((k - 1) * C(size) / C(parts)) + 1 - overlap, F.lit(1)) + 1
-        return F.transform(F.sequence(F.lit(1).cast("long"), C(parts)), one)
-
-    padded = splits.withColumns({"_h": lengths("ny", "n"), "_w": lengths("nx", "m")})
+    f = materialize(frames.withColumns({"_id": F.monotonically_increasing_id(), "_most": bound}), "frames")
+    one = F.lit(1).cast("long")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, v: t + v)
-    fits = padded.where((F.array_max("_h") * F.array_max("_w") <= cap * cap) | ((C("n") * C("m") == 1) & (C("ny") * C("nx") <= cap * cap)))
-    best = fits.groupBy("_id", *own).agg(F.min(F.struct((C("n") * C("m")).alias("tiles"), (total("_h") * total("_w")).alias("area"), "n", "m")).alias("_b"))
+
+    def lengths(size: Column, parts: Column) -> Column:
+        ends = lambda k: F.least(F.floor(k * size / parts) + overlap, size) - F.greatest(F.floor((k - 1) * size / parts) + 1 - overlap, one) + 1
+        return F.transform(F.sequence(one, parts), ends)
+
+    def padded(size: str, parts: str, name: str, keep: list[str]) -> DataFrame:
+        """Each number of parts of an axis with the longest padded part and the sum of all. Where cores are as wide as the overlap, only the end parts are cut off, on one side: cores are the quotient, or 1 more, as the last and all but one of those are."""
+        s, p = C(size).cast("long"), C(parts)
+        rows = spread(f.select(*keep, "_id", "_most", F.explode(F.sequence(one, F.least(s, C("_most")))).alias(parts)))
+        core, more = F.floor(s / p), s % p
+        wide = (p >= 3) & (core >= overlap)
+        longest = F.greatest(core + F.when(more >= 2, 1).otherwise(0) + 2 * overlap, core + F.when(more >= 1, 1).otherwise(0) + overlap)
+        each = rows.withColumn("_all", F.when(~wide, lengths(s, p)))
+        return each.select(*keep, "_id", "_most", parts, F.when(wide, longest).otherwise(F.array_max("_all")).alias(f"_{name}"), F.when(wide, s + 2 * overlap * (p - 1)).otherwise(total("_all")).alias(f"_{name}s"))
+
+    high = padded("ny", "n", "h", own)
+    wide = padded("nx", "m", "w", ["nx"]).drop("nx", "_most")
+    splits = high.select("*", F.explode(F.sequence(one, F.least(C("nx").cast("long"), F.expr("_most div n")))).alias("m")).join(shuffled(wide), ["_id", "m"])
+    fits = splits.where((C("_h") * C("_w") <= cap * cap) | ((C("n") * C("m") == 1) & (C("ny") * C("nx") <= cap * cap)))
+    best = fits.groupBy("_id", *own).agg(F.min(F.struct((C("n") * C("m")).alias("tiles"), (C("_hs") * C("_ws")).alias("area"), "n", "m")).alias("_b"))
     return best.select(*own, C("_b.n").alias("n"), C("_b.m").alias("m"))
 
 

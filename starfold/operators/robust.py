@@ -187,6 +187,7 @@ def biweight(df: DataFrame, keys: list[str], value: str, c_location: float = 6.0
 
 def m_scale(df: DataFrame, keys: list[str], value: str, delta: float = 0.5, rounds: int = 30, tol: float = 1e-6) -> DataFrame:
     """Huber's proposal-2 scale: the sigma at which the mean of squares, capped at 3 sigma, is ``delta`` sigma squared."""
+    df = materialize(df.select(*keys, value).hint("rebalance", *keys), "m-rows")  # a group's rows together, so that a round shuffles groups, not rows
     near = about_median(df, keys, value)
     state = materialize(near.groupBy(*keys).agg(F.greatest(1.4826 * F.first("s"), F.lit(2.0**-52)).alias("sigma")).withColumn("done", F.lit(False)), "m-scale")
     for _ in range(rounds):

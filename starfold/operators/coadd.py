@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, parts
 
 C = F.col
 NODE = ["band", "r", "c"]
 VALUES = ("data", "background", "model", "residual")
 QUANTITIES = (*VALUES, "rms", "rms_aperture", "weight", "nimg")
+PIXELS = 100_000  # pixels whose drops one task holds
 
 
 def step(df: DataFrame, **columns: Column) -> DataFrame:
@@ -69,12 +70,13 @@ def poly_with_slopes(coefficients: Column, u: Column, v: Column, degree: int) ->
     return horner(rows, u), horner(slope(rows), u), horner([horner(slope(r), v) for r in k], u)
 
 
-def placed_nodes(pixels: DataFrame, images: DataFrame, degree: int = 1, pixfrac: float = 1.0) -> DataFrame:
+def placed_nodes(pixels: DataFrame, images: DataFrame, degree: int = 1, pixfrac: float = 1.0, tasks: int | None = None) -> DataFrame:
     """``pixels`` (``image, y, x`` and more) once for every node ``r, c`` that its drop overlaps, with ``band, flux_scale``, ``a``, the overlap in output pixels, and ``f``, the node's area in image pixels.
 
     ``images`` has ``image, band, flux_scale`` and the map of the grid into the image: ``my, mx``, the coefficients for the image's y and x as
     polynomials in ``(r - r0) / extent`` and ``(c - c0) / extent``, which lie in [-1, 1] on the image's part of the grid. Nodes beyond that part get
     nothing. The node is looked for around the pixel's place by the linear terms, as far as the others can move it.
+    An image's pixels go to its map in slices, so that ``tasks`` (the session's shuffle partitions) are alike, however few images there are.
     """
     if not 0 < pixfrac <= 1:
         raise ValueError(f"pixfrac must be in (0, 1], got {pixfrac}")
@@ -96,7 +98,11 @@ def placed_nodes(pixels: DataFrame, images: DataFrame, degree: int = 1, pixfrac:
         last = F.floor(F.least(C(at) + C(wide), C(middle) + C("extent"))).cast("long")
         return F.when(last >= first, F.sequence(first, last))
 
-    rows = pixels.join(maps, "image").withColumns(centre)
+    tasks = tasks or parts(pixels)
+    slices = 16 * -(-tasks // max(1, images.count()))
+    dealt = pixels.withColumn("_slice", F.pmod(F.hash("y", "x"), F.lit(slices))).repartition(tasks, "image", "_slice")
+    sliced = maps.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    rows = dealt.join(sliced.hint("shuffle_hash"), ["image", "_slice"]).withColumns(centre)
     rows = rows.select("*", F.explode(span("_r", "_wr", "r0")).alias("r")).select("*", F.explode(span("_c", "_wc", "c0")).alias("c"))
     u, v = (C("r") - C("r0")) / C("extent"), (C("c") - C("c0")) / C("extent")
     (ny, nyu, nyv), (nx, nxu, nxv) = poly_with_slopes(C("my"), u, v, degree), poly_with_slopes(C("mx"), u, v, degree)
@@ -183,13 +189,16 @@ def coadd(pixels: DataFrame, images: DataFrame, quantities: tuple[str, ...] = ("
         raise ValueError(f"unknown quantities {sorted(bad)}; there are {QUANTITIES}")
     if "model" in quantities and "model" not in pixels.columns:
         raise ValueError("quantity model needs a column model")
-    drops = placed_nodes(usable(pixels, weight), images, degree, pixfrac)
+    counted = usable(pixels, weight)
+    tasks = parts(counted, PIXELS)
+    drops = placed_nodes(counted, images, degree, pixfrac, tasks)
     twice = clip is not None or "rms_aperture" in quantities
     drops = materialize(drops, "drops") if twice else drops
+    by_node = drops.repartition(tasks, *NODE)  # one shuffle, for the sums of an image at a node and for those of a node
     values = tuple(v for v in VALUES if v in quantities)
-    sums = stack_sums(drops, "w", values)
+    sums = stack_sums(by_node, "w", values)
     if clip is not None:
-        sums = sums.join(grown(rejected(drops, clip, clip_mu, clip_least), clip_grow), [*NODE, "image"], "left_anti")
+        sums = sums.join(grown(rejected(by_node, clip, clip_mu, clip_least), clip_grow), [*NODE, "image"], "left_anti")
     out = sums.groupBy(*NODE).agg(F.count("*").alias("nimg"), *[F.sum(c).alias(c) for c in ("W", "V", *[f"s_{v}" for v in values])])
     if "rms_aperture" in quantities:
         out = out.join(aperture_variance(drops, pixfrac), NODE)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from starfold import catalog
 from starfold.operators import covariance as V
 from starfold.operators import measure as M
+from starfold.operators import normal as N
+from starfold.plans.covariance_queries import left_over
+from starfold.sources import bindings as B
 
 SF = "/root/testdata/sf0.001"
 NAMED = """aperture_center aperture_exact aperture_subpixel aperture_whole blend_gate covariance_valid curve_of_growth curve_of_growth_error encircled_energy sharpness
@@ -25,6 +28,11 @@ def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_derivatives_written_for_normal_equations_merge_stamps(spark):
+    assert "Broadcast" not in plan(N.derivatives(B.references(spark, SF), left_over(spark, SF), 3.0, 5))  # normal_gradient's plan only reads what this wrote
+
+
 def test_step_with_covariance_merges_stamps(spark):
     sources = spark.createDataFrame([(1, 5.0, 5.0, 10.0, 0.1, 0.1, 2.0)], "id long, y double, x double, flux double, a double, b double, ell double")
     image = spark.range(81).select((F.expr("id div 9") + 1).alias("y"), (F.col("id") % 9 + 1).alias("x"), F.lit(0.5).alias("v"), F.lit(100.0).alias("iv"))

@@ -1,7 +1,8 @@
 """Joint photometry of several images: shared positions, one flux for each band.
 
 ``images`` maps frame positions to pixels by a shift; ``pixels`` has ``image, y, x, v`` and the
-images' ``band, oy, ox, weight``. Tiles of the frame are bounded groups that hold the pixels of all images.
+images' ``band, oy, ox, weight``. The table of images, one small row each, is broadcast, as the planner takes
+rendered pixels for fewer. Tiles of the frame are bounded groups that hold the pixels of all images.
 """
 
 from __future__ import annotations
@@ -81,9 +82,9 @@ def fit_joint(sources: DataFrame, images: DataFrame, pixels: DataFrame, o: Optio
     """``id, y, x, band, flux, flux_err, snr`` of all sources (``id, y, x, flux``) from all images."""
     ship(pixels.sparkSession)
     bands = [r["band"] for r in J.first_seen(images, "band", "image").orderBy("first", "band").collect()]  # one row for each band
-    placed = pixels.join(images, "image").select("image", "band", "weight", "v", "oy", "ox", "y", "x", (C("y") - C("oy")).alias("fy"), (C("x") - C("ox")).alias("fx")).where(~F.isnan("v") & (C("weight") > 0))
+    placed = pixels.join(F.broadcast(images), "image").select("image", "band", "weight", "v", "oy", "ox", "y", "x", (C("y") - C("oy")).alias("fy"), (C("x") - C("ox")).alias("fx")).where(~F.isnan("v") & (C("weight") > 0))
     span = lambda c: F.explode(F.sequence(F.floor((C(c) - o.halo) / o.tile).cast("long"), F.floor((C(c) + o.halo) / o.tile).cast("long")))
-    parts = placed.select("*", span("fy").alias("ty")).select("*", span("fx").alias("tx"))
+    parts = placed.select("*", span("fy").alias("ty")).select("*", span("fx").alias("tx")).drop("fy", "fx")
     owned = (C("ty") == F.floor(C("y") / o.tile)) & (C("tx") == F.floor(C("x") / o.tile))
     near = sources.select("id", "y", "x", *[C("flux").alias(f"f_{b}") for b in bands]).select("*", span("y").alias("ty")).select("*", span("x").alias("tx")).withColumn("owned", owned)
 

@@ -9,6 +9,7 @@ from starfold import catalog
 from starfold.operators import covariance as V
 from starfold.operators import measure as M
 from starfold.operators import normal as N
+from starfold.plans import fit_queries, joint_fit
 from starfold.plans.covariance_queries import left_over
 from starfold.sources import bindings as B
 
@@ -39,6 +40,13 @@ def test_step_with_covariance_merges_stamps(spark):
     assert "Broadcast" not in plan(V.correlated_steps(sources, image, 3.0, 3))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_joint_fit_broadcasts_images_not_pixels(spark):
+    images, pixels = fit_queries.shifted_images(spark, SF)
+    text = plan(joint_fit.fit_joint(B.references(spark, SF), images, pixels))
+    assert text.count("BroadcastHashJoin") == 1 and "BuildRight" in text  # the right side is the table of images
+
+
 def test_stamps_of_a_small_table_are_several_tasks(spark):
     one = spark.createDataFrame([(i, float(i), 1.0) for i in range(100)], "id long, y double, x double").coalesce(1)
     parts = M.stamps(one, 2).select("id", F.spark_partition_id().alias("p"))

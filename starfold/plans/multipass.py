@@ -1,9 +1,8 @@
 """Multi-pass photometry: detect, fit all sources together, subtract, and look again.
 
-The image and the catalog are DataFrames. Each pass subtracts the model, measures the background
-in boxes, detects peaks in the residual, drops those near known or discarded positions, and fits
-all sources by tiles. A tile is a bounded group (core and halo); it solves the linearised joint
-fit of its sources in numpy and keeps those in its core. Catalogs between passes are written
+The image and the catalog are DataFrames. The background is measured in boxes. Each pass subtracts the model and detects
+peaks by tiles, drops those near known or discarded positions, and fits all sources by tiles. A tile is
+a bounded group (core and halo); it solves the linearised joint fit of its sources in numpy and keeps those in its core. Catalogs between passes are written
 to the shared folder, so a pass depends on one table.
 """
 
@@ -24,7 +23,7 @@ from ..operators import sparse_fit as S
 from ..operators import spatial as P
 from ..operators import stencil as T
 from ..operators.measure import K, render
-from ..shared import materialize, ship, shuffled
+from ..shared import materialize, parts, ship, shuffled
 
 C = F.col
 CATALOG = "id long, y double, x double, flux double, flux_err double, snr double, pass int"
@@ -71,32 +70,99 @@ def fit_together(y: np.ndarray, x: np.ndarray, flux: np.ndarray, pixels: pd.Data
 
 
 def fit_in_turn(y: np.ndarray, x: np.ndarray, flux: np.ndarray, pixels: pd.DataFrame, o: Options) -> tuple[np.ndarray, ...]:
-    """One source after the other, the brightest first, each against the residual of all others."""
-    from ..operators.fit import gaussian, least_squares
+    """One source after the other, the brightest first, each against the residual of all others.
 
-    py, px = pixels["py"].to_numpy(float), pixels["px"].to_numpy(float)
-    rest = pixels["v"].to_numpy(float).copy()
-    for k in range(len(y)):
-        rest -= flux[k] * profile(py - y[k], px - x[k], o.fwhm)
+    The profile is a product of a column and a row, so the light of a source is an outer product, and a window without gaps is fitted by
+    the sums along its sides.
+    """
     err = np.full(len(y), math.nan)
+    if not len(pixels):
+        return y, x, flux, err
+    py, px = (pixels[c].to_numpy(int) for c in ("py", "px"))
+    low, high = (py.min(), px.min()), (py.max(), px.max())
+    rows, cols = (np.arange(a, b + 1.0) for a, b in zip(low, high))
+    rest, have = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), bool)
+    rest[py - low[0], px - low[1]], have[py - low[0], px - low[1]] = pixels["v"].to_numpy(float), True
+    c = K / (o.fwhm * o.fwhm)
+    light = lambda rows, cols, y, x, flux: np.outer(flux * c / math.pi * np.exp(-c * (rows - y) ** 2), np.exp(-c * (cols - x) ** 2))
+    for k in range(len(y)):
+        rest -= light(rows, cols, y[k], x[k], flux[k])
     for k in np.argsort(-flux, kind="stable"):
-        near = (abs(py - y[k]) <= 4.5) & (abs(px - x[k]) <= 4.5)
-        own = rest[near] + flux[k] * profile(py[near] - y[k], px[near] - x[k], o.fwhm)
-        if near.sum() < 8:
+        side = lambda at, first, n: slice(max(math.ceil(at - 4.5) - first, 0), max(min(math.floor(at + 4.5) - first + 1, n), 0))
+        box = side(y[k], low[0], len(rows)), side(x[k], low[1], len(cols))
+        real = have[box]
+        if real.sum() < 8:
             continue
-        r = least_squares(lambda p: gaussian(np.array([p[0], p[1], o.fwhm, p[2], p[3]]), py[near], px[near]), own, np.array([y[k], x[k], flux[k], 0.0]), np.full(len(own), 1 / o.error**2), rounds=8)  # noqa: B023
-        if not np.isfinite(r.p).all() or math.hypot(r.p[0] - y[k], r.p[1] - x[k]) > 1.0:
+        own = rest[box] + light(rows[box[0]], cols[box[1]], y[k], x[k], flux[k])
+        p, variance = fit_alone(own, real, rows[box[0]], cols[box[1]], np.array([y[k], x[k], flux[k], 0.0]), c, 1 / o.error**2)
+        if not np.isfinite(p).all() or math.hypot(p[0] - y[k], p[1] - x[k]) > 1.0:
             continue
-        rest += flux[k] * profile(py - y[k], px - x[k], o.fwhm) - r.p[2] * profile(py - r.p[0], px - r.p[1], o.fwhm)
-        y[k], x[k], flux[k], err[k] = r.p[0], r.p[1], r.p[2], math.sqrt(max(r.cov[2, 2], 0))
+        rest += light(rows, cols, y[k], x[k], flux[k]) - light(rows, cols, *p[:3])
+        y[k], x[k], flux[k], err[k] = p[0], p[1], p[2], math.sqrt(max(variance, 0))
     return y, x, flux, err
 
 
+def fit_alone(own: np.ndarray, real: np.ndarray, rows: np.ndarray, cols: np.ndarray, start: np.ndarray, c: float, weight: float, rounds: int = 8) -> tuple[np.ndarray, float]:
+    """``y, x, flux, bkg`` of a source in a window, where it is ``real``, and the flux's variance, by the steps of ``least_squares`` with exact slopes."""
+    whole = real.all()
+
+    def linear(p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Cost, normal matrix and gradient: each slope is the product of a column and a row."""
+        dy, dx = rows - p[0], cols - p[1]
+        up, along = np.ones((4, len(rows))), np.ones((4, len(cols)))
+        u, t = up[2], along[2]
+        np.exp(-c * dy * dy, out=u)
+        np.exp(-c * dx * dx, out=t)
+        u *= c / math.pi
+        up[1] = p[2] * u
+        up[0], along[0], along[1] = 2 * c * dy * up[1], t, 2 * c * dx * t
+        r = own - p[3] - up[1][:, None] * t
+        if whole:
+            a = (up @ up.T) * (along @ along.T)
+        else:
+            r = np.where(real, r, 0.0)
+            j = (up[:, :, None] * along[:, None, :])[:, real]
+            a = j @ j.T
+        return weight * float((r * r).sum()), weight * a, weight * ((up @ r) * along).sum(1)
+
+    p, damp = start, 1e-4
+    cost, a, g = linear(p)
+    for _ in range(rounds):
+        if abs(g).max() < 1e-10 * max(cost, 1e-30):
+            break
+        damped = a.copy()
+        damped.flat[::5] += damp * np.maximum(a.flat[::5], 1e-6)
+        try:
+            np.linalg.cholesky(damped)
+            step = np.linalg.solve(damped, g)
+        except np.linalg.LinAlgError:
+            damp = min(damp * 10, 1e12)
+            continue
+        cost2, a2, g2 = linear(p + step)
+        if np.isfinite(cost2) and cost2 < cost:
+            small = abs(step).max() < 1e-8 * max(1.0, abs(p).max()) or cost - cost2 < 1e-8 * cost
+            p, cost, a, g, damp = p + step, cost2, a2, g2, max(damp / 10, 1e-12)
+            if small:
+                break
+        else:
+            damp *= 10
+            if damp > 1e12:
+                break
+    try:
+        np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        return p, math.nan
+    cov = np.linalg.inv(a)
+    last = p + cov @ g  # a last step without damping
+    return last if linear(last)[0] < cost else p, float(cov[2, 2])
+
+
 def fit_pass(catalog: DataFrame, image: DataFrame, o: Options) -> DataFrame:
     """All sources fitted by tiles with halos; each source is taken from the tile whose core holds it."""
     ship(image.sparkSession)
     grid = image.select("y", "x", "v")
-    parts = J.tiles_of(grid, o.tile, o.halo).select("ty", "tx", C("y").alias("py"), C("x").alias("px"), "v")
+    n = parts(image)  # not fewer for small tables, as fits take longer than reading
+    tiles = J.tiles_of(grid, o.tile, o.halo).select("ty", "tx", C("y").alias("py"), C("x").alias("px"), "v").repartition(n, "ty", "tx")
     at = catalog.withColumns({"_y": C("y"), "_x": C("x"), "y": F.rint("y").cast("long"), "x": F.rint("x").cast("long")})
     corner = image.agg(F.max("y"), F.max("x")).first()
     inside = at.where(C("y").between(1, corner[0]) & C("x").between(1, corner[1]))
@@ -114,7 +180,7 @@ def fit_pass(catalog: DataFrame, image: DataFrame, o: Options) -> DataFrame:
         out = own.assign(y=y, x=x, flux=flux, flux_err=err, snr=flux / np.where(err > 0, err, math.nan))
         return out[out["owned"]][columns]
 
-    return sources.groupBy("ty", "tx").cogroup(parts.groupBy("ty", "tx")).applyInPandas(tile, CATALOG)
+    return sources.repartition(n, "ty", "tx").groupBy("ty", "tx").cogroup(tiles.groupBy("ty", "tx")).applyInPandas(tile, CATALOG)
 
 
 def subtract(image: DataFrame, catalog: DataFrame, o: Options) -> DataFrame:
@@ -132,15 +198,87 @@ def level(image: DataFrame, box: int) -> DataFrame:
     return T.zoom(flat, image, "m", rows, cols, rows * box, cols * box, "_b").select("y", "x", (C("v") - C("_b")).alias("v"))
 
 
-def detect(residual: DataFrame, o: Options) -> DataFrame:
-    """``y, x, flux, rank`` of the residual's significant peaks."""
+def detect(image: DataFrame, o: Options, catalog: DataFrame | None = None) -> DataFrame:
+    """``y, x, flux, rank`` of the significant peaks of the image, less the light of the catalog as ``subtract`` has it.
+
+    A tile is a bounded group: its pixels with the margin of the filter and of a neighbour, and the sources that reach them. Pixels
+    beyond an edge repeat it, absent and null ones are passed over.
+    """
+    ship(image.sparkSession)
     size = 2 * math.ceil(o.fwhm) + 1
     d = np.arange(size) - size // 2
-    k = profile(d[:, None].astype(float), d[None, :].astype(float), o.fwhm)
-    _, norm = T.zero_sum(k)
-    found = T.matched_filter(residual, k).withColumn("significance", C("significance") / o.error)
-    peaks = T.local_maxima(found, "significance").where(C("significance") >= o.detect_sigma)
-    return peaks.select(C("y").cast("double").alias("y"), C("x").cast("double").alias("x"), (C("significance") * o.error / norm).alias("flux"), C("significance").alias("rank"))
+    kernel, norm = T.zero_sum(profile(d[:, None].astype(float), d[None, :].astype(float), o.fwhm))
+    margin, n = size // 2 + 1, parts(image)
+    dealt, tile, own = T.tiled(image.select("y", "x", "v").where(C("v").isNotNull()), margin)
+    dealt = dealt.select(*tile, "y", "x", "v", own.alias("own")).repartition(n, *tile)
+
+    def find(pixels: pd.DataFrame, sources: pd.DataFrame | None = None) -> pd.DataFrame:
+        pixels = pixels[["y", "x", "v", "own"]].sort_values(["y", "x"])
+        y, x, v, own = (pixels[c].to_numpy() for c in pixels)
+        if not own.any():
+            return pd.DataFrame(columns=["y", "x", "flux", "rank"])
+        if sources is not None and len(sources):
+            v = v - light_at(y, x, *(sources[c].to_numpy(float) for c in ("y", "x", "flux")), o)
+        significance = filtered(y, x, v, kernel) * norm / o.error
+        top = summits(y, x, significance) & own & (significance >= o.detect_sigma)
+        return pd.DataFrame({"y": y[top].astype(float), "x": x[top].astype(float), "flux": significance[top] * o.error / norm, "rank": significance[top]})
+
+    schema = "y double, x double, flux double, rank double"
+    if catalog is None:
+        return dealt.groupBy(*tile).applyInPandas(lambda pixels: find(pixels), schema)
+    reach = o.radius + margin
+    near = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.rint(c) - 1 - reach) / T.TILE)).cast("long"), F.floor((F.rint(c) - 1 + reach) / T.TILE).cast("long")))
+    stars = catalog.where((C("y") > -reach) & (C("x") > -reach)).select("y", "x", "flux").withColumn(tile[0], near("y")).withColumn(tile[1], near("x")).repartition(n, *tile)
+    return stars.groupBy(*tile).cogroup(dealt.groupBy(*tile)).applyInPandas(lambda sources, pixels: find(pixels, sources), schema)
+
+
+def light_at(y: np.ndarray, x: np.ndarray, sy: np.ndarray, sx: np.ndarray, flux: np.ndarray, o: Options) -> np.ndarray:
+    """The light of sources at pixels, each in the stamp around its rounded place."""
+    low, shape = (y.min(), x.min()), (y.max() - y.min() + 1, x.max() - x.min() + 1)
+    rows, cols = (np.rint(c).astype(int)[:, None] + np.arange(-o.radius, o.radius + 1) for c in (sy, sx))
+    values = profile((rows - sy[:, None])[:, :, None], (cols - sx[:, None])[:, None, :], o.fwhm) * flux[:, None, None]
+    rows, cols = (rows - low[0])[:, :, None], (cols - low[1])[:, None, :]
+    on = (rows >= 0) & (rows < shape[0]) & (cols >= 0) & (cols < shape[1])
+    total = np.bincount((rows * shape[1] + cols)[on], values[on], shape[0] * shape[1])
+    return total[(y - low[0]) * shape[1] + x - low[1]]
+
+
+def ends(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of a sorted array the first and the last place of its value."""
+    at = np.arange(len(line))
+    new = np.r_[True, line[1:] != line[:-1]]
+    starts = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    return starts[run], np.r_[starts[1:], len(at)][run] - 1
+
+
+def filtered(y: np.ndarray, x: np.ndarray, v: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The correlation of pixels sorted by row and column with a kernel; beyond the ends of a row or column its last pixel repeats."""
+    h, at = len(kernel) // 2, np.arange(len(y))
+    first, last = ends(y)
+    across = np.stack([v[np.clip(at + k, first, last)] for k in range(-h, h + 1)], axis=1) @ kernel.T  # by row of the kernel
+    down = np.lexsort((y, x))
+    first, last = ends(x[down])
+    out = np.empty(len(y))
+    out[down] = sum(across[down[np.clip(at + k, first, last)], k + h] for k in range(-h, h + 1))
+    return out
+
+
+def summits(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pixels, sorted by row and column, are strictly above all eight neighbours; at the edges none is."""
+    n = len(y)
+    at = np.arange(n)
+    first, last = ends(y)
+    left, right = np.r_[np.where(at > first, at - 1, n), n], np.r_[np.where(at < last, at + 1, n), n]  # n is no pixel
+    down = np.lexsort((y, x))
+    first, last = ends(x[down])
+    above, below = np.empty(n, int), np.empty(n, int)
+    above[down], below[down] = np.where(at > first, down[at - 1], n), np.where(at < last, down[np.minimum(at + 1, n - 1)], n)
+    held = np.r_[v, math.nan]
+    top = np.ones(n, bool)
+    for near in (left[:n], right[:n], above, below, left[above], right[above], left[below], right[below]):
+        top &= v > held[near]
+    return top
 
 
 def multipass(image: DataFrame, o: Options = Options()) -> Outcome:
@@ -154,8 +292,7 @@ def multipass(image: DataFrame, o: Options = Options()) -> Outcome:
     discards = spark.createDataFrame([], "id long, y double, x double, pass int, reason string")
     history, next_id = [], 0
     for turn in range(1, o.max_passes + 1):
-        residual = subtract(image, catalog, o)
-        peaks = materialize(detect(residual, o).withColumn("id", -1 - F.xxhash64("y", "x").bitwiseAND(F.lit((1 << 62) - 1))), "peaks")
+        peaks = materialize(detect(image, o, catalog).withColumn("id", -1 - F.xxhash64("y", "x").bitwiseAND(F.lit((1 << 62) - 1))), "peaks")
         new = P.away_from(P.away_from(peaks, catalog, o.min_separation), discards, o.min_separation)
         new = P.greedy_suppress(materialize(new, "new"), o.min_separation)
         named = materialize(number(new, next_id).select("id", "y", "x", "flux", F.lit(math.nan).alias("flux_err"), F.lit(math.nan).alias("snr"), F.lit(turn).alias("pass")), "named")

@@ -249,13 +249,15 @@ def placed(grid: np.ndarray, oversample: int, start: np.ndarray, pixels: Pixels,
     def solved(a: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Solutions, and which matrices are positive definite; the others' solutions are 0."""
         sound = np.isfinite(a).all((1, 2)) & np.isfinite(g).all(1)
-        a = np.where(sound[:, None, None], a, np.eye(4))
+        a, g = np.where(sound[:, None, None], a, np.eye(4)), np.where(sound[:, None], g, 0.0)
         try:
             np.linalg.cholesky(a)
+            return np.linalg.solve(a, g[:, :, None])[:, :, 0], sound
         except np.linalg.LinAlgError:
-            sound &= np.linalg.eigvalsh(a)[:, 0] > 0
-            a = np.where(sound[:, None, None], a, np.eye(4))
-        return np.where(sound[:, None], np.linalg.solve(a, np.where(sound[:, None], g, 0.0)[:, :, None])[:, :, 0], 0.0), sound
+            if len(a) == 1:
+                return np.zeros_like(g), np.zeros(1, bool)
+        halves = [solved(a[k], g[k]) for k in (slice(len(a) // 2), slice(len(a) // 2, None))]
+        return np.concatenate([h[0] for h in halves]), sound & np.concatenate([h[1] for h in halves])
 
     p = start.copy()
     fit = np.flatnonzero(np.isfinite(start).all(1))  # the stars that are still moving

@@ -90,3 +90,14 @@ def test_absent_and_null_pixels_are_passed_over(spark):
     for odd in (image.where(~gone), image.withColumn("v", F.when(~gone, F.col("v")))):
         best = MP.detect(odd, O).orderBy(F.desc("rank")).first()
         assert (best["y"], best["x"]) == (20, 30)
+
+
+def test_matrix_that_cannot_be_inverted_has_no_variance(monkeypatch):
+    """Elimination may find a matrix singular that has a Cholesky factor (seen at 360 x sf0.1)."""
+    def singular(a):
+        raise np.linalg.LinAlgError("Singular matrix")
+
+    monkeypatch.setattr(np.linalg, "inv", singular)
+    at = np.arange(1.0, 10.0)
+    p, variance = MP.fit_alone(900 * MP.profile((at - 5.2)[:, None], (at - 4.9)[None, :], 3.0), np.ones((9, 9), bool), at, at, np.array([5.0, 5.0, 800.0, 0.0]), MP.K / 9, 4.0)
+    assert p[:3] == pytest.approx([5.2, 4.9, 900], rel=1e-4) and math.isnan(variance)
